@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontaminate, license_scan, line_dedup, sentencepiece_chunks
+from . import decontaminate, language_id, license_scan, line_dedup, sentencepiece_chunks, toxicity
 
 
 def queries():
     return {
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_license_scan": license_scan.op4_license_scan,
+        "op6_language_id": language_id.op6_language_id,
         "op7_sentencepiece": sentencepiece_chunks.op7_sentencepiece,
         "op8_decontamination": decontaminate.op8_decontamination,
     }
