@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontaminate, language_id, license_scan, line_dedup, sentencepiece_chunks, toxicity
+from . import decontaminate, language_id, license_scan, line_dedup, media_columns, sentencepiece_chunks, token_counts, toxicity
 
 
 def queries():
@@ -8,9 +8,11 @@ def queries():
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_license_scan": license_scan.op4_license_scan,
+        "op5_media_columns": media_columns.op5_media_columns,
         "op6_language_id": language_id.op6_language_id,
         "op7_sentencepiece": sentencepiece_chunks.op7_sentencepiece,
         "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_token_counts": token_counts.op9_token_counts,
     }
 
 
