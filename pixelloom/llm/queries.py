@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontaminate, language_id, license_scan, line_dedup, media_columns, minhash_join, sentencepiece_chunks, token_counts, toxicity
+from . import decontaminate, language_id, license_scan, line_dedup, media_columns, minhash_join, sentencepiece_chunks, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_minhash_join": minhash_join.op1_minhash_join,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_license_scan": license_scan.op4_license_scan,
