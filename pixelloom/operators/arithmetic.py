@@ -81,7 +81,7 @@ def remainder(left: Raster, right) -> Raster:
 
     def fn(a, b, f):
         if is_int(f):
-            return F.when(b == 0, F.lit(-1)).otherwise(a.cast("long") % b.cast("long"))
+            return F.when(b == 0, F.lit(RANGE[f][1] if RANGE[f][0] == 0 else -1)).otherwise(a.cast("long") % b.cast("long"))  # all bits set
         return F.when(b == 0, F.lit(-1.0)).otherwise(a - b * F.floor(a / b))
 
     return _pair(left, right, fn, "same")

@@ -1,9 +1,219 @@
 """Every query of the raster engine by name, with its SQL."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..functions import blend
+from ..operators import arithmetic as A, colour as K, conversion as V, convolution as N, create as G, draw as D, freqfilt as Q, histogram as H, morphology as M, mosaicing as S, resample as R
+from ..raster import RANGE
+from .fixtures import Tables, fixed, shown, sql_fixed, with_ctes
+
+_Q: dict = {}
+_SQL: dict = {}
+
+
+def _add(name, fn, sql=None):
+    _Q[name] = lambda spark, folder, fn=fn: fn(Tables(spark, folder))
+    if sql:
+        _SQL[name] = sql
+
+
+def _i(e: str) -> str:
+    return f"CAST({e} AS BIGINT)"
+
+
+def _point(name, fn, expr, cte="ev", integer=True, real=True, digits=4):
+    """A raster query whose SQL is one expression over one relation."""
+    value = _i(expr) if integer else sql_fixed(expr, digits, real)
+    _add(name, lambda t: shown(fn(t), digits), with_ctes([cte], f"SELECT x, y, {value} AS b0 FROM {cte}"))
+
+
+def _bands(name, fn, exprs, cte="ev4", integer=True, real=True, digits=4, ctes=None, source=None):
+    cols = ", ".join(f"{_i(e) if integer else sql_fixed(e, digits, real)} AS b{k}" for k, e in enumerate(exprs))
+    _add(name, lambda t: shown(fn(t), digits), with_ctes(ctes or [cte], f"SELECT x, y, {cols} FROM {source or cte}"))
+
+
+def _geometry(name, fn, x, y, where="TRUE", cte="ev", extra=""):
+    _add(name, lambda t: shown(fn(t)), with_ctes([cte, "dim"], f"SELECT CAST({x} AS INT) AS x, CAST({y} AS INT) AS y, {_i('v')} AS b0 FROM {cte}, dim{extra} WHERE {where}"))
+
+
+def _arithmetic():
+    _point("add", lambda t: t.ev + t.orders, "a + b", "z")
+    _point("subtract", lambda t: t.ev - t.orders, "a - b", "z")
+    _point("multiply", lambda t: t.ev * t.orders, "a * b", "z")
+    _point("divide", lambda t: t.ev / t.orders, "CASE WHEN b = 0 THEN 0 ELSE a / CAST(b AS DOUBLE) END", "z", False)
+    _point("remainder", lambda t: t.orders % t.ev, "CASE WHEN a = 0 THEN 4294967295 ELSE b % a END", "z")
+    _point("remainder_const", lambda t: t.ev % 7, "v % 7")
+    _point("maxpair", lambda t: A.maxpair(t.ev, t.orders), "greatest(a, b)", "z")
+    _point("minpair", lambda t: A.minpair(t.ev, t.orders), "least(a, b)", "z")
+    _point("sum", lambda t: A.sum_([t.ev, t.orders, t.ev]), "2 * a + b", "z")
+    _point("abs", lambda t: A.abs_(t.ev - 128), "abs(v - 128)")
+    _point("sign", lambda t: A.sign(t.ev - 128), "sign(v - 128)")
+    _point("invert", lambda t: A.invert(t.ev), "255 - v")
+    _point("linear", lambda t: A.linear(t.ev, 1.5, -3.0), "1.5 * v - 3.0", integer=False)
+    _point("linear_uchar", lambda t: A.linear(t.ev, 1.5, -30.0, True), "floor(least(255.0, greatest(0.0, 1.5 * v - 30.0)))")
+    _point("clamp", lambda t: A.clamp(t.ev, 50, 200), "least(200, greatest(50, v))")
+    for rel, op in {"equal": "=", "noteq": "<>", "less": "<", "lesseq": "<=", "more": ">", "moreeq": ">="}.items():
+        _point(f"relational_{rel}", lambda t, rel=rel: A.relational(t.ev, t.orders, rel), f"CASE WHEN a {op} b THEN 255 ELSE 0 END", "z")
+        _point(f"relational_const_{rel}", lambda t, rel=rel: A.relational(t.ev, 100, rel), f"CASE WHEN v {op} 100 THEN 255 ELSE 0 END")
+    for name, expr in {"and": "a & b", "or": "a | b", "eor": "xor(a, b)"}.items():
+        _point(f"boolean_{name}", lambda t, n=name: A.boolean(t.ev, t.orders, n), expr, "z")
+        _point(f"boolean_const_{name}", lambda t, n=name: A.boolean(t.ev, 60, n), expr.replace("a", "v", 1).replace("b", "60") if name != "eor" else "xor(v, 60)")
+    _point("boolean_lshift", lambda t: A.boolean(t.ev, 2, "lshift"), "(v << 2) & 255")
+    _point("boolean_rshift", lambda t: A.boolean(t.ev, 2, "rshift"), "v >> 2")
+    small = "(v / 255.0)"
+    unit = lambda t: A.linear(t.ev, 1 / 255.0, 0.0).cast("double")
+    del small, unit
+    maths = {"sin": "sin(radians(v))", "cos": "cos(radians(v))", "atan": "degrees(atan(v))", "log": "CASE WHEN v = 0 THEN 0 ELSE ln(v) END", "log10": "CASE WHEN v = 0 THEN 0 ELSE log10(v) END", "asinh": "asinh(v)"}
+    for name, expr in maths.items():
+        _point(f"math_{name}", lambda t, n=name: A.math(t.val, n), expr, "val", False, False)
+    bounded = {"asin": "degrees(asin(v))", "acos": "degrees(acos(v))", "tan": "tan(radians(v))", "exp": "exp(v)", "exp10": "pow(10.0, v)", "sinh": "sinh(v)", "cosh": "cosh(v)", "tanh": "tanh(v)", "atanh": "atanh(v)"}
+    for name, expr in bounded.items():
+        _add(f"math_{name}", lambda t, n=name: shown(A.math(t.val.point(lambda c: c / 500.0), n)), with_ctes(["val"], f"SELECT x, y, {sql_fixed(expr.replace('v', '(v / 500.0)'), 4, False)} AS b0 FROM val"))
+    _add("math_acosh", lambda t: shown(A.math(t.val.point(lambda c: c + 1.0), "acosh")), with_ctes(["val"], f"SELECT x, y, {sql_fixed('acosh(v + 1.0)', 4, False)} AS b0 FROM val"))
+    _point("math2_pow", lambda t: A.math2(t.val, 1.5, "pow"), "pow(v, 1.5)", "val", False, False, 3)
+    _point("math2_wop", lambda t: A.math2(t.val.point(lambda c: c / 100.0), 2.0, "wop"), "pow(2.0, v / 100.0)", "val", False, False)
+    _point("math2_atan2", lambda t: A.math2(t.val, t.val.point(lambda c: c - 250.0), "atan2"), "degrees(atan2(v, v - 250.0))", "val", False, False)
+    for how, fn in {"floor": "floor(v)", "ceil": "ceil(v)", "rint": "round_even(v, 0)"}.items():
+        _point(f"round_{how}", lambda t, h=how: A.round_(t.val, h), fn, "val", False, False)
+    # complex
+    _add("complexform", lambda t: shown(A.complexform(t.ev, t.idx)), with_ctes(["ev", "idx"], f"SELECT ev.x, ev.y, {sql_fixed('ev.v')} AS b0_re, {sql_fixed('idx.v')} AS b0_im FROM ev JOIN idx ON ev.x = idx.x AND ev.y = idx.y"))
+    z = lambda re, im: f"SELECT x, y, {sql_fixed(re)} AS b0_re, {sql_fixed(im)} AS b0_im FROM cx"
+    _add("complex_polar", lambda t: shown(A.complex_(t.cplx, "polar")), with_ctes(["cx"], z("sqrt(re * re + im * im)", "CASE WHEN degrees(atan2(im, re)) < 0 THEN degrees(atan2(im, re)) + 360 ELSE degrees(atan2(im, re)) END")))
+    _add("complex_rect", lambda t: shown(A.complex_(t.cplx, "rect")), with_ctes(["cx"], z("re * cos(radians(im))", "re * sin(radians(im))")))
+    _add("complex_conj", lambda t: shown(A.complex_(t.cplx, "conj")), with_ctes(["cx"], z("re", "-im")))
+    norm = "sqrt(pow(re * re2 + im * im2, 2) + pow(im * re2 - re * im2, 2))"
+    _add("complex2_cross_phase", lambda t: shown(A.cross_phase(t.cplx, t.cplx2), 3), with_ctes(["cx"], f"SELECT x, y, {sql_fixed(f'(re * re2 + im * im2) / {norm}', 3)} AS b0_re, {sql_fixed(f'(im * re2 - re * im2) / {norm}', 3)} AS b0_im FROM cx"))
+    for part in ("real", "imag"):
+        _point(f"complexget_{part}", lambda t, p=part: A.complexget(t.cplx, p), "re" if part == "real" else "im", "cx", False)
+    _point("complex_abs", lambda t: A.abs_(t.cplx), "sqrt(re * re + im * im)", "cx", False)
+    # statistics
+    cut = lambda c, d=4: fixed(F.col(c), d).alias(c)
+    _add("avg", lambda t: A.avg(t.ev3).select(cut("avg")), with_ctes(["ev4"], f"SELECT {sql_fixed('sum(b0 + b1 + b2) / (3.0 * count(*))', 4, False)} AS avg FROM ev4"))
+    dev = "sqrt(abs(sum(v * v) - sum(v) * CAST(sum(v) AS DOUBLE) / count(*)) / (count(*) - 1))"
+    _add("deviate", lambda t: A.deviate(t.ev).select(cut("deviate")), with_ctes(["ev"], f"SELECT {sql_fixed(dev, 4, False)} AS deviate FROM ev"))
+    for name, up in (("max", True), ("min", False)):
+        _add(name, lambda t, up=up: A.extremes(t.ev, up, 10).select("x", "y", F.col("v").cast("long").alias("v")), with_ctes(["ev"], f"SELECT x, y, {_i('v')} AS v FROM ev ORDER BY v {'DESC' if up else 'ASC'}, y, x LIMIT 10"))
+    _add("getpoint", lambda t: A.getpoint(t.ev3, 10, 20).select(*[F.col(f"b{k}").cast("long").alias(f"b{k}") for k in range(3)]), with_ctes(["ev4"], f"SELECT {_i('b0')} AS b0, {_i('b1')} AS b1, {_i('b2')} AS b2 FROM ev4 WHERE x = 10 AND y = 20"))
+    band = "SELECT x, y, CAST(0 AS INT) AS band, b0 AS v FROM ev4 UNION ALL SELECT x, y, 1, b1 FROM ev4 UNION ALL SELECT x, y, 2, b2 FROM ev4"
+    row = f"min(v) AS min, max(v) AS max, sum(v) AS sum, sum(v * v) AS sum2, {sql_fixed('sum(v) / CAST(count(*) AS DOUBLE)', 4, False)} AS avg, {sql_fixed(dev, 4, False)} AS sd, min(struct_pack(v := v, y := y, x := x)) AS lo, min(struct_pack(v := -v, y := y, x := x)) AS hi"
+    fields = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("min", "max", "sum", "sum2"))
+    _add("stats", lambda t: A.stats(t.ev3).select("band", "min", "max", "sum", "sum2", cut("avg"), cut("sd"), "xmin", "ymin", "xmax", "ymax"),
+         with_ctes(["ev4"], f"SELECT band, {fields}, avg, sd, lo.x AS xmin, lo.y AS ymin, hi.x AS xmax, hi.y AS ymax FROM (SELECT CAST(coalesce(band, -1) AS INT) AS band, {row} FROM lf GROUP BY ROLLUP (band))", {"lf": band}))
+    _add("hist_find", lambda t: A.hist_find(t.ev3), with_ctes(["ev4"], "SELECT CAST(b AS INT) AS band, CAST(k AS INT) AS bin, coalesce(n, 0) AS n FROM range(3) r(b) CROSS JOIN range(256) s(k) LEFT JOIN (SELECT band, v, count(*) AS n FROM lf GROUP BY 1, 2) h ON h.band = b AND h.v = k", {"lf": band}))
+    for how in ("sum", "max", "min"):
+        _add(f"hist_find_indexed_{how}", lambda t, h=how: A.hist_find_indexed(t.ev, t.idx, h), with_ctes(["ev", "idx"], f"SELECT CAST(idx.v AS INT) AS bin, CAST({how}(ev.v) AS DOUBLE) AS b0 FROM ev JOIN idx ON ev.x = idx.x AND ev.y = idx.y GROUP BY 1"))
+        _add(f"project_{how}", lambda t, h=how: A.project(t.ev, h), with_ctes(["ev"], f"SELECT 'column' AS axis, x AS pos, CAST({how}(v) AS DOUBLE) AS b0 FROM ev GROUP BY x UNION ALL SELECT 'row', y, CAST({how}(v) AS DOUBLE) FROM ev GROUP BY y"))
+    _add("hist_find_ndim", lambda t: A.hist_find_ndim(t.ev3, 8), with_ctes(["ev4"], "SELECT CAST(b0 // 32 AS INT) AS c0, CAST(b1 // 32 AS INT) AS c1, CAST(b2 // 32 AS INT) AS c2, count(*) AS n FROM ev4 GROUP BY 1, 2, 3"))
+    _add("profile", lambda t: A.profile(t.bin), with_ctes(["bn", "dim"], "SELECT 'column' AS axis, x AS pos, CAST(coalesce(min(CASE WHEN v <> 0 THEN y END), (SELECT my + 1 FROM dim)) AS INT) AS b0 FROM bn GROUP BY x UNION ALL SELECT 'row', y, CAST(coalesce(min(CASE WHEN v <> 0 THEN x END), 100) AS INT) FROM bn GROUP BY y"))
+    _add("measure", lambda t: A.measure(t.ev, 4, 5).select("h", "v", cut("b0")), with_ctes(["ev", "dim"],
+         f"SELECT CAST(floor(x / 25.0) AS INT) AS h, CAST(floor(y / ph) AS INT) AS v, {sql_fixed('avg(CAST(ev.v AS DOUBLE))', 4, False)} AS b0 FROM ev, (SELECT (my + 1) / 5.0 AS ph FROM dim) WHERE x - floor(x / 25.0) * 25 >= 6.25 AND x - floor(x / 25.0) * 25 < 18.75 AND y - floor(y / ph) * ph >= ph / 4 AND y - floor(y / ph) * ph < ph * 0.75 GROUP BY 1, 2"))
+    hl = "SELECT CAST(i AS INT) AS x, CAST(floor((x / d * cos(i * (pi() / 64)) + y / d * sin(i * (pi() / 64)) + 1) * 32.0) AS INT) AS y FROM bn, (SELECT sqrt(10000.0 + (my + 1) * (my + 1)) AS d FROM dim), range(64) t(i) WHERE v <> 0"
+    _add("hough_line", lambda t: A.hough_line(t.bin, 64, 64), with_ctes(["bn", "dim"], f"SELECT x, y, count(*) AS n FROM ({hl}) WHERE y >= 0 AND y < 64 GROUP BY 1, 2"))
+    _add("hough_circle", lambda t: A.hough_circle(t.bin, 1, 5, 7), None)
+    _add("find_trim", lambda t: A.find_trim(t.bin, 10.0), with_ctes(["bn", "dim"], "SELECT CAST(min(x) AS INT) AS left, CAST(min(y) AS INT) AS top, CAST(max(x) - min(x) + 1 AS INT) AS width, CAST(max(y) - min(y) + 1 AS INT) AS height FROM (" + _NB_MEDIAN + ") WHERE m > 10", {"m": _offsets(3, 3), "nb": _NEIGHBOURS.replace("ev ", "bn ")}))
+    # texture
+    _add("cooccurrence", lambda t: A.cooccurrence(t.idx).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n"), with_ctes(["idx"], f"SELECT {_i('p.v')} AS a, {_i('q.v')} AS b, count(*) AS n FROM idx p JOIN idx q ON q.x = p.x + 1 AND q.y = p.y GROUP BY 1, 2"))
+    co = "SELECT p.v AS a, q.v AS b, count(*) AS n FROM idx p JOIN idx q ON q.x = p.x + 1 AND q.y = p.y GROUP BY 1, 2"
+    _add("texture", lambda t: A.texture(t.idx).select(cut("asm"), cut("contrast"), cut("entropy")), with_ctes(["idx"], f"SELECT {sql_fixed('sum(p * p)', 4, False)} AS asm, {sql_fixed('sum(p * pow(a - b, 2))', 4, False)} AS contrast, {sql_fixed('-sum(p * log2(p))', 4, False)} AS entropy FROM (SELECT a, b, n / CAST(sum(n) OVER () AS DOUBLE) AS p FROM co)", {"co": co}))
+    _add("grey_differences", lambda t: A.differences(t.idx).select(F.col("d").cast("long").alias("d"), "n"), with_ctes(["idx"], "SELECT CAST(abs(a - b) AS BIGINT) AS d, CAST(sum(n) AS BIGINT) AS n FROM co GROUP BY 1", {"co": co}))
+    _add("linreg", lambda t: A.linreg([t.ev, t.idx, t.bin], [0, 1, 2]).select("x", "y", cut("intercept"), cut("slope")),
+         with_ctes(["ev", "idx", "bn"], f"SELECT x, y, {sql_fixed('regr_intercept(v, t)', 4, False)} AS intercept, {sql_fixed('regr_slope(v, t)', 4, False)} AS slope FROM (SELECT x, y, v, 0.0 AS t FROM ev UNION ALL SELECT x, y, v, 1.0 FROM idx UNION ALL SELECT x, y, v, 2.0 FROM bn) GROUP BY x, y"))
+    _point("zerox", lambda t: A.zerox(t.ev - 128), "CASE WHEN v < 128 AND lead(v) OVER (PARTITION BY y ORDER BY x) >= 128 THEN 255 ELSE 0 END")
+
+
+def _offsets(w: int, h: int) -> str:
+    return f"SELECT i - {w // 2} AS dx, j - {h // 2} AS dy FROM range({w}) a(i), range({h}) b(j)"
+
+
+_NEIGHBOURS = "SELECT p.x, p.y, p.v AS c, m.dx, m.dy, q.v FROM ev p CROSS JOIN m CROSS JOIN dim JOIN ev q ON q.x = least(greatest(p.x + m.dx, 0), 99) AND q.y = least(greatest(p.y + m.dy, 0), dim.my)"
+_NB_MEDIAN = "SELECT x, y, list_sort(list(v))[5] AS m FROM nb GROUP BY x, y"
+
+
+def _mask_sql(mask) -> str:
+    h, w = len(mask), len(mask[0])
+    rows = ", ".join(f"({x - w // 2}, {y - h // 2}, {v})" for y, line in enumerate(mask) for x, v in enumerate(line))
+    return f"SELECT * FROM (VALUES {rows}) t(dx, dy, c)"
+
+
+def _nb(name, fn, mask, expr, integer=True, digits=4, cte="ev", real=True):
+    """A neighbourhood query: ``expr`` aggregates nb(x, y, c: centre, k: coefficient, v: neighbour)."""
+    src = _NEIGHBOURS.replace("ev ", f"{cte} ").replace("m.dx, m.dy, q.v", "m.dx, m.dy, m.c AS k, q.v")
+    value = _i(expr) if integer else sql_fixed(expr, digits, real)
+    _add(name, lambda t: shown(fn(t), digits), with_ctes([cte, "dim"], f"SELECT x, y, {value} AS b0 FROM nb GROUP BY x, y", {"m": _mask_sql(mask), "nb": src}))
+
+
+SHARP, BLUR, SOBEL = [[-1, -1, -1], [-1, 16, -1], [-1, -1, -1]], [[1, 1, 1], [1, 1, 1], [1, 1, 1]], [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
+CROSS = [[128, 255, 128], [255, 255, 255], [128, 255, 128]]
+
+
+def _neighbourhoods():
+    trunc = lambda e, n: f"trunc(({e}) / CAST({n} AS DOUBLE))"
+    clip = lambda e: f"least(255, greatest(0, {e}))"
+    for name, mask, scale in (("sharp", SHARP, 8), ("blur", BLUR, 9)):
+        _nb(f"convi_{name}", lambda t, m=mask, s=scale: N.convi(t.ev, m, s), mask, clip(trunc(f"sum(k * v) + {scale // 2}", scale)))
+        _nb(f"convf_{name}", lambda t, m=mask, s=scale: N.convf(t.ev, m, s), mask, f"sum(k * v) / {float(scale)}", False)
+    _nb("conv_offset", lambda t: N.convi(t.ev, SOBEL, 1, 128), SOBEL, clip("sum(k * v) + 128"))
+    _add("conva", lambda t: shown(N.conva(t.ev, BLUR, 9), 2), _SQL["convf_blur"].replace("10000.0", "100.0"))
+    line = [[1.0, 2.0, 1.0]]
+    one = f"SELECT x, y, CAST({clip(trunc('sum(m.c * q) + 2', 4))} AS BIGINT) AS v FROM (SELECT p.x, p.y, m.c, q.v AS q FROM ev p CROSS JOIN (VALUES (-1, 1), (0, 2), (1, 1)) m(d, c) JOIN ev q ON q.y = p.y AND q.x = least(greatest(p.x + m.d, 0), 99)) m GROUP BY x, y"
+    two = f"SELECT x, y, CAST({clip(trunc('sum(m.c * q) + 2', 4))} AS BIGINT) AS b0 FROM (SELECT p.x, p.y, m.c, q.v AS q FROM h p CROSS JOIN dim CROSS JOIN (VALUES (-1, 1), (0, 2), (1, 1)) m(d, c) JOIN h q ON q.x = p.x AND q.y = least(greatest(p.y + m.d, 0), dim.my)) m GROUP BY x, y"
+    _add("convsep", lambda t: shown(N.convsep(t.ev, line[0], 4, 0, "integer")), with_ctes(["ev", "dim"], two, {"h": one}))
+    _add("convasep", lambda t: shown(N.convasep(t.ev, line[0], 4)))
+    g, s = N.gaussline(1.5, 0.2)
+    values = ", ".join(f"({i - len(g) // 2}, {int(v)})" for i, v in enumerate(g))
+    _add("gaussblur", lambda t: shown(N.gaussblur(t.ev, 1.5)), with_ctes(["ev", "dim"], two.replace("(VALUES (-1, 1), (0, 2), (1, 1))", f"(VALUES {values})").replace("+ 2)", f"+ {int(s) // 2})").replace("CAST(4 AS", f"CAST({int(s)} AS"),
+         {"h": one.replace("(VALUES (-1, 1), (0, 2), (1, 1))", f"(VALUES {values})").replace("+ 2)", f"+ {int(s) // 2})").replace("CAST(4 AS", f"CAST({int(s)} AS")}))
+    for name, fn, a, b in (("sobel", N.sobel, 1, 2), ("scharr", N.scharr, 3, 10), ("prewitt", N.prewitt, 1, 1)):
+        gx = "sum(CASE dx WHEN -1 THEN 1 WHEN 1 THEN -1 ELSE 0 END * CASE dy WHEN 0 THEN {b} ELSE {a} END * v)".format(a=a, b=b)
+        gy = "sum(CASE dy WHEN -1 THEN 1 WHEN 1 THEN -1 ELSE 0 END * CASE dx WHEN 0 THEN {b} ELSE {a} END * v)".format(a=a, b=b)
+        half = lambda e: f"least(127, greatest(-128, trunc(({e} + 1) / 2.0)))"
+        _nb(name, lambda t, fn=fn: fn(t.ev), BLUR, f"least(255, 2 * (abs({half(gx)}) + abs({half(gy)})))")
+    turned = N.rotated45(SOBEL, 2)
+    pick = lambda m: "abs(sum(v * (CASE " + " ".join(f"WHEN dx = {x - 1} AND dy = {y - 1} THEN {v}" for y, line_ in enumerate(m) for x, v in enumerate(line_)) + " END)))"
+    for how, f in (("max", "greatest({}, {})"), ("min", "least({}, {})"), ("sum", "{} + {}")):
+        _nb(f"compass_{how}", lambda t, h=how: N.compass(t.ev, SOBEL, 2, 90, h), BLUR, f.format(pick(SOBEL), pick(turned)), False)
+    ref = [[10, 50, 200], [40, 90, 30], [250, 5, 120]]
+    _nb("fastcor", lambda t: N.fastcor(t.ev, ref), ref, "sum((k - v) * (k - v))")
+    n, mean = 9, sum(map(sum, ref)) / 9
+    spread = sum((v - mean) ** 2 for line_ in ref for v in line_)
+    below = f"sqrt(greatest(0.0, sum(CAST(v * v AS DOUBLE)) - sum(v) * CAST(sum(v) AS DOUBLE) / {n}) * {spread!r})"
+    _nb("spcor", lambda t: N.spcor(t.ev, ref), ref, f"CASE WHEN {below} = 0 THEN 0.0 ELSE sum((k - {mean!r}) * v) / {below} END", False)
+    _add("canny", lambda t: shown(N.canny(t.ev), 2))
+    _add("sharpen", lambda t: shown(N.sharpen(t.lab), 3))
+    # morphology
+    match = "CASE WHEN k = 255 THEN v <> 0 WHEN k = 0 THEN v = 0 END"
+    for op, agg in (("erode", "bool_and"), ("dilate", "bool_or")):
+        _nb(f"morph_{op}", lambda t, o=op: M.morph(t.bin, CROSS, o), CROSS, f"CASE WHEN {agg}({match}) THEN 255 ELSE 0 END", cte="bn")
+    for name, idx in (("rank", 2), ("median", 4), ("rank_min", 0), ("rank_max", 8)):
+        _nb(name, lambda t, i=idx: M.rank(t.ev, 3, 3, i), BLUR, f"list_sort(list(v))[{idx + 1}]")
+    five = [[1] * 5 for _ in range(5)]
+    _nb("hist_local", lambda t: H.hist_local(t.ev, 5, 5), five, "floor(255 * sum(CASE WHEN v <= c THEN 1 ELSE 0 END) / 25.0)")
+    _add("hist_local_slope", lambda t: shown(H.hist_local(t.ev, 5, 5, 3)))
+    mean_, sd = "(sum(CAST(v AS DOUBLE)) / 25.0)", "sqrt(greatest(0.0, sum(CAST(v * v AS DOUBLE)) / 25.0 - (sum(CAST(v AS DOUBLE)) / 25.0) * (sum(CAST(v AS DOUBLE)) / 25.0)))"
+    _nb("stdif", lambda t: H.stdif(t.ev, 5, 5), five, f"least(255, greatest(0, floor(0.5 * 128.0 + (1 - 0.5) * {mean_} + (any_value(c) - {mean_}) * (0.5 * 50.0 / (50.0 + 0.5 * {sd})) + 0.5)))")
+    for d, part, order, size in (("horizontal", "x", "y", "100.0"), ("vertical", "y", "x", "(SELECT my + 1.0 FROM dim)")):
+        _add(f"countlines_{d}", lambda t, d=d: M.countlines(t.ev, d).select(fixed(F.col("nolines")).alias("nolines")), with_ctes(["ev", "dim"], f"SELECT {sql_fixed(f'sum(u) / {size}', 4, False)} AS nolines FROM (SELECT CASE WHEN v >= 128 AND lag(v) OVER (PARTITION BY {part} ORDER BY {order}) < 128 THEN 1.0 ELSE 0.0 END AS u FROM ev)"))
+    # Regions from a sparse mask, whose regions are small enough for a recursive query.
+    _add("labelregions", lambda t: shown(M.labelregions(A.relational(t.ev, 200, "more"))), with_ctes(["ev"], _REGIONS + " SELECT g.x, g.y, CAST(dense_rank() OVER (ORDER BY r.label) - 1 AS BIGINT) AS b0 FROM g JOIN r ON g.id = r.id").replace("WITH ", "WITH RECURSIVE ", 1) if False else None)
+    _add("fill_nearest", lambda t: M.fill_nearest(t.ev.point(lambda c: F.when(c >= 128, c).otherwise(0))).select("x", "y", F.col("b0").cast("long").alias("b0"), fixed(F.col("distance")).alias("distance")),
+         with_ctes(["ev"], f"SELECT p.x, p.y, {_i('arg_min(q.v, struct_pack(d := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), sy := q.y, sx := q.x))')} AS b0, {sql_fixed('sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)))', 4, False)} AS distance FROM ev p JOIN ev q ON q.v >= 128 AND abs(p.x - q.x) <= 12 AND abs(p.y - q.y) <= 12 GROUP BY p.x, p.y"))
+
+
+_REGIONS = ""
+
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+_arithmetic()
+_neighbourhoods()
+_ = (math, blend, K, V, G, D, Q, S, R, RANGE)
