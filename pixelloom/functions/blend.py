@@ -39,33 +39,58 @@ SEPARABLE = {
 }
 
 
-def _lum(c):
-    return 0.3 * c[0] + 0.59 * c[1] + 0.11 * c[2]
+def _let(values: list[Column], fn):
+    """``fn`` of named values, each worked out once: a lambda over one struct binds them."""
+    names = [f"v{k}" for k in range(len(values))]
+    bound = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+    return F.get(F.transform(bound, lambda s: fn([s[n] for n in names])), F.lit(0))
 
 
-def _clip(c):
-    l, lo, hi = _lum(c), F.least(*c), F.greatest(*c)
-    low = [F.when(lo < 0, l + (v - l) * l / F.when(lo < 0, l - lo).otherwise(F.lit(1.0))).otherwise(v) for v in c]
-    return [F.when(hi > 1, l + (v - l) * (1 - l) / F.when(hi > 1, hi - l).otherwise(F.lit(1.0))).otherwise(v) for v in low]
+def _three(values):
+    return F.struct(*[v.alias(f"c{k}") for k, v in enumerate(values)])
 
 
-def _set_lum(c, l):
-    d = l - _lum(c)
-    return _clip([v + d for v in c])
+def _parts(struct):
+    return [struct[f"c{k}"] for k in range(3)]
 
 
-def _set_sat(c, s):
-    lo, hi = F.least(*c), F.greatest(*c)
-    return [F.when(hi > lo, (v - lo) * s / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))).otherwise(F.lit(0.0)) for v in c]
+def _lum(c):
+    return 0.3 * c[0] + 0.59 * c[1] + 0.11 * c[2]
 
 
 def _sat(c):
     return F.greatest(*c) - F.least(*c)
 
 
+def _set_sat(c, s):
+    """Struct of the colours with the saturation s."""
+    def scaled(v):
+        c, lo, hi, s = v[:3], v[3], v[4], v[5]
+        return _three([F.when(hi > lo, (x - lo) * s / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))).otherwise(F.lit(0.0)) for x in c])
+
+    return _let([*c, F.least(*c), F.greatest(*c), s], scaled)
+
+
+def _set_lum(c, l):
+    """Struct of the colours with the luminosity l, moved back into range."""
+    def low(v):
+        c, l, n = v[:3], v[3], F.least(*v[:3])
+        return _three([F.when(n < 0, l + (x - l) * l / F.when(n < 0, l - n).otherwise(F.lit(1.0))).otherwise(x) for x in c])
+
+    def shifted(v):
+        moved = [x + (v[3] - _lum(v[:3])) for x in v[:3]]
+        return _let(moved, lambda m: _let([*m, _lum(m), F.greatest(*m)], lambda w: _let([low(w), w[3], w[4]], high)))
+
+    def high(v):
+        l, m = v[1], v[2]
+        return _three([F.when(m > 1, l + (x - l) * (1 - l) / F.when(m > 1, m - l).otherwise(F.lit(1.0))).otherwise(x) for x in _parts(v[0])])
+
+    return _let([*c, l], shifted)
+
+
 HSL = {
-    "hue": lambda a, b: _set_lum(_set_sat(a, _sat(b)), _lum(b)),
-    "saturation": lambda a, b: _set_lum(_set_sat(b, _sat(a)), _lum(b)),
+    "hue": lambda a, b: _let([_set_sat(a, _sat(b)), _lum(b)], lambda v: _set_lum(_parts(v[0]), v[1])),
+    "saturation": lambda a, b: _let([_set_sat(b, _sat(a)), _lum(b)], lambda v: _set_lum(_parts(v[0]), v[1])),
     "colour": lambda a, b: _set_lum(a, _lum(b)),
     "luminosity": lambda a, b: _set_lum(b, _lum(a)),
 }
@@ -76,8 +101,11 @@ def mix(mode: str, a: list[Column], aa: Column, b: list[Column], ab: Column) ->
     """(premultiplied result colours, result alpha)."""
     if mode in SEPARABLE or mode in HSL:
         # The HSL modes look at the colours themselves, the separable ones at what alpha leaves of them.
-        bare = lambda c, alpha: [F.when(alpha == 0, F.lit(0.0)).otherwise(v / F.when(alpha == 0, F.lit(1.0)).otherwise(alpha)) for v in c]
-        f = [SEPARABLE[mode](x, y) for x, y in zip(a, b)] if mode in SEPARABLE else HSL[mode](bare(a, aa), bare(b, ab))
+        if mode in SEPARABLE:
+            f = [SEPARABLE[mode](x, y) for x, y in zip(a, b)]
+        else:
+            bare = lambda c, alpha: [F.when(alpha == 0, F.lit(0.0)).otherwise(v / F.when(alpha == 0, F.lit(1.0)).otherwise(alpha)) for v in c]
+            f = _parts(_let([*bare(a, aa), *bare(b, ab)], lambda v: HSL[mode](v[:3], v[3:])))
         # Where both cover, the mode decides; elsewhere each shows as it is.
         return [(1 - ab) * x + (1 - aa) * y + aa * ab * z for x, y, z in zip(a, b, f)], aa + ab * (1 - aa)
     fa, fb, alpha = _porter_duff(mode, aa, ab)

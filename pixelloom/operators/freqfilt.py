@@ -34,7 +34,7 @@ def _run(r: Raster, cols, fn, real: bool, bands: int):
             out[f"b{k}"] = g.real.ravel() if real else [{"re": z.real, "im": z.imag} for z in g.ravel()]
         return pd.DataFrame(out)
 
-    group = r.df.groupBy(*keys) if keys else r.df.groupBy(F.lit(1))
+    group = r.df.groupBy(*keys) if keys else r.df.withColumn("_image", F.lit(1)).groupBy("_image")
     return r.having(group.applyInPandas(one, schema), bands=bands, format="double" if real else "dpcomplex", interpretation="b_w" if real else "fourier")
 
 

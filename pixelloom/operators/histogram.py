@@ -60,7 +60,8 @@ def hist_match(cum: DataFrame, ref: DataFrame) -> DataFrame:
 def hist_plot(hist: DataFrame) -> DataFrame:
     """Bars: (x, y, v), 255 where the bar reaches y."""
     top = F.max("b0").over(Window.partitionBy())
-    rows = hist.select(F.col("bin").alias("x"), "b0", F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long") - 1)).alias("y"))
+    bars = hist.select(F.col("bin").alias("x"), "b0", top.cast("long").alias("top"))
+    rows = bars.select("x", "b0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1)).alias("y"))
     return rows.select("x", F.col("y").cast("int").alias("y"), F.when(F.col("b0") > F.col("y"), 255).otherwise(0).alias("v"))
 
 

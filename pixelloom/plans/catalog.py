@@ -64,9 +64,6 @@ def _arithmetic():
         _point(f"boolean_const_{name}", lambda t, n=name: A.boolean(t.ev, 60, n), expr.replace("a", "v", 1).replace("b", "60") if name != "eor" else "xor(v, 60)")
     _point("boolean_lshift", lambda t: A.boolean(t.ev, 2, "lshift"), "(v << 2) & 255")
     _point("boolean_rshift", lambda t: A.boolean(t.ev, 2, "rshift"), "v >> 2")
-    small = "(v / 255.0)"
-    unit = lambda t: A.linear(t.ev, 1 / 255.0, 0.0).cast("double")
-    del small, unit
     maths = {"sin": "sin(radians(v))", "cos": "cos(radians(v))", "atan": "degrees(atan(v))", "log": "CASE WHEN v = 0 THEN 0 ELSE ln(v) END", "log10": "CASE WHEN v = 0 THEN 0 ELSE log10(v) END", "asinh": "asinh(v)"}
     for name, expr in maths.items():
         _point(f"math_{name}", lambda t, n=name: A.math(t.val, n), expr, "val", False, False)
@@ -198,12 +195,238 @@ def _neighbourhoods():
     for d, part, order, size in (("horizontal", "x", "y", "100.0"), ("vertical", "y", "x", "(SELECT my + 1.0 FROM dim)")):
         _add(f"countlines_{d}", lambda t, d=d: M.countlines(t.ev, d).select(fixed(F.col("nolines")).alias("nolines")), with_ctes(["ev", "dim"], f"SELECT {sql_fixed(f'sum(u) / {size}', 4, False)} AS nolines FROM (SELECT CASE WHEN v >= 128 AND lag(v) OVER (PARTITION BY {part} ORDER BY {order}) < 128 THEN 1.0 ELSE 0.0 END AS u FROM ev)"))
     # Regions from a sparse mask, whose regions are small enough for a recursive query.
-    _add("labelregions", lambda t: shown(M.labelregions(A.relational(t.ev, 200, "more"))), with_ctes(["ev"], _REGIONS + " SELECT g.x, g.y, CAST(dense_rank() OVER (ORDER BY r.label) - 1 AS BIGINT) AS b0 FROM g JOIN r ON g.id = r.id").replace("WITH ", "WITH RECURSIVE ", 1) if False else None)
+    _add("labelregions", lambda t: shown(M.labelregions(A.relational(t.ev, 200, "more"))))
     _add("fill_nearest", lambda t: M.fill_nearest(t.ev.point(lambda c: F.when(c >= 128, c).otherwise(0))).select("x", "y", F.col("b0").cast("long").alias("b0"), fixed(F.col("distance")).alias("distance")),
          with_ctes(["ev"], f"SELECT p.x, p.y, {_i('arg_min(q.v, struct_pack(d := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), sy := q.y, sx := q.x))')} AS b0, {sql_fixed('sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)))', 4, False)} AS distance FROM ev p JOIN ev q ON q.v >= 128 AND abs(p.x - q.x) <= 12 AND abs(p.y - q.y) <= 12 GROUP BY p.x, p.y"))
 
 
-_REGIONS = ""
+def _conversion():
+    def joined(name, fn, exprs, cte, source, integer=True):
+        _bands(name, fn, exprs, integer=integer, ctes=cte, source=source)
+
+    for b in range(3):
+        _bands(f"extract_band_{b}", lambda t, b=b: V.extract_band(t.ev3, b), [f"b{b}"])
+    both = "(SELECT e.*, idx.v AS i FROM ev4 e JOIN idx ON e.x = idx.x AND e.y = idx.y)"
+    joined("bandjoin", lambda t: V.bandjoin([t.ev3, t.idx]), ["b0", "b1", "b2", "i"], ["ev4", "idx"], both)
+    _bands("bandjoin_const", lambda t: V.bandjoin_const(t.ev, [7, 300]), ["v", "7", "255"], "ev")
+    _bands("addalpha", lambda t: V.addalpha(t.ev3), ["b0", "b1", "b2", "255"])
+    _bands("bandmean", lambda t: V.bandmean(t.ev3), ["(b0 + b1 + b2 + 1) // 3"])
+    for op, e in {"and": "b0 & b1 & b2", "or": "b0 | b1 | b2", "eor": "xor(xor(b0, b1), b2)"}.items():
+        _bands(f"bandbool_{op}", lambda t, o=op: V.bandbool(t.ev3, o), [e])
+    three = "(SELECT ev.x, ev.y, ev.v AS p, idx.v AS q, bn.v AS r FROM ev JOIN idx ON ev.x = idx.x AND ev.y = idx.y JOIN bn ON ev.x = bn.x AND ev.y = bn.y)"
+    for name, k in (("bandrank", -1), ("bandrank_min", 0), ("bandrank_max", 2)):
+        joined(name, lambda t, k=k: V.bandrank([t.ev, t.idx, t.bin], k), [f"list_sort([p, q, r])[{2 if k < 0 else k + 1}]"], ["ev", "idx", "bn"], three)
+    _add("bandfold", lambda t: shown(V.bandfold(t.ev, 4)), with_ctes(["ev"], "SELECT CAST(x // 4 AS INT) AS x, y, " + ", ".join(f"CAST(max(CASE WHEN x % 4 = {k} THEN v END) AS BIGINT) AS b{k}" for k in range(4)) + " FROM ev GROUP BY x // 4, y"))
+    _add("bandunfold", lambda t: shown(V.bandunfold(t.ev3)), with_ctes(["ev4"], "SELECT CAST(x * 3 + k AS INT) AS x, y, CAST(CASE k WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS BIGINT) AS b0 FROM ev4 CROSS JOIN range(3) t(k)"))
+    m = [[0.3, 0.6, 0.1], [0.5, -0.25, 0.75]]
+    _bands("recomb", lambda t: V.recomb(t.ev3, m), [f"{r[0]} * b0 + {r[1]} * b1 + {r[2]} * b2" for r in m], integer=False)
+    _point("msb", lambda t: V.msb(t.orders), "v >> 24", "od")
+    _point("byteswap", lambda t: V.byteswap(V.cast(t.orders, "ushort")), "((least(65535, v) & 255) << 8) | (least(65535, v) >> 8)", "od")
+    lim = {f: RANGE[f] for f in RANGE}
+    for f, (lo, hi) in lim.items():
+        _point(f"cast_{f}", lambda t, f=f: V.cast(t.val.point(lambda c: c * 300.0 - 40000.0), f), f"trunc(least({hi}, greatest({lo}, v * 300.0 - 40000.0)))", "val")
+    for f in ("float", "double"):
+        _point(f"cast_{f}", lambda t, f=f: V.cast(t.ev, f), "v", integer=False)
+    _point("cast_shift_up", lambda t: V.cast(t.ev, "ushort", True), "(v << 8) + 255 * (v & 1)")
+    _point("cast_shift_down", lambda t: V.cast(V.cast(t.orders, "ushort"), "uchar", True), "least(65535, v) >> 8", "od")
+    _point("copy", lambda t: V.copy(t.ev, interpretation="b_w"), "v")
+    # geometry
+    _geometry("extract_area", lambda t: V.extract_area(t.ev, 10, 20, 30, 15), "x - 10", "y - 20", "x >= 10 AND x < 40 AND y >= 20 AND y < 35")
+    _geometry("flip_horizontal", lambda t: V.flip(t.ev, "horizontal"), "99 - x", "y")
+    _geometry("flip_vertical", lambda t: V.flip(t.ev, "vertical"), "x", "my - y")
+    _geometry("rot_d90", lambda t: V.rot(t.ev, "d90"), "my - y", "x")
+    _geometry("rot_d180", lambda t: V.rot(t.ev, "d180"), "99 - x", "my - y")
+    _geometry("rot_d270", lambda t: V.rot(t.ev, "d270"), "y", "99 - x")
+    orient = {1: ("x", "y"), 2: ("99 - x", "y"), 3: ("99 - x", "my - y"), 4: ("x", "my - y"), 5: ("y", "x"), 6: ("my - y", "x"), 7: ("my - y", "99 - x"), 8: ("y", "99 - x")}
+    for o, (x, y) in orient.items():
+        _geometry(f"autorot_{o}", lambda t, o=o: V.autorot(t.ev, o), x, y)
+    _add("rot45", lambda t: shown(V.rot45(V.extract_area(t.ev, 0, 0, 5, 5))), with_ctes(["ev"], "SELECT CAST(m.nx AS INT) AS x, CAST(m.ny AS INT) AS y, CAST(v AS BIGINT) AS b0 FROM ev JOIN (VALUES " + ", ".join(str(k) for k in _rot45_places(5)) + ") m(px, py, nx, ny) ON ev.x = m.px AND ev.y = m.py"))
+    _geometry("wrap", lambda t: V.wrap(t.ev), "(x + 50) % 100", "(y + (my + 1) // 2) % (my + 1)")
+    _geometry("transpose3d", lambda t: V.transpose3d(t.ev, 10), "x", "(y % 10) * ((my + 1) // 10) + y // 10")
+    _geometry("subsample", lambda t: V.subsample(t.ev, 3, 2), "x // 3", "y // 2", "x % 3 = 0 AND y % 2 = 0 AND x < 99 AND y // 2 < (my + 1) // 2")
+    _geometry("zoom", lambda t: V.zoom(t.ev, 2, 3), "x * 2 + i", "y * 3 + j", extra=", range(2) a(i), range(3) b(j)")
+    _geometry("replicate", lambda t: V.replicate(t.ev, 2, 2), "x + 100 * i", "y + (my + 1) * j", extra=", range(2) a(i), range(2) b(j)")
+    _geometry("grid", lambda t: V.grid_(t.ev, 10, 2, t.ev.height // 20), "x + 100 * ((y // 10) % 2)", "y % 10 + 10 * (y // 10 // 2)")
+    canvas = "(SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y FROM range(120) a(i), (SELECT unnest(range(my + 31)) AS j FROM dim))"
+    for ext, fill in (("black", 0), ("white", 255), ("background", 77)):
+        _add(f"embed_{ext}", lambda t, e=ext: shown(V.embed(t.ev, 10, 20, 120, t.ev.height + 30, e, 77)), with_ctes(["ev", "dim"], f"SELECT c.x, c.y, CAST(coalesce(ev.v, {fill}) AS BIGINT) AS b0 FROM {canvas} c LEFT JOIN ev ON ev.x = c.x - 10 AND ev.y = c.y - 20"))
+    wrap = {"copy": ("least(99, greatest(0, c.x - 10))", "least(my, greatest(0, c.y - 20))"), "repeat": ("(c.x + 90) % 100", "(c.y - 20 + 2 * (my + 1)) % (my + 1)"),
+            "mirror": ("CASE WHEN (c.x + 190) % 200 < 100 THEN (c.x + 190) % 200 ELSE 199 - (c.x + 190) % 200 END", "CASE WHEN (c.y - 20 + 4 * (my + 1)) % (2 * (my + 1)) <= my THEN (c.y - 20 + 4 * (my + 1)) % (2 * (my + 1)) ELSE 2 * my + 1 - (c.y - 20 + 4 * (my + 1)) % (2 * (my + 1)) END")}
+    for ext, (x, y) in wrap.items():
+        _add(f"embed_{ext}", lambda t, e=ext: shown(V.embed(t.ev, 10, 20, 120, t.ev.height + 30, e)), with_ctes(["ev", "dim"], f"SELECT c.x, c.y, CAST(ev.v AS BIGINT) AS b0 FROM {canvas} c CROSS JOIN dim JOIN ev ON ev.x = {x} AND ev.y = {y}"))
+    for d in ("centre", "north", "east", "south", "west", "north_east", "south_east", "south_west", "north_west"):
+        gx = "0" if "west" in d else "20" if "east" in d else "10"
+        gy = "0" if "north" in d else "30" if "south" in d else "15"
+        _add(f"gravity_{d}", lambda t, d=d: shown(V.gravity(t.ev, d, 120, t.ev.height + 30)), with_ctes(["ev", "dim"], f"SELECT c.x, c.y, CAST(coalesce(ev.v, 0) AS BIGINT) AS b0 FROM {canvas} c LEFT JOIN ev ON ev.x = c.x - {gx} AND ev.y = c.y - {gy}"))
+    _add("insert", lambda t: shown(V.insert(t.ev, t.part, 30, 10)), with_ctes(["ev", "pt", "dim"], "SELECT ev.x, ev.y, CAST(coalesce(pt.v, ev.v) AS BIGINT) AS b0 FROM ev LEFT JOIN pt ON pt.x = ev.x - 30 AND pt.y = ev.y - 10"))
+    pdim = "(SELECT max(y) AS py FROM pt)"
+    _add("insert_expand", lambda t: shown(V.insert(t.ev, t.part, 80, 10, True, 9)), with_ctes(["ev", "pt", "dim"], f"SELECT c.x, c.y, CAST(coalesce(pt.v, ev.v, 9) AS BIGINT) AS b0 FROM (SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y FROM range(130) a(i), (SELECT unnest(range(greatest(my, py + 10) + 1)) AS j FROM dim, {pdim})) c LEFT JOIN ev ON ev.x = c.x AND ev.y = c.y LEFT JOIN pt ON pt.x = c.x - 80 AND pt.y = c.y - 10"))
+    _add("join_horizontal", lambda t: shown(V.join(t.ev, t.ev, "horizontal", shim=3)), with_ctes(["ev", "dim"], "SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(coalesce(a.v, b.v, 0) AS BIGINT) AS b0 FROM range(203) r(i) CROSS JOIN (SELECT unnest(range(my + 1)) AS j FROM dim) LEFT JOIN ev a ON a.x = i AND a.y = j LEFT JOIN ev b ON b.x = i - 103 AND b.y = j"))
+    _add("join_vertical", lambda t: shown(V.join(t.ev, t.ev, "vertical")), with_ctes(["ev", "dim"], "SELECT x, y, CAST(v AS BIGINT) AS b0 FROM ev UNION ALL SELECT x, CAST(y + my + 1 AS INT), CAST(v AS BIGINT) FROM ev, dim"))
+    _add("arrayjoin", lambda t: shown(V.arrayjoin([t.ev, t.idx, t.bin], 2, 1, 5)), with_ctes(["ev", "idx", "bn", "dim"],
+         "SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(coalesce(a.v, b.v, c.v, 5) AS BIGINT) AS b0 FROM range(201) r(i) CROSS JOIN (SELECT unnest(range(2 * my + 3)) AS j, my FROM dim) LEFT JOIN ev a ON a.x = i AND a.y = j LEFT JOIN idx b ON b.x = i - 101 AND b.y = j LEFT JOIN bn c ON c.x = i AND c.y = j - my - 2"))
+    trio = "(SELECT bn.x, bn.y, bn.v AS c, ev.v AS p, idx.v AS q FROM bn JOIN ev ON ev.x = bn.x AND ev.y = bn.y JOIN idx ON idx.x = bn.x AND idx.y = bn.y)"
+    joined("ifthenelse", lambda t: V.ifthenelse(t.bin, t.ev, t.idx), ["CASE WHEN c <> 0 THEN p ELSE q END"], ["bn", "ev", "idx"], trio)
+    joined("ifthenelse_blend", lambda t: V.ifthenelse(t.ev, t.ev, t.bin, True), ["(p * p + (255 - p) * c + 128) // 255"], ["bn", "ev", "idx"], trio)
+    joined("switch", lambda t: V.switch([t.ev > 200, t.bin, t.idx]), ["CASE WHEN p > 200 THEN 0 WHEN c <> 0 THEN 1 WHEN q <> 0 THEN 2 ELSE 3 END"], ["bn", "ev", "idx"], trio)
+    joined("case", lambda t: H.case(t.idx, [t.ev, t.bin, t.idx]), ["CASE WHEN q = 0 THEN p WHEN q = 1 THEN c ELSE q END"], ["bn", "ev", "idx"], trio)
+    # alpha and range
+    _bands("flatten", lambda t: V.flatten(t.ev4, [10, 20, 30]), [f"floor((b{k} * CAST(b3 AS DOUBLE) + {10 * (k + 1)}.0 * (255.0 - b3)) / 255.0)" for k in range(3)])
+    _bands("premultiply", lambda t: V.premultiply(t.ev4), [f"b{k} * CAST(b3 AS DOUBLE) / 255.0" for k in range(3)] + ["b3"], integer=False)
+    _bands("unpremultiply", lambda t: V.unpremultiply(t.ev4), [f"CASE WHEN b3 = 0 THEN 0.0 ELSE CAST(b{k} AS DOUBLE) * 255.0 / b3 END" for k in range(3)] + ["b3"], integer=False, digits=2)
+    _point("gamma", lambda t: V.gamma(t.ev), f"floor(pow(v, 1 / 2.4) / {255 ** (1 / 2.4) / 255!r} + 0.5)")
+    _add("scale", lambda t: shown(V.scale(t.orders)), with_ctes(["od"], "SELECT x, y, CAST(least(255, floor((v - lo) * (255.0 / CAST(hi - lo AS DOUBLE)) + 0.5)) AS BIGINT) AS b0 FROM od, (SELECT min(v) AS lo, max(v) AS hi FROM od)"))
+    _add("scale_log", lambda t: shown(V.scale(t.orders, True)), with_ctes(["od"], "SELECT x, y, CAST(least(255, floor((255.0 / log10(1.0 + pow(hi, 0.25))) * log10(1.0 + pow(v, 0.25)) + 0.5)) AS BIGINT) AS b0 FROM od, (SELECT CAST(max(v) AS DOUBLE) AS hi FROM od)"))
+    ramp = lambda a, b: f"greatest(0.0, least(255.0, (v - {a}.0) * 255.0 / {b - a}.0))"
+    _bands("falsecolour", lambda t: V.falsecolour(t.ev), [f"floor({ramp(64, 160)})", f"floor({ramp(128, 224)})", f"floor(CASE WHEN v < 96 THEN {ramp(0, 64)} WHEN v < 192 THEN 255.0 - {ramp(96, 160)} ELSE {ramp(192, 255)} END)"], "ev")
+    for mode in blend.MODES:
+        _add(f"composite2_{mode}", lambda t, m=mode: shown(V.composite2(t.ev4, t.over, m)), _composite_sql(mode))
+    _add("composite", lambda t: shown(V.composite([t.ev4, t.over, t.ev4], ["over", "multiply"])))
+    for how in ("low", "high", "centre", "all"):
+        left, top = {"low": ("0", "0"), "high": ("40", "my - 49"), "centre": ("20", "(my + 1 - 50) // 2"), "all": ("0", "0")}[how]
+        where = "TRUE" if how == "all" else f"x >= {left} AND x < {left} + 60 AND y >= {top} AND y < {top} + 50"
+        _geometry(f"smartcrop_{how}", lambda t, h=how: V.smartcrop(t.ev, 60, 50, h), f"x - ({left})", f"y - ({top})", where)
+    for how in ("entropy", "attention"):
+        _add(f"smartcrop_{how}", lambda t, h=how: shown(V.smartcrop(t.ev, 60, 50, h)), with_ctes(["ev", "dim"],
+             "SELECT CAST(ev.x - bx AS INT) AS x, CAST(ev.y - by_ AS INT) AS y, CAST(v AS BIGINT) AS b0 FROM ev, (SELECT arg_max(p, struct_pack(s := s, n := -p)) AS bx FROM (SELECT x AS p, sum(e) OVER (ORDER BY x ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) AS s FROM cx_) WHERE p <= 40), (SELECT arg_max(p, struct_pack(s := s, n := -p)) AS by_ FROM (SELECT y AS p, sum(e) OVER (ORDER BY y ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s FROM cy_) WHERE p <= (SELECT my - 49 FROM dim)) WHERE ev.x >= bx AND ev.x < bx + 60 AND ev.y >= by_ AND ev.y < by_ + 50",
+             {"ed": "SELECT x, y, coalesce(abs(lead(v) OVER (PARTITION BY y ORDER BY x) - v), 0) AS e FROM ev", "cx_": "SELECT x, sum(e) AS e FROM ed GROUP BY x", "cy_": "SELECT y, sum(e) AS e FROM ed GROUP BY y"}))
+    for name in ("tilecache", "linecache", "cache"):
+        _point(name, lambda t: V.sequential(t.ev), "v")
+    _point("sequential", lambda t: V.sequential(t.ev), "v")
+
+
+def _rot45_places(n: int):
+    """(x, y, x', y') of an odd square turned once."""
+    flat = N.rotated45([[y * n + x for x in range(n)] for y in range(n)], 1)
+    return [(v % n, v // n, x, y) for y, line in enumerate(flat) for x, v in enumerate(line)]
+
+
+def _composite_sql(mode: str) -> str:
+    """The blend in SQL: alphas aa, ab and premultiplied colours a{k}, b{k}, in nested selects."""
+    pd = {"clear": ("0", "0", "0"), "source": ("1", "0", "aa"), "over": ("1", "(1 - aa)", "aa + ab * (1 - aa)"), "in": ("ab", "0", "aa * ab"), "out": ("(1 - ab)", "0", "aa * (1 - ab)"), "atop": ("1", "(1 - aa)", "ab"),
+          "dest": ("0", "1", "ab"), "dest_over": ("(1 - ab)", "1", "ab + aa * (1 - ab)"), "dest_in": ("0", "aa", "aa * ab"), "dest_out": ("0", "(1 - aa)", "(1 - aa) * ab"), "dest_atop": ("(1 - ab)", "1", "aa"),
+          "xor": ("(1 - ab)", "(1 - aa)", "aa + ab - 2 * aa * ab"), "add": ("1", "1", "least(1.0, aa + ab)"), "saturate": ("least(aa, 1 - ab)", "1", "least(1.0, aa + ab)")}
+    sep = {"multiply": "{a} * {b}", "screen": "{a} + {b} - {a} * {b}", "overlay": "CASE WHEN {b} <= 0.5 THEN 2 * {a} * {b} ELSE 1 - 2 * (1 - {a}) * (1 - {b}) END", "darken": "least({a}, {b})", "lighten": "greatest({a}, {b})",
+           "colour_dodge": "CASE WHEN {a} < 1 THEN least(1.0, {b} / (1 - {a})) ELSE 1.0 END", "colour_burn": "CASE WHEN {a} > 0 THEN 1 - least(1.0, (1 - {b}) / {a}) ELSE 0.0 END",
+           "hard_light": "CASE WHEN {a} <= 0.5 THEN 2 * {a} * {b} ELSE 1 - 2 * (1 - {a}) * (1 - {b}) END",
+           "soft_light": "CASE WHEN {a} <= 0.5 THEN {b} - (1 - 2 * {a}) * {b} * (1 - {b}) ELSE {b} + (2 * {a} - 1) * (CASE WHEN {b} <= 0.25 THEN ((16 * {b} - 12) * {b} + 4) * {b} ELSE sqrt({b}) END - {b}) END",
+           "difference": "abs({a} - {b})", "exclusion": "{a} + {b} - 2 * {a} * {b}"}
+    base = "SELECT e.x, e.y, o3 / 255.0::DOUBLE AS aa, b3 / 255.0::DOUBLE AS ab, " + ", ".join(f"(o{k} / 255.0::DOUBLE) * (o3 / 255.0::DOUBLE) AS a{k}, (b{k} / 255.0::DOUBLE) * (b3 / 255.0::DOUBLE) AS b{k}" for k in range(3)) + " FROM ev4 e JOIN ov o ON o.x = e.x AND o.y = e.y"
+    extra = {"pm": base}
+    src = "pm"
+    if mode in pd:
+        fa, fb, alpha = pd[mode]
+        colours = [f"{fa} * a{k} + {fb} * b{k}" for k in range(3)]
+    else:
+        alpha = "aa + ab * (1 - aa)"
+        if mode in sep:
+            fs = [sep[mode].format(a=f"a{k}", b=f"b{k}") for k in range(3)]
+        else:
+            bare = ", ".join(f"CASE WHEN aa = 0 THEN 0.0 ELSE a{k} / aa END AS s{k}, CASE WHEN ab = 0 THEN 0.0 ELSE b{k} / ab END AS t{k}" for k in range(3))
+            lum = lambda c: f"(0.3 * {c}0 + 0.59 * {c}1 + 0.11 * {c}2)"
+            lo, hi = (lambda c: f"least({c}0, {c}1, {c}2)"), (lambda c: f"greatest({c}0, {c}1, {c}2)")
+            c, d = {"hue": ("s", "t"), "saturation": ("t", "s"), "colour": ("s", None), "luminosity": ("t", None)}[mode]
+            to = "s" if mode == "luminosity" else "t"
+            sat = ", ".join((f"CASE WHEN {hi(c)} > {lo(c)} THEN ({c}{k} - {lo(c)}) * ({hi(d)} - {lo(d)}) / ({hi(c)} - {lo(c)}) ELSE 0.0 END AS u{k}" if d else f"{c}{k} AS u{k}") for k in range(3))
+            extra |= {"q1": f"SELECT *, {bare} FROM pm", "q2": f"SELECT *, {sat} FROM q1", "q3": f"SELECT *, " + ", ".join(f"u{k} + ({lum(to)} - {lum('u')}) AS v{k}" for k in range(3)) + " FROM q2",
+                      "q4": f"SELECT *, {lum('v')} AS l, {lo('v')} AS n, {hi('v')} AS m FROM q3", "q5": "SELECT *, " + ", ".join(f"CASE WHEN n < 0 THEN l + (v{k} - l) * l / (l - n) ELSE v{k} END AS w{k}" for k in range(3)) + " FROM q4"}
+            src = "q5"
+            fs = [f"CASE WHEN m > 1 THEN l + (w{k} - l) * (1 - l) / (m - l) ELSE w{k} END" for k in range(3)]
+        colours = [f"(1 - ab) * a{k} + (1 - aa) * b{k} + aa * ab * ({f})" for k, f in enumerate(fs)]
+    out = lambda v: f"CAST(least(255, greatest(0, floor(({v}) * 255.0 + 0.5))) AS BIGINT)"
+    cols = ", ".join(f"{out(f'CASE WHEN ra = 0 THEN 0.0 ELSE c{k} / ra END')} AS b{k}" for k in range(3))
+    extra["res"] = f"SELECT x, y, CAST({alpha} AS DOUBLE) AS ra, " + ", ".join(f"CAST({c} AS DOUBLE) AS c{k}" for k, c in enumerate(colours)) + f" FROM {src}"
+    return with_ctes(["ev4", "ov"], f"SELECT x, y, {cols}, {out('ra')} AS b3 FROM res", extra)
+
+
+def _histograms():
+    cut = lambda c, d=4: fixed(F.col(c), d).alias(c)
+    hist = lambda t: H.wide(A.hist_find(t.ev, 0), 1)
+    h = "SELECT CAST(k AS INT) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(256) s(k) LEFT JOIN (SELECT v, count(*) AS n FROM ev GROUP BY 1) ON v = k"
+    cum = "SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS c FROM h"
+    norm = "SELECT bin, CAST(floor(CAST(CAST(CAST(c AS DOUBLE) * (255 / CAST(max(c) OVER () AS DOUBLE)) AS REAL) AS DOUBLE)) AS BIGINT) AS e FROM cu"
+    more = {"h": h, "cu": cum, "nm": norm}
+    _add("hist_cum", lambda t: H.hist_cum(hist(t)).select("bin", F.col("b0").cast("long").alias("b0")), with_ctes(["ev"], "SELECT bin, c AS b0 FROM cu", more))
+    _add("hist_norm", lambda t: H.hist_norm(H.hist_cum(hist(t))), with_ctes(["ev"], "SELECT bin, e AS b0 FROM nm", more))
+    _add("hist_equal", lambda t: shown(H.hist_equal(t.ev)), with_ctes(["ev"], "SELECT x, y, e AS b0 FROM ev JOIN nm ON nm.bin = ev.v", more))
+    _add("hist_entropy", lambda t: H.hist_entropy(hist(t)).select(cut("entropy")), with_ctes(["ev"], f"SELECT {sql_fixed('-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END)', 4, False)} AS entropy FROM (SELECT n / CAST(sum(n) OVER () AS DOUBLE) AS p FROM h)", more))
+    _add("hist_ismonotonic", lambda t: H.hist_ismonotonic(H.hist_cum(hist(t))), with_ctes(["ev"], "SELECT bool_and(d >= 0) AS monotonic FROM (SELECT c - lag(c) OVER (ORDER BY bin) AS d FROM cu)", more))
+    rh = "SELECT CAST(k AS INT) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(256) s(k) LEFT JOIN (SELECT b2 AS v, count(*) AS n FROM ev4 GROUP BY 1) ON v = k"
+    _add("hist_match", lambda t: H.hist_match(H.hist_cum(hist(t)), H.hist_cum(H.wide(A.hist_find(V.extract_band(t.ev3, 2), 0), 1))), with_ctes(["ev", "ev4"], "SELECT cu.bin, CAST(coalesce((SELECT min(r.bin) FROM rc r WHERE r.c >= cu.c), 255) AS BIGINT) AS b0 FROM cu", {**more, "rh": rh, "rc": "SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS c FROM rh"}))
+    _add("hist_plot", lambda t: H.hist_plot(hist(t)).select("x", "y", F.col("v").cast("long").alias("v")), with_ctes(["ev"], "SELECT bin AS x, CAST(k AS INT) AS y, CAST(CASE WHEN n > k THEN 255 ELSE 0 END AS BIGINT) AS v FROM h, (SELECT unnest(range(max(n))) AS k FROM h)", more))
+    _add("maplut", lambda t: shown(H.maplut(t.ev, G.identity(t.spark).select("bin", (F.col("b0") * F.col("b0")).alias("b0")))), with_ctes(["ev"], f"SELECT x, y, {sql_fixed('v * v', 4, False)} AS b0 FROM ev"))
+    for p in (10, 50, 90):
+        _add(f"percent_{p}", lambda t, p=p: H.percent(t.ev, p), with_ctes(["ev"], f"SELECT min(bin) AS threshold FROM nm WHERE e > 256 * ({p} / 100.0)", more))
+    _add("percent_lum", lambda t: H.percent_lum(t.ev, 60).select(cut("threshold")), with_ctes(["ev"], f"SELECT {sql_fixed('(min(b) + 1) * 125.0 / 10000', 4, False)} AS threshold FROM (SELECT b, sum(n) OVER (ORDER BY b) AS c, sum(n) OVER () AS t FROM (SELECT greatest(0, least(9999, floor(v * 10000 / 125.0))) AS b, count(*) AS n FROM ev GROUP BY 1)) WHERE c >= t * 0.6"))
+
+
+def _generators():
+    w, h = 64, 48
+    base = f"(SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y FROM range({w}) a(i), range({h}) b(j))"
+
+    def made(name, fn, exprs, integer=False, digits=4, height=h):
+        src = base.replace(f"range({h})", f"range({height})")
+        cols = ", ".join(f"{_i(e) if integer else sql_fixed(e, digits)} AS b{k}" for k, e in enumerate(exprs))
+        _add(name, lambda t: shown(fn(t.spark), digits), f"SELECT x, y, {cols} FROM {src}")
+
+    made("black", lambda s: G.black(s, w, h, 2), ["0", "0"], True)
+    made("xyz", lambda s: G.xyz(s, w, h, 3), ["x", f"y % {h}", f"y // {h}"], True, height=3 * h)
+    made("grey", lambda s: G.grey(s, w, h), [f"x / {w - 1}.0::DOUBLE"])
+    made("grey_uchar", lambda s: G.grey(s, w, h, True), [f"floor((x / {w - 1}.0::DOUBLE) * 255.0 / 1.0)"], True)
+    made("zone", lambda s: G.zone(s, w, h), [f"cos({math.pi / w!r}::DOUBLE * ((x - {w // 2}) * (x - {w // 2}) + (y - {h // 2}) * (y - {h // 2})))"])
+    th, c = math.atan(1.0), math.sqrt(0.5) * math.pi * 2 / w
+    made("sines", lambda s: G.sines(s, w, h), [f"cos({c!r} * (x * {math.cos(th)!r} - y * {math.sin(th)!r}))"])
+    made("eye", lambda s: G.eye(s, w, h), [f"y * y * cos({0.5 * math.pi / (2 * (w - 1))!r} * x * x) / {float(h - 1) ** 2!r}"])
+    _add("identity", lambda t: G.identity(t.spark, 2), "SELECT CAST(i AS INT) AS bin, i AS b0, i AS b1 FROM range(256) a(i)")
+    _add("identity_ushort", lambda t: G.identity(t.spark, 1, True, 1000), "SELECT CAST(i AS INT) AS bin, i AS b0 FROM range(1000) a(i)")
+    _add("gaussnoise", lambda t: G.gaussnoise(t.spark, w, h).df.select("x", "y"), f"SELECT x, y FROM {base}")
+    sx, sy = f"(CASE WHEN x >= {w // 2} THEN x - {w} ELSE x END)", f"(CASE WHEN y >= {h // 2} THEN y - {h} ELSE y END)"
+    u, v = f"({sx} / {w // 2}.0::DOUBLE)", f"({sy} / {h // 2}.0::DOUBLE)"
+    d2 = f"({u} * {u} + {v} * {v})"
+    far = lambda a, b: f"(({u} - {a}) * ({u} - {a}) + ({v} - {b}) * ({v} - {b}))"
+    dc = lambda e: f"CASE WHEN x = 0 AND y = 0 THEN 1.0 ELSE {e} END"
+    flag = lambda e: f"CASE WHEN {e} THEN 1.0 ELSE 0.0 END"
+    made("mask_ideal", lambda s: G.mask_ideal(s, w, h, 0.5), [dc(flag(f"{d2} > 0.25"))])
+    made("mask_ideal_reject_nodc", lambda s: G.mask_ideal(s, w, h, 0.5, reject=True, nodc=True), [f"1.0 - {flag(f'{d2} > 0.25')}"])
+    ox, oy = f"((x + {w // 2}) % {w})", f"((y + {h // 2}) % {h})"
+    opt = lambda e: e.replace("x", "XX").replace("y", "YY").replace("XX", ox).replace("YY", oy)
+    made("mask_ideal_optical", lambda s: G.mask_ideal(s, w, h, 0.5, optical=True), [f"CASE WHEN x = {w // 2} AND y = {h // 2} THEN 1.0 WHEN {opt(d2)} > 0.25 THEN 1.0 ELSE 0.0 END"])
+    made("mask_ideal_ring", lambda s: G.mask_ideal_ring(s, w, h, 0.5, 0.2), [dc(flag(f"{d2} > {0.4 * 0.4!r} AND {d2} < {0.6 * 0.6!r}"))])
+    made("mask_ideal_band", lambda s: G.mask_ideal_band(s, w, h, 0.5, 0.25, 0.2), [dc(flag(f"{far(0.5, 0.25)} < {0.2 * 0.2!r} OR {far(-0.5, -0.25)} < {0.2 * 0.2!r}"))])
+    made("mask_butterworth", lambda s: G.mask_butterworth(s, w, h, 2, 0.5, 0.1), [dc(f"1 / (1 + {1 / 0.1 - 1!r} * pow(0.25 / {d2}, 2.0))")])
+    made("mask_butterworth_ring", lambda s: G.mask_butterworth_ring(s, w, h, 2, 0.5, 0.1, 0.4), [dc(f"1 / (1 + {1 / 0.1 - 1!r} * pow((sqrt({d2}) - 0.5) * (sqrt({d2}) - 0.5) / {(0.4 / 2) ** 2!r}, 2.0))")])
+    lobe = lambda d: f"1 / (1 + {1 / 0.1 - 1!r} * pow({d} / {0.2 * 0.2!r}, 2.0))"
+    made("mask_butterworth_band", lambda s: G.mask_butterworth_band(s, w, h, 2, 0.5, 0.25, 0.2, 0.1), [dc(f"({lobe(far(0.5, 0.25))} + {lobe(far(-0.5, -0.25))}) / {1 + 1 / (1 + (1 / 0.1 - 1) * (4 * (0.5 * 0.5 + 0.25 * 0.25) / (0.2 * 0.2)) ** 2)!r}")])
+    made("mask_gaussian", lambda s: G.mask_gaussian(s, w, h, 0.5, 0.1), [dc(f"1 - exp({math.log(0.1) / 0.25!r} * {d2})")])
+    kr = math.log(0.1) / (0.4 / 2) ** 2
+    made("mask_gaussian_ring", lambda s: G.mask_gaussian_ring(s, w, h, 0.5, 0.1, 0.4), [dc(f"exp({kr!r} * (sqrt({d2}) - 0.5) * (sqrt({d2}) - 0.5))")])
+    kb = math.log(0.1) / (0.2 * 0.2)
+    made("mask_gaussian_band", lambda s: G.mask_gaussian_band(s, w, h, 0.5, 0.25, 0.2, 0.1), [dc(f"(exp({kb!r} * {far(0.5, 0.25)}) + exp({kb!r} * {far(-0.5, -0.25)})) / {1 + math.exp(kb * 4 * (0.5 * 0.5 + 0.25 * 0.25))!r}")])
+    made("mask_fractal", lambda s: G.mask_fractal(s, w, h, 2.3), [dc(f"pow({sx} * {sx} + {sy} * {sy}, {(2.3 - 4) / 2!r})")])
+    made("sdf_circle", lambda s: G.sdf(s, w, h, "circle", (20, 10), r=12.0), ["sqrt((x - 20.0) * (x - 20.0) + (y - 10.0) * (y - 10.0)) - 12.0"])
+    q = lambda r: (f"abs(x - 30.0) - 20.0 + {r}", f"abs(y - 25.0) - 15.0 + {r}")
+    box = lambda r: "sqrt(pow(greatest({0}, 0.0), 2) + pow(greatest({1}, 0.0), 2)) + least(greatest({0}, {1}), 0.0) - {2}".format(*q(r), r)
+    made("sdf_box", lambda s: G.sdf(s, w, h, "box", (10, 10), (50, 40)), [box("0.0")])
+    made("sdf_rounded_box", lambda s: G.sdf(s, w, h, "rounded_box", (10, 10), (50, 40), corners=(2, 4, 6, 8)), [box("(CASE WHEN x > 30 AND y > 25 THEN 2.0 WHEN x > 30 THEN 4.0 WHEN y > 25 THEN 6.0 ELSE 8.0 END)")])
+    t = "greatest(0.0, least(1.0, ((x - 5.0) * 40 + (y - 8.0) * 30) / 2500.0))"
+    made("sdf_line", lambda s: G.sdf(s, w, h, "line", (5, 8), (45, 38)), [f"sqrt(pow(x - 5.0 - {t} * 40, 2) + pow(y - 8.0 - {t} * 30, 2))"])
+    for name, fn in (("worley", G.worley), ("perlin", G.perlin)):
+        _add(name, lambda t, fn=fn: shown(fn(t.spark, w, h, 16)))
+    _add("text", lambda t: shown(G.text(t.spark, "HELLO 42")))
+    _add("fractsurf", lambda t: Q.fractsurf(t.spark, 32, 32, 2.5).df.select("x", "y"), "SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y FROM range(32) a(i), range(32) b(j)")
+    for name, made_ in (("gaussmat", G.gaussmat(1.5, 0.1)[0]), ("logmat", G.logmat(1.5, 0.1)[0])):
+        n = len(made_) // 2
+        e = "exp(-(d / 4.5))" if name == "gaussmat" else "0.5 * (2 - d / 2.25) * exp(-d / 4.5)"
+        _add(name, lambda t, m=made_: G.matrix(t.spark, m).select("x", "y", fixed(F.col("v")).alias("v")), f"SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, {sql_fixed(f'round_even(20 * {e}, 0)', 4, False)} AS v FROM (SELECT i, j, CAST((i - {n}) * (i - {n}) + (j - {n}) * (j - {n}) AS DOUBLE) AS d FROM range({2 * n + 1}) a(i), range({2 * n + 1}) b(j))")
+    pts = "(SELECT CAST(n_nationkey AS DOUBLE) * 10 AS p, CAST((n_nationkey * 37) % 101 AS DOUBLE) AS q FROM nation)"
+    _add("buildlut", lambda t: G.buildlut(t.table("nation").select((F.col("n_nationkey") * 10).cast("double").alias("p"), ((F.col("n_nationkey") * 37) % 101).cast("double").alias("q"))).select("bin", fixed(F.col("b0")).alias("b0")),
+         f"SELECT CAST(k AS INT) AS bin, {sql_fixed('CASE WHEN p1 IS NULL THEN q ELSE q + (k - p) * (q1 - q) / (p1 - p) END', 4, False)} AS b0 FROM (SELECT p, q, lead(p) OVER (ORDER BY p) AS p1, lead(q) OVER (ORDER BY p) AS q1 FROM {pts}) s JOIN range(241) r(k) ON k >= p AND (k < p1 OR (p1 IS NULL AND k = p))")
+    _add("invertlut", lambda t: G.invertlut(t.spark, [(0.1, 0.2), (0.5, 0.4), (0.9, 0.8)]).select("bin", fixed(F.col("b0")).alias("b0")),
+         f"SELECT CAST(i AS INT) AS bin, {sql_fixed('CASE WHEN k <= 0.2 THEN k * (0.1 / 0.2) WHEN k <= 0.4 THEN 0.1 + (k - 0.2) * ((0.5 - 0.1) / (0.4 - 0.2)) WHEN k <= 0.8 THEN 0.5 + (k - 0.4) * ((0.9 - 0.5) / (0.8 - 0.4)) ELSE 0.9 + (k - 0.8) * ((1.0 - 0.9) / (1.0 - 0.8)) END', 3, False)} AS b0 FROM (SELECT i, i / 255.0::DOUBLE AS k FROM range(256) a(i))")
+    _Q["invertlut"] = (lambda spark, folder: G.invertlut(spark, [(0.1, 0.2), (0.5, 0.4), (0.9, 0.8)]).select("bin", fixed(F.col("b0"), 3).alias("b0")))
+    cubic = lambda v: f"(3 * {v} * {v} - 2 * {v} * {v} * {v})"
+    bump = lambda a, b, c_: f"(CASE WHEN x < {a} THEN 0.0 WHEN x < {b} THEN {cubic(f'((x - {a}) / {b - a})')} WHEN x < {c_} THEN 1.0 - {cubic(f'((x - {b}) / {c_ - b})')} ELSE 0.0 END)"
+    _add("tonelut", lambda t: G.tonelut(t.spark, 1000, 1000, S=10.0, M=-5.0, H=8.0), f"SELECT CAST(i AS INT) AS bin, CAST(floor(greatest(0.0, least(1000.0, 10.0 * (x + 10.0 * {bump(0.0, 20.0, 50.0)} + -5.0 * {bump(20.0, 50.0, 80.0)} + 8.0 * {bump(50.0, 80.0, 100.0)})))) AS BIGINT) AS b0 FROM (SELECT i, 100.0::DOUBLE * i / 1000 AS x FROM range(1001) a(i))")
 
 
 def queries():
@@ -216,4 +439,7 @@ def oracle_sql():
 
 _arithmetic()
 _neighbourhoods()
-_ = (math, blend, K, V, G, D, Q, S, R, RANGE)
+_conversion()
+_histograms()
+_generators()
+_ = (K, D, S, R)
