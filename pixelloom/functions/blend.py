@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .bind import let
+
 
 def _lo(a, b):
     return F.least(a, b)
@@ -39,13 +41,6 @@ SEPARABLE = {
 }
 
 
-def _let(values: list[Column], fn):
-    """``fn`` of named values, each worked out once: a lambda over one struct binds them."""
-    names = [f"v{k}" for k in range(len(values))]
-    bound = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
-    return F.get(F.transform(bound, lambda s: fn([s[n] for n in names])), F.lit(0))
-
-
 def _three(values):
     return F.struct(*[v.alias(f"c{k}") for k, v in enumerate(values)])
 
@@ -68,7 +63,7 @@ def _set_sat(c, s):
         c, lo, hi, s = v[:3], v[3], v[4], v[5]
         return _three([F.when(hi > lo, (x - lo) * s / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))).otherwise(F.lit(0.0)) for x in c])
 
-    return _let([*c, F.least(*c), F.greatest(*c), s], scaled)
+    return let([*c, F.least(*c), F.greatest(*c), s], scaled)
 
 
 def _set_lum(c, l):
@@ -79,18 +74,18 @@ def _set_lum(c, l):
 
     def shifted(v):
         moved = [x + (v[3] - _lum(v[:3])) for x in v[:3]]
-        return _let(moved, lambda m: _let([*m, _lum(m), F.greatest(*m)], lambda w: _let([low(w), w[3], w[4]], high)))
+        return let(moved, lambda m: let([*m, _lum(m), F.greatest(*m)], lambda w: let([low(w), w[3], w[4]], high)))
 
     def high(v):
         l, m = v[1], v[2]
         return _three([F.when(m > 1, l + (x - l) * (1 - l) / F.when(m > 1, m - l).otherwise(F.lit(1.0))).otherwise(x) for x in _parts(v[0])])
 
-    return _let([*c, l], shifted)
+    return let([*c, l], shifted)
 
 
 HSL = {
-    "hue": lambda a, b: _let([_set_sat(a, _sat(b)), _lum(b)], lambda v: _set_lum(_parts(v[0]), v[1])),
-    "saturation": lambda a, b: _let([_set_sat(b, _sat(a)), _lum(b)], lambda v: _set_lum(_parts(v[0]), v[1])),
+    "hue": lambda a, b: let([_set_sat(a, _sat(b)), _lum(b)], lambda v: _set_lum(_parts(v[0]), v[1])),
+    "saturation": lambda a, b: let([_set_sat(b, _sat(a)), _lum(b)], lambda v: _set_lum(_parts(v[0]), v[1])),
     "colour": lambda a, b: _set_lum(a, _lum(b)),
     "luminosity": lambda a, b: _set_lum(b, _lum(a)),
 }
@@ -105,7 +100,7 @@ def mix(mode: str, a: list[Column], aa: Column, b: list[Column], ab: Column) ->
             f = [SEPARABLE[mode](x, y) for x, y in zip(a, b)]
         else:
             bare = lambda c, alpha: [F.when(alpha == 0, F.lit(0.0)).otherwise(v / F.when(alpha == 0, F.lit(1.0)).otherwise(alpha)) for v in c]
-            f = _parts(_let([*bare(a, aa), *bare(b, ab)], lambda v: HSL[mode](v[:3], v[3:])))
+            f = _parts(let([*bare(a, aa), *bare(b, ab)], lambda v: HSL[mode](v[:3], v[3:])))
         # Where both cover, the mode decides; elsewhere each shows as it is.
         return [(1 - ab) * x + (1 - aa) * y + aa * ab * z for x, y, z in zip(a, b, f)], aa + ab * (1 - aa)
     fa, fb, alpha = _porter_duff(mode, aa, ab)

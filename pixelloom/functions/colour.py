@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .bind import let
+
 # White points and matrices of the public colour standards (D65, sRGB, Oklab).
 D65 = (95.0470, 100.0, 108.8827)
 D50 = (96.4250, 100.0, 82.4680)
@@ -226,24 +228,38 @@ def de_cmc(p, q):
 
 
 def de00(p, q):
-    """CIEDE2000."""
-    (l1, a1, b1), (l2, a2, b2) = p, q
+    """CIEDE2000, in steps that bind their values."""
     seven = lambda c: c * c * c * c * c * c * c
-    cb = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
-    g = 0.5 * (1 - F.sqrt(seven(cb) / (seven(cb) + 25.0**7)))
-    a1d, a2d = (1 + g) * a1, (1 + g) * a2
-    c1, c2 = F.sqrt(a1d * a1d + b1 * b1), F.sqrt(a2d * a2d + b2 * b2)
-    h1, h2 = hue(a1d, b1), hue(a2d, b2)
-    near = F.abs(h1 - h2) < 180
-    lb, cd = (l1 + l2) / 2, (c1 + c2) / 2
-    hd = F.when(near, (h1 + h2) / 2).otherwise(F.abs(h1 + h2 - 360) / 2)
-    turn = 30 * F.exp(-((hd - 275) / 25) * ((hd - 275) / 25))
-    rt = -F.sin(F.radians(2 * turn)) * 2 * F.sqrt(seven(cd) / (seven(cd) + 25.0**7))
     cos = lambda v: F.cos(F.radians(v))
-    t = 1 - 0.17 * cos(hd - 30) + 0.24 * cos(2 * hd) + 0.32 * cos(3 * hd + 6) - 0.20 * cos(4 * hd - 63)
-    l50 = (lb - 50) * (lb - 50)
-    dh = F.when(near, h1 - h2).otherwise(360 - (h1 - h2))
-    nl = (l1 - l2) / (1 + 0.015 * l50 / F.sqrt(20 + l50))
-    nc = (c1 - c2) / (1 + 0.045 * cd)
-    nh = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2)) / (1 + 0.015 * cd * t)
-    return F.sqrt(F.greatest(F.lit(0.0), nl * nl + nc * nc + nh * nh + rt * nc * nh))
+
+    def chroma(v):
+        (a1, b1), (a2, b2) = v[1:3], v[4:6]
+        return let([*v, (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2], stretched)
+
+    def stretched(v):
+        *v, cb = v
+        g = 0.5 * (1 - F.sqrt(seven(cb) / (seven(cb) + 25.0**7)))
+        return let([v[0], (1 + g) * v[1], v[2], v[3], (1 + g) * v[4], v[5]], polar)
+
+    def polar(v):
+        l1, a1, b1, l2, a2, b2 = v
+        return let([l1, l2, F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2), hue(a1, b1), hue(a2, b2)], means)
+
+    def means(v):
+        l1, l2, c1, c2, h1, h2 = v
+        near = F.abs(h1 - h2) < 180
+        hd = F.when(near, (h1 + h2) / 2).otherwise(F.abs(h1 + h2 - 360) / 2)
+        dh = F.when(near, h1 - h2).otherwise(360 - (h1 - h2))
+        return let([l1, l2, c1, c2, (l1 + l2) / 2, (c1 + c2) / 2, hd, dh], terms)
+
+    def terms(v):
+        l1, l2, c1, c2, lb, cd, hd, dh = v
+        turn = 30 * F.exp(-((hd - 275) / 25) * ((hd - 275) / 25))
+        rt = -F.sin(F.radians(2 * turn)) * 2 * F.sqrt(seven(cd) / (seven(cd) + 25.0**7))
+        t = 1 - 0.17 * cos(hd - 30) + 0.24 * cos(2 * hd) + 0.32 * cos(3 * hd + 6) - 0.20 * cos(4 * hd - 63)
+        l50 = (lb - 50) * (lb - 50)
+        nl, nc = (l1 - l2) / (1 + 0.015 * l50 / F.sqrt(20 + l50)), (c1 - c2) / (1 + 0.045 * cd)
+        nh = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2)) / (1 + 0.015 * cd * t)
+        return let([nl, nc, nh, rt], lambda w: F.sqrt(F.greatest(F.lit(0.0), w[0] * w[0] + w[1] * w[1] + w[2] * w[2] + w[3] * w[1] * w[2])))
+
+    return let([*p, *q], chroma)

@@ -72,10 +72,12 @@ def phasecor(left: Raster, right: Raster) -> Raster:
 def spectrum(r: Raster) -> Raster:
     """Displayable power spectrum: modulus, log scale, origin in the middle."""
 
+    w, h = r.width, r.height
+
     def fn(g):
-        m = np.abs(np.fft.fft2(g[0])) / (r.width * r.height)
+        m = np.abs(np.fft.fft2(g[0])) / (w * h)
         s = np.log10(1 + m**0.25)
-        return [np.roll(np.floor(s * (255.0 / (s.max() or 1.0)) + 0.5), (r.height // 2, r.width // 2), (0, 1)).astype(complex)]
+        return [np.roll(np.floor(s * (255.0 / (s.max() or 1.0)) + 0.5), (h // 2, w // 2), (0, 1)).astype(complex)]
 
     out = _run(r, ["b0"], fn, True, 1)
     return out.cast("uchar")

@@ -429,6 +429,214 @@ def _generators():
     _add("tonelut", lambda t: G.tonelut(t.spark, 1000, 1000, S=10.0, M=-5.0, H=8.0), f"SELECT CAST(i AS INT) AS bin, CAST(floor(greatest(0.0, least(1000.0, 10.0 * (x + 10.0 * {bump(0.0, 20.0, 50.0)} + -5.0 * {bump(20.0, 50.0, 80.0)} + 8.0 * {bump(50.0, 80.0, 100.0)})))) AS BIGINT) AS b0 FROM (SELECT i, 100.0::DOUBLE * i / 1000 AS x FROM range(1001) a(i))")
 
 
+def _stage(exprs: list[str], source: str, names="pqrs", integer=False) -> str:
+    """A step in SQL: values pass through single precision as storage does."""
+    cast = (lambda e: f"CAST({e} AS BIGINT)") if integer else (lambda e: f"CAST(CAST({e} AS REAL) AS DOUBLE)")
+    return f"SELECT x, y, {', '.join(f'{cast(e)} AS {n}' for e, n in zip(exprs, names))} FROM {source}"
+
+
+def _mat(m, scale: str) -> list[str]:
+    return [f"(p * {a!r} + q * {b!r} + r * {c!r}) * {scale}" for a, b, c in m]
+
+
+_DECODE = [f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END" for c in ("b0", "b1", "b2")]
+_HUE = "CASE WHEN degrees(atan2(r, q)) < 0 THEN degrees(atan2(r, q)) + 360 ELSE degrees(atan2(r, q)) END"
+
+
+def _encode(c: str) -> str:
+    f = f"greatest(0.0, least(1.0, {c}))"
+    return f"floor((CASE WHEN {f} <= 0.0031308 THEN {f} * 12.92 ELSE 1.055 * pow({f}, {1 / 2.4!r}) - 0.055 END) * 255.0 + 0.5)"
+
+
+def _colours():
+    C = K.C
+    fxyz = lambda v, w: f"(CASE WHEN {v} / {w!r} < 0.008856 THEN 7.787 * ({v} / {w!r}) + 16.0 / 116.0 ELSE cbrt({v} / {w!r}) END)"
+    x_, y_, z_ = (fxyz(v, w) for v, w in zip("pqr", C.D65))
+    fy = f"(CASE WHEN p < 8.0 THEN 7.787 * ((p * 100.0 / 903.3) / 100.0) + 16.0 / 116.0 ELSE (p + 16.0) / 116.0 END)"
+    back = lambda t, w: f"CASE WHEN {t} < 0.2069 THEN {w!r} * ({t} - 0.13793) / 7.787 ELSE {w!r} * {t} * {t} * {t} END"
+    seg = lambda j: f"(CASE WHEN r < 49.1 THEN {C.CMC_HUES[0][j]} WHEN r < 110.1 THEN {C.CMC_HUES[1][j]} WHEN r < 269.6 THEN {C.CMC_HUES[2][j]} ELSE {C.CMC_HUES[3][j]} END)"
+    pc = f"cos(radians({seg(4)} * r + {seg(5)}))"
+    step = {
+        "scRGB2XYZ": _mat(C.SCRGB_XYZ, "100.0"), "XYZ2scRGB": _mat(C.XYZ_SCRGB, "0.01"),
+        "XYZ2Lab": [f"116.0 * {y_} - 16.0", f"500.0 * ({x_} - {y_})", f"200.0 * ({y_} - {z_})"],
+        "Lab2XYZ": [back(f"(q / 500.0 + {fy})", C.D65[0]), "CASE WHEN p < 8.0 THEN p * 100.0 / 903.3 ELSE 100.0 * pow((p + 16.0) / 116.0, 3.0) END", back(f"({fy} - r / 200.0)", C.D65[2])],
+        "Lab2LCh": ["p", "sqrt(q * q + r * r)", _HUE], "LCh2Lab": ["p", "q * cos(radians(r))", "q * sin(radians(r))"],
+        "LCh2CMC": ["CASE WHEN p < 16.0 THEN 1.744 * p ELSE 21.75 * ln(greatest(p, 1.0)) + 0.3838 * p - 38.54 END", "greatest(0.0, 0.162 * q + 10.92 * ln(0.638 + 0.07216 * q) + 4.907)",
+                    f"r + ({seg(1)} + {seg(2)} * {pc} * pow(abs({pc}), {seg(3)})) * sqrt(q * q * q * q / (q * q * q * q + 1900.0))"],
+        "XYZ2Yxy": ["q", "CASE WHEN p + q + r <> 0 THEN p / (p + q + r) ELSE 0.0 END", "CASE WHEN p + q + r <> 0 THEN q / (p + q + r) ELSE 0.0 END"],
+        "Yxy2XYZ": ["CASE WHEN q <> 0 AND r <> 0 THEN p * q / r ELSE 0.0 END", "p", "CASE WHEN q <> 0 AND r <> 0 THEN (p * q / r) * (1 - q - r) / q ELSE 0.0 END"],
+    }
+    lms = ["(p / 100.0 * {!r} + q / 100.0 * {!r} + r / 100.0 * {!r})".format(*row) for row in C.XYZ_LMS]
+    step["XYZ2Oklab"] = [" + ".join(f"cbrt({l} * 1.0) * {m!r}" for l, m in zip(lms, row)) for row in C.LMS_OKLAB]
+    inv = ["(p * {!r} + q * {!r} + r * {!r})".format(*row) for row in C.OKLAB_LMS]
+    step["Oklab2XYZ"] = ["(" + " + ".join(f"{l} * {l} * {l} * {m!r}" for l, m in zip(inv, row)) + ") * 100.0" for row in C.LMS_XYZ]
+    step["Oklab2Oklch"], step["Oklch2Oklab"] = step["Lab2LCh"], step["LCh2Lab"]
+    step["CMYK2XYZ"] = [f"{w!r} * (1 - {c} / 255.0) * (1 - s / 255.0)" for c, w in zip("pqr", C.D65)]
+
+    def chain(name, fn, names, last=None, digits=3, integer=False):
+        """sRGB pixels through named steps; ``last`` gives the final expressions where they are not a named step's."""
+        ctes, src = {"s0": _stage(_DECODE, "ev4")}, "s0"
+        for k, n in enumerate(names):
+            ctes[f"s{k + 1}"] = _stage(step[n], src)
+            src = f"s{k + 1}"
+        exprs = last or ["p", "q", "r"]
+        cols = ", ".join(f"{_i(e) if integer else sql_fixed(e, digits)} AS b{k}" for k, e in enumerate(exprs))
+        _add(name, lambda t: shown(fn(t), digits), with_ctes(["ev4"], f"SELECT x, y, {cols} FROM {src}", ctes))
+
+    to = lambda space: (lambda t: K.colourspace(t.ev3, space))
+    chain("sRGB2scRGB", to("scrgb"), [], digits=5)
+    chain("scRGB2XYZ", to("xyz"), ["scRGB2XYZ"])
+    chain("XYZ2Lab", to("lab"), ["scRGB2XYZ", "XYZ2Lab"], digits=2)
+    chain("Lab2LCh", to("lch"), ["scRGB2XYZ", "XYZ2Lab", "Lab2LCh"], digits=2)
+    chain("LCh2CMC", to("cmc"), ["scRGB2XYZ", "XYZ2Lab", "Lab2LCh", "LCh2CMC"], digits=1)
+    chain("XYZ2Yxy", to("yxy"), ["scRGB2XYZ", "XYZ2Yxy"])
+    chain("Yxy2XYZ", lambda t: K.step(K.colourspace(t.ev3, "yxy"), "Yxy2XYZ"), ["scRGB2XYZ", "XYZ2Yxy", "Yxy2XYZ"], digits=2)
+    chain("Lab2XYZ", lambda t: K.step(K.colourspace(t.ev3, "lab"), "Lab2XYZ"), ["scRGB2XYZ", "XYZ2Lab", "Lab2XYZ"], digits=2)
+    chain("LCh2Lab", lambda t: K.step(K.colourspace(t.ev3, "lch"), "LCh2Lab"), ["scRGB2XYZ", "XYZ2Lab", "Lab2LCh", "LCh2Lab"], digits=2)
+    chain("XYZ2Oklab", to("oklab"), ["scRGB2XYZ", "XYZ2Oklab"])
+    chain("Oklab2Oklch", to("oklch"), ["scRGB2XYZ", "XYZ2Oklab", "Oklab2Oklch"], digits=2)
+    chain("Oklch2Oklab", lambda t: K.step(K.colourspace(t.ev3, "oklch"), "Oklch2Oklab"), ["scRGB2XYZ", "XYZ2Oklab", "Oklab2Oklch", "Oklch2Oklab"])
+    chain("Oklab2XYZ", lambda t: K.step(K.colourspace(t.ev3, "oklab"), "Oklab2XYZ"), ["scRGB2XYZ", "XYZ2Oklab", "Oklab2XYZ"], digits=2)
+    chain("XYZ2scRGB", lambda t: K.step(K.colourspace(t.ev3, "xyz"), "XYZ2scRGB"), ["scRGB2XYZ", "XYZ2scRGB"], digits=3)
+    chain("scRGB2sRGB", lambda t: K.colourspace(K.colourspace(t.ev3, "xyz"), "srgb"), ["scRGB2XYZ", "XYZ2scRGB"], [_encode(c) for c in "pqr"], integer=True)
+    chain("scRGB2BW", to("b_w"), [], [_encode("(0.2126 * p + 0.7152 * q + 0.0722 * r)")], integer=True)
+    k = [f"greatest(0.0, least(1.0, 1 - {v} / {w!r}))" for v, w in zip("pqr", C.D65)]
+    black = f"least({k[0]}, {k[1]}, {k[2]})"
+    cmyk = [f"floor(255.0 * (CASE WHEN {black} < 1 THEN ({v} - {black}) / (1 - {black}) ELSE 0.0 END) + 0.5)" for v in k] + [f"floor(255.0 * {black} + 0.5)"]
+    chain("XYZ2CMYK", to("cmyk"), ["scRGB2XYZ"], cmyk, integer=True)
+    _bands("CMYK2XYZ", lambda t: K.step(t.ev4, "CMYK2XYZ"), [e.replace("(1 - p", "(1 - b0").replace("(1 - q", "(1 - b1").replace("(1 - r", "(1 - b2").replace("(1 - s", "(1 - b3") for e in step["CMYK2XYZ"]], integer=False)
+    top, low = "greatest(b0, b1, b2)", "least(b0, b1, b2)"
+    sector = lambda d, base: f"floor(42.5 * (({d}) / CAST({top} - {low} AS DOUBLE)) + {base})"
+    hue = f"CASE WHEN {top} = {low} THEN 0 WHEN b1 < b2 THEN CASE WHEN b2 < b0 THEN {sector('b1 - b2', 255.0)} ELSE {sector('b0 - b1', 170.0)} END ELSE CASE WHEN b1 < b0 THEN {sector('b1 - b2', 0.0)} ELSE {sector('b2 - b0', 85.0)} END END"
+    _bands("sRGB2HSV", to("hsv"), [hue, f"CASE WHEN {top} = 0 THEN 0 ELSE floor(({top} - {low}) * 255.0 / CAST({top} AS DOUBLE)) END", top])
+    c_ = "(b2 * b1 / 255.0::DOUBLE)"
+    x2 = f"({c_} * (1 - abs(b0 / 42.5::DOUBLE - 2 * floor(b0 / 42.5::DOUBLE / 2) - 1)))"
+    six = lambda *v: "floor(CASE WHEN b0 < 42 THEN {0} WHEN b0 < 85 THEN {1} WHEN b0 < 127 THEN {2} WHEN b0 < 170 THEN {3} WHEN b0 < 212 THEN {4} ELSE {5} END + (b2 - {6}))".format(*v, c_)
+    _bands("HSV2sRGB", lambda t: K.step(t.ev3, "HSV2sRGB"), [six(c_, x2, "0", "0", x2, c_), six(x2, c_, c_, x2, "0", "0"), six("0", "0", x2, c_, c_, x2)])
+    _bands("Lab2LabS", lambda t: K.step(t.lab, "Lab2LabS"), ["trunc(greatest(0.0, least(32767.0, l * (32767.0 / 100.0))))", *[f"trunc(greatest(-32768.0, least(32767.0, {v} * 256.0)))" for v in "ab"]], "lab")
+    _bands("LabS2Lab", lambda t: K.step(K.step(t.lab, "Lab2LabS"), "LabS2Lab"), ["trunc(greatest(0.0, least(32767.0, l * (32767.0 / 100.0)))) / (32767.0 / 100.0)", *[f"trunc(greatest(-32768.0, least(32767.0, {v} * 256.0))) / 256.0" for v in "ab"]], "lab", False)
+    ql = "CAST(greatest(0, least(1023, floor(10.23 * l + 0.5))) AS BIGINT)"
+    qa, qb = (f"CAST(greatest(-1024, least(1023, round_even(8.0 * {v}, 0))) AS BIGINT)" for v in "ab")
+    _bands("Lab2LabQ", lambda t: K.step(t.lab, "Lab2LabQ"), [f"{ql} >> 2", f"({qa} >> 3) & 255", f"({qb} >> 3) & 255", f"(({ql} & 3) << 6) | (({qa} & 7) << 3) | ({qb} & 7)"], "lab")
+    _bands("LabQ2Lab", lambda t: K.step(K.step(t.lab, "Lab2LabQ"), "LabQ2Lab"), [f"{ql} * (100.0::DOUBLE / 1023.0)", f"{qa} * 0.125", f"{qb} * 0.125"], "lab", False, digits=3)
+    _add("LabQ2sRGB", lambda t: shown(K.colourspace(K.step(t.lab, "Lab2LabQ"), "srgb")))
+    _add("LabQ2LabS", lambda t: shown(K.colourspace(K.step(t.lab, "Lab2LabQ"), "labs")), with_ctes(["lab"], f"SELECT x, y, CAST(trunc(greatest(0.0, least(32767.0, CAST(CAST({ql} * (100.0::DOUBLE / 1023.0) AS REAL) AS DOUBLE) * (32767.0::DOUBLE / 100.0)))) AS BIGINT) AS b0, CAST(greatest(-32768.0, least(32767.0, {qa} * 32.0)) AS BIGINT) AS b1, CAST(greatest(-32768.0, least(32767.0, {qb} * 32.0)) AS BIGINT) AS b2 FROM lab"))
+    _add("LabS2LabQ", lambda t: shown(K.colourspace(K.step(t.lab, "Lab2LabS"), "labq")))
+    e_ = "b3"
+    _bands("rad2float", lambda t: K.step(t.ev4, "rad2float"), [f"CASE WHEN {e_} = 0 THEN 0.0 ELSE (b{j} + 0.5) * pow(2.0, {e_} - 136) END / 1e30" for j in range(3)], integer=False)
+    _Q["rad2float"] = lambda spark, folder: shown(K.step(Tables(spark, folder).ev4, "rad2float").point(lambda c: c.cast("double") / 1e30, "double"))
+    _SQL["rad2float"] = with_ctes(["ev4"], "SELECT x, y, " + ", ".join(f"floor(CAST(CAST(CASE WHEN b3 = 0 THEN 0.0 ELSE (b{j} + 0.5) * pow(2.0, b3 - 136) END AS REAL) AS DOUBLE) / 1e30 * 10000.0 + 0.5) / 10000.0 AS b{j}" for j in range(3)) + " FROM ev4")
+    g = "greatest(b0, b1, b2)"
+    ex = f"(floor(log2({g})) + 1)"
+    _bands("float2rad", lambda t: K.step(t.ev3.cast("float"), "float2rad"), [*[f"CASE WHEN {g} > 0 THEN floor(b{j} * (256.0 / pow(2.0, {ex}))) ELSE 0 END" for j in range(3)], f"CASE WHEN {g} > 0 THEN {ex} + 128 ELSE 0 END"])
+    two = "(SELECT m.x, m.y, m.l AS l1, m.a AS a1, m.b AS b1, n.l AS l2, n.a AS a2, n.b AS b2 FROM lab m JOIN lab2 n ON m.x = n.x AND m.y = n.y)"
+    _add("dE76", lambda t: shown(K.dE76(t.lab, t.lab2), 3), with_ctes(["lab", "lab2"], f"SELECT x, y, {sql_fixed('sqrt((l1 - l2) * (l1 - l2) + (a1 - a2) * (a1 - a2) + (b1 - b2) * (b1 - b2))', 3)} AS b0 FROM {two}"))
+    h = lambda a, b: f"CASE WHEN degrees(atan2({b}, {a})) < 0 THEN degrees(atan2({b}, {a})) + 360 ELSE degrees(atan2({b}, {a})) END"
+    s1 = f"SELECT *, 0.5 * (1 - sqrt(pow(cb, 7) / (pow(cb, 7) + pow(25.0, 7)))) AS g FROM (SELECT *, (sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2 AS cb FROM {two})"
+    s2 = f"SELECT *, sqrt(ad1 * ad1 + b1 * b1) AS c1, sqrt(ad2 * ad2 + b2 * b2) AS c2, {h('ad1', 'b1')} AS h1, {h('ad2', 'b2')} AS h2 FROM (SELECT *, (1 + g) * a1 AS ad1, (1 + g) * a2 AS ad2 FROM s1)"
+    s3 = "SELECT *, (l1 + l2) / 2 AS lb, (c1 + c2) / 2 AS cd, CASE WHEN abs(h1 - h2) < 180 THEN (h1 + h2) / 2 ELSE abs(h1 + h2 - 360) / 2 END AS hd, CASE WHEN abs(h1 - h2) < 180 THEN h1 - h2 ELSE 360 - (h1 - h2) END AS dh FROM s2"
+    s4 = "SELECT *, -sin(radians(2 * 30 * exp(-pow((hd - 275) / 25, 2)))) * 2 * sqrt(pow(cd, 7) / (pow(cd, 7) + pow(25.0, 7))) AS rt, 1 - 0.17 * cos(radians(hd - 30)) + 0.24 * cos(radians(2 * hd)) + 0.32 * cos(radians(3 * hd + 6)) - 0.20 * cos(radians(4 * hd - 63)) AS t FROM s3"
+    s5 = "SELECT *, (l1 - l2) / (1 + 0.015 * pow(lb - 50, 2) / sqrt(20 + pow(lb - 50, 2))) AS nl, (c1 - c2) / (1 + 0.045 * cd) AS nc, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * cd * t) AS nh FROM s4"
+    _add("dE00", lambda t: shown(K.dE00(t.lab, t.lab2), 2), with_ctes(["lab", "lab2"], f"SELECT x, y, {sql_fixed('sqrt(greatest(0.0, nl * nl + nc * nc + nh * nh + rt * nc * nh))', 2)} AS b0 FROM s5", {"s1": s1, "s2": s2, "s3": s3, "s4": s4, "s5": s5}))
+    _add("dECMC", lambda t: shown(K.dECMC(t.lab, t.lab2), 2))
+    _add("CMC2LCh", lambda t: shown(K.cmc2lch(K.colourspace(t.ev3, "cmc")), 1))
+    for tr in ("srgb", "bt709", "pq", "hlg", "linear"):
+        _add(f"CICP2scRGB_{tr}", lambda t, tr=tr: shown(K.cicp2scrgb(t.ev3, "bt2020", tr), 3))
+    _bands("scRGB2CICP", lambda t: K.scrgb2cicp(K.colourspace(t.ev3, "scrgb")), ["b0", "b1", "b2"])
+    _add("uhdr2scRGB", lambda t: shown(K.uhdr2scrgb(t.ev3, R.shrink(t.ev, 2, 2)), 3))
+
+
+def _drawing():
+    _geometry_rect = "x >= 10 AND x < 40 AND y >= 20 AND y < 35"
+    _point("draw_rect_fill", lambda t: D.draw_rect(t.ev, 77, 10, 20, 30, 15, True), f"CASE WHEN {_geometry_rect} THEN 77 ELSE v END")
+    _point("draw_rect", lambda t: D.draw_rect(t.ev, 77, 10, 20, 30, 15), f"CASE WHEN {_geometry_rect} AND (x = 10 OR x = 39 OR y = 20 OR y = 34) THEN 77 ELSE v END")
+    _point("draw_point", lambda t: D.draw_point(t.ev, 77, 5, 6), "CASE WHEN x = 5 AND y = 6 THEN 77 ELSE v END")
+    _point("draw_line", lambda t: D.draw_line(t.ev, 77, 2, 3, 60, 3 + 29), "CASE WHEN x BETWEEN 2 AND 60 AND y = 3 + (x - 2 + 1) // 2 THEN 77 ELSE v END")
+    _point("draw_circle_fill", lambda t: D.draw_circle(t.ev, 77, 50, 40, 12, True), "CASE " + " ".join(f"WHEN y = {40 + dy} AND abs(x - 50) <= {w} THEN 77" for dy, w in sorted(D.circle_spans(12).items())) + " ELSE v END")
+    _add("draw_circle", lambda t: shown(D.draw_circle(t.ev, 77, 50, 40, 12)))
+    paste = "LEFT JOIN pt ON pt.x = ev.x - 30 AND pt.y = ev.y - 10"
+    _add("draw_image_set", lambda t: shown(D.draw_image(t.ev, t.part, 30, 10)), with_ctes(["ev", "pt"], f"SELECT ev.x, ev.y, CAST(coalesce(pt.v, ev.v) AS BIGINT) AS b0 FROM ev {paste}"))
+    _add("draw_image_add", lambda t: shown(D.draw_image(t.ev, t.part, 30, 10, "add")), with_ctes(["ev", "pt"], f"SELECT ev.x, ev.y, CAST(least(255, ev.v + coalesce(pt.v, 0)) AS BIGINT) AS b0 FROM ev {paste}"))
+    _add("draw_mask", lambda t: shown(D.draw_mask(t.ev, 200, t.part, 30, 10)), with_ctes(["ev", "pt"], f"SELECT ev.x, ev.y, (200 * coalesce(pt.v, 0) + ev.v * (255 - coalesce(pt.v, 0))) // 255 AS b0 FROM ev {paste}"))
+    _add("draw_flood", lambda t: shown(D.draw_flood(t.bin, 77, 10, 10)))
+    _nb("draw_smudge", lambda t: D.draw_smudge(t.ev, 0, 0, 100, t.ev.height), BLUR, "floor((16 * any_value(c) + sum(v)) / 25.0)")
+
+
+def _resampling():
+    def shrunk(axis, f, size, ceil=False):
+        other = "y" if axis == "x" else "x"
+        out = f"({size} + {f - 1}) // {f}" if ceil else f"CAST(floor({size} / {f}.0 + 0.5) AS BIGINT)"
+        return f"SELECT CAST(o AS INT) AS {axis}, {other}, CAST(floor((sum(v) + {f // 2}) / {f}.0) AS BIGINT) AS v FROM (SELECT unnest(range({out})) AS o, my FROM dim) CROSS JOIN range({f}) t(i) JOIN ev ON ev.{axis} = least({size} - 1, o * {f} + i) GROUP BY o, {other}"
+
+    for axis, fn, size in (("x", R.shrinkh, "100"), ("y", R.shrinkv, "(my + 1)")):
+        for ceil in (False, True):
+            name = f"shrink{'h' if axis == 'x' else 'v'}{'_ceil' if ceil else ''}"
+            _add(name, lambda t, fn=fn, c=ceil: shown(fn(t.ev, 3, c)), with_ctes(["ev", "dim"], "SELECT x, y, v AS b0 FROM s", {"s": shrunk(axis, 3, size, ceil)}))
+    _add("shrink", lambda t: shown(R.shrink(t.ev, 4, 2)), with_ctes(["ev", "dim"], "SELECT x, y, v AS b0 FROM h", {"w": shrunk("y", 2, "(my + 1)"), "h": shrunk("x", 4, "100").replace("JOIN ev ON ev", "JOIN w ON w")}))
+    for kernel in R.KERNELS:
+        size, rows = R.taps(100, 2.5, kernel)
+        values = ", ".join(f"({i}, {o}, {w!r}::DOUBLE)" for i, o, w in rows)
+        _add(f"reduceh_{kernel}", lambda t, k=kernel: shown(R.reduceh(t.ev.cast("double"), 2.5, k), 3), with_ctes(["ev"], f"SELECT CAST(o AS INT) AS x, y, {sql_fixed('sum(v * w)', 3, False)} AS b0 FROM ev JOIN (VALUES {values}) m(i, o, w) ON i = x GROUP BY o, y"))
+    _add("reducev", lambda t: shown(R.reducev(t.ev, 2.0)))
+    _add("reduce", lambda t: shown(R.reduce_(t.ev, 2.0, 2.0, "linear")))
+    _add("resize_down", lambda t: shown(R.resize(t.ev, 0.5)))
+    _add("resize_up", lambda t: shown(R.resize(t.ev, 2.0, kernel="nearest")), with_ctes(["ev"], "SELECT CAST(2 * x + i AS INT) AS x, CAST(2 * y + j AS INT) AS y, CAST(v AS BIGINT) AS b0 FROM ev, range(2) a(i), range(2) b(j)"))
+    _add("thumbnail_image", lambda t: shown(R.thumbnail(t.ev, 40)))
+    _add("thumbnail_crop", lambda t: shown(R.thumbnail(t.ev, 40, 20, crop="centre")))
+
+    def sampled(u, v, taps, round_=True, width="100", height="(my + 1)"):
+        """taps: (dx, dy, weight in tu, tv) around floor(u), floor(v)."""
+        rows = " UNION ALL ".join(f"SELECT x, y, CAST(least(99, greatest(0, fu + {i})) AS INT) AS tx, CAST(least((SELECT my FROM dim), greatest(0, fv + {j})) AS INT) AS ty, {w} AS w FROM f WHERE inside" for i, j, w in taps)
+        ctes = {"o": f"SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST({u} AS DOUBLE) AS u, CAST({v} AS DOUBLE) AS v FROM range({width}) a(i), (SELECT unnest(range({height})) AS j FROM dim)",
+                "f": "SELECT *, floor(u) AS fu, floor(v) AS fv, u - floor(u) AS tu, v - floor(v) AS tv, u >= 0 AND v >= 0 AND u <= 99 AND v <= (SELECT my FROM dim) AS inside FROM o", "k": rows,
+                "g": "SELECT k.x, k.y, sum(ev.v * k.w) AS s FROM k JOIN ev ON ev.x = k.tx AND ev.y = k.ty GROUP BY k.x, k.y"}
+        return with_ctes(["ev", "dim"], "SELECT o.x, o.y, CAST(coalesce(least(255, greatest(0, floor(s + 0.5))), 0) AS BIGINT) AS b0 FROM o LEFT JOIN g ON g.x = o.x AND g.y = o.y", ctes)
+
+    bil = [(i, j, f"({'tu' if i else '(1 - tu)'} * {'tv' if j else '(1 - tv)'})") for i in (0, 1) for j in (0, 1)]
+    cat = lambda t: [f"((-{t} + 2 * {t} * {t} - {t} * {t} * {t}) / 2)", f"((2 - 5 * {t} * {t} + 3 * {t} * {t} * {t}) / 2)", f"(({t} + 4 * {t} * {t} - 3 * {t} * {t} * {t}) / 2)", f"((-{t} * {t} + {t} * {t} * {t}) / 2)"]
+    bic = [(i - 1, j - 1, f"{a} * {b}") for i, a in enumerate(cat("tu")) for j, b in enumerate(cat("tv"))]
+    near = [(0, 0, "1.0")]
+    area = lambda t: (0, 0, 100, t.ev.height)
+    m = (0.8, 0.3, -0.2, 0.9)
+    det = m[0] * m[3] - m[1] * m[2]
+    ia, ib, ic, id_ = m[3] / det, -m[1] / det, -m[2] / det, m[0] / det
+    gu, gv = f"(i + 0 - 5.0::DOUBLE) * {ia!r}::DOUBLE + (j + 0 - 9.0::DOUBLE) * {ib!r}::DOUBLE - 0.0", f"(i + 0 - 5.0::DOUBLE) * {ic!r}::DOUBLE + (j + 0 - 9.0::DOUBLE) * {id_!r}::DOUBLE - 0.0"
+    for name, taps in (("bilinear", bil), ("bicubic", bic)):
+        _add(f"affine_{name}", lambda t, n=name: shown(R.affine(t.ev, m, n, odx=5.0, ody=9.0, oarea=area(t))), sampled(gu, gv, taps))
+    _add("affine_nearest", lambda t: shown(R.affine(t.ev, m, "nearest", odx=5.0, ody=9.0, oarea=area(t))), sampled(gu, gv, near).replace("floor(u) AS fu, floor(v) AS fv", "floor(u + 0.5) AS fu, floor(v + 0.5) AS fv"))
+    for name in ("vsqbs", "lbb", "nohalo"):
+        _add(f"affine_{name}", lambda t, n=name: shown(R.affine(t.ev, m, n, odx=5.0, ody=9.0, oarea=area(t))))
+    _add("similarity", lambda t: shown(R.similarity(t.ev, 0.75, 30.0)))
+    _add("rotate", lambda t: shown(R.rotate(t.ev, 15.0)))
+    index = lambda t: t.ev.with_bands([F.col("x") * 0.5 + F.col("y") * 0.25, F.col("y") * 0.5 + 3.0], "double")
+    _add("mapim", lambda t: shown(R.mapim(t.ev, index(t))), sampled("i * 0.5 + j * 0.25", "j * 0.5 + 3.0", bil))
+    _add("quadratic", lambda t: shown(R.quadratic(t.ev, [(1.5, 0.5), (0.1, 0.0), (0.0, -0.1), (0.001, 0.0)], "bilinear")), sampled("1.0 * 1.5 + i * 0.1::DOUBLE + j * 0.0 + i * j * 0.001::DOUBLE + i * i * 0 + j * j * 0 + i", "1.0 * 0.5 + i * 0.0 + j * -0.1::DOUBLE + i * j * 0.0 + j", bil))
+
+
+def _transforms():
+    for name, fn in (("fwfft", lambda t: Q.fwfft(t.ev)), ("invfft", lambda t: Q.invfft(Q.fwfft(t.ev)))):
+        _add(name, lambda t, fn=fn: shown(fn(t), 3))
+    _point("invfft_real", lambda t: Q.invfft(Q.fwfft(t.ev), True), "v", integer=False, digits=3)
+    _add("freqmult", lambda t: shown(Q.freqmult(t.ev, G.mask_gaussian(t.spark, 100, t.ev.height, 0.5, 0.1)), 3))
+    _add("phasecor", lambda t: shown(Q.phasecor(t.ev, V.wrap(t.ev, 3, 5)), 3))
+    _add("spectrum", lambda t: shown(Q.spectrum(t.ev)))
+    w = "(0.5 - 0.5 * cos(greatest(0.0, least(1.0, (i - 85 + 0.5) / 10.0::DOUBLE)) * pi()))"
+    _add("merge", lambda t: shown(S.merge(t.ev, t.ev, "horizontal", -80, 0, 10)), with_ctes(["ev", "dim"],
+         f"SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(CASE WHEN q.v IS NULL THEN p.v WHEN p.v IS NULL THEN q.v ELSE floor(p.v * (1 - {w}) + q.v * {w} + 0.5) END AS BIGINT) AS b0 FROM range(180) a(i) CROSS JOIN (SELECT unnest(range(my + 1)) AS j FROM dim) LEFT JOIN ev p ON p.x = i AND p.y = j LEFT JOIN ev q ON q.x = i - 80 AND q.y = j"))
+    _add("mosaic_correlate", lambda t: S.correlate(t.ev, V.wrap(t.ev, 98, t.ev.height - 3), 40, 40, 40, 40, 5, 6).select("dx", "dy"), "SELECT CAST(-2 AS INT) AS dx, CAST(-3 AS INT) AS dy")
+    _add("mosaic", lambda t: shown(S.mosaic(t.ev, V.wrap(t.ev, 80, 0), "horizontal", 90, 40, 10, 40, 3, 4)))
+    _add("mosaic1", lambda t: shown(S.mosaic1(t.ev, t.ev, "horizontal", (90, 20), (10, 20), (90, 60), (10, 60))))
+    _add("match", lambda t: shown(S.match(t.ev, t.ev, (10, 10), (12, 11), (60, 50), (62, 51))))
+    _add("globalbalance", lambda t: shown(S.globalbalance([t.ev, t.ev.point(lambda c: c / 2, "float")], [(0, 0), (0, 0)])[1], 2), with_ctes(["ev"], f"SELECT x, y, {sql_fixed('v / 2.0 * 2.0', 2)} AS b0 FROM ev"))
+    _add("remosaic", lambda t: shown(S.remosaic([{"ref": "a.v", "sec": "b.v", "direction": "horizontal", "dx": -80, "dy": 0}], {"a.w": t.ev, "b.w": t.bin}, ".v", ".w")))
+    mat = "SELECT CAST(n_nationkey % 5 AS INT) AS x, CAST(n_nationkey // 5 AS INT) AS y, CAST((n_nationkey * 7) % 11 + CASE WHEN n_nationkey % 6 = 0 THEN 20 ELSE 0 END AS DOUBLE) AS v FROM nation"
+    frame = lambda t: t.table("nation").select((F.col("n_nationkey") % 5).cast("int").alias("x"), F.expr("cast(n_nationkey div 5 as int)").alias("y"), ((F.col("n_nationkey") * 7) % 11 + F.when(F.col("n_nationkey") % 6 == 0, 20).otherwise(0)).cast("double").alias("v"))
+    _add("matrixmultiply", lambda t: S.matrixmultiply(frame(t), frame(t)), f"WITH m AS ({mat}) SELECT b.x, a.y, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.x = b.y GROUP BY b.x, a.y")
+    _add("matrixinvert", lambda t: S.matrixmultiply(frame(t), S.matrixinvert(frame(t))).select("x", "y", fixed(F.col("v")).alias("v")), f"WITH m AS ({mat}) SELECT x, y, CASE WHEN x = y THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM m")
+    _add("matrix_transpose", lambda t: S.transpose(frame(t)), f"WITH m AS ({mat}) SELECT y AS x, x AS y, v FROM m")
+    _add("matrix_concat", lambda t: S.matcat([frame(t), frame(t)]), f"WITH m AS ({mat}) SELECT x, y, v FROM m UNION ALL SELECT x, y + 5, v FROM m")
+
+
 def queries():
     return dict(_Q)
 
@@ -442,4 +650,7 @@ _neighbourhoods()
 _conversion()
 _histograms()
 _generators()
-_ = (K, D, S, R)
+_colours()
+_drawing()
+_resampling()
+_transforms()

@@ -68,7 +68,8 @@ def saturate(value: Column, fmt: str) -> Column:
     if not is_int(fmt):
         return value.cast(STORAGE[fmt])
     lo, hi = RANGE[fmt]
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), value)).cast(STORAGE[fmt])
+    # greatest and least pass over nulls, which must stay: a missing pixel is no extreme value.
+    return F.when(value.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), value)).cast(STORAGE[fmt]))
 
 
 def store(value: Column, fmt: str) -> Column:
