@@ -8,11 +8,12 @@ vertices have parted, and two of similarity 0.85 still share a node of a tree wi
 probability ``survival``; the number of trees follows from the target recall.
 
 A node is settled when its members are known to be linked, directly or over others.  All
-nodes first compare their members with one pivot (linear in the members).  Nodes that are
-then not settled compare all members of different classes if they are small, and branch
-further if they are large; after ``ROUNDS`` rounds the rest is compared in full, in blocks.
-A group of copies therefore costs its size, not its square, and no link between different
-classes is lost.  Every link is confirmed on full sets of shingles of the whole texts.
+nodes first compare their members with one pivot (linear in the members).  What is then not
+settled is compared exhaustively for links between different classes: small nodes pair by
+pair, and large nodes in pairs of blocks, each once for a cluster of overlapping nodes.  A
+group whose copies are linked over its pivot costs its size, not its square; no link
+between different classes is lost, and no pairs but links leave a task.  Every link is
+confirmed on full sets of shingles of the whole texts.
 
 Rows that meet: members of a node meet only as minima and counts (partial aggregates) and
 as joins with one row for each node; comparisons are dealt by pivot and by blocks of at
@@ -38,7 +39,7 @@ from .textbuf import SPACE, Hasher, buffer, mix, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 85, 100
 POSITIONS, DEPTH, BRANCHES, RECALL = 64, 3, 2, 0.9999
-SMALL, ROUNDS, BLOCK = 12, 3, 256
+SMALL, BLOCK, BLOCK_ROWS = 12, 256, 1500
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, POSITIONS * 2, dtype=np.uint64).reshape(2, -1) * np.uint64(2) + np.uint64(1)
 
 
@@ -152,42 +153,113 @@ def memberships(vertices: DataFrame, trees: int, depth=DEPTH) -> DataFrame:
     return vertices.select("v", "n", "sig").mapInArrow(run, "node long, v long, n long")
 
 
-def deeper(members: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The members' memberships two levels further down."""
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                sig, nodes = _sig(part.column(3)), part.column(0).to_numpy().view(np.uint64)
-                one = branch(nodes, sig)
-                two = branch(one.reshape(-1), np.repeat(sig, BRANCHES, 0)).reshape(len(sig), -1)
-                k = two.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(two.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), k)), pa.array(np.repeat(part.column(2).to_numpy(), k))], ["node", "v", "n"])
-
-    return members.join(vertices.select("v", "sig"), "v").select("node", "v", "n", "sig").mapInArrow(run, "node long, v long, n long").distinct()
-
-
 def fitting():
     """Sizes that allow the similarity."""
     return F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, an, bn): each member with its node's pivot, the member with the smallest (class, vertex); classes differ."""
-    pivots = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("v", "n", "c")).alias("p")).where("k > 1").select("node", "p.*")
-    pivots = pivots.select("node", F.col("v").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    pairs = members.join(pivots, "node").where("v <> a and c <> ac")
-    return pairs.select("a", F.col("v").alias("b"), "an", F.col("n").alias("bn")).where(fitting()).distinct()
+    """(a, b, an, bn): each member with its node's pivot.
+
+    The pivot is the member whose nodes hold the most members altogether: of a group of
+    edited copies that is a copy near the original, to which the others are likely linked.
+    """
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    central = members.join(sizes, "node").groupBy("v").agg(F.sum("k").alias("score"))
+    pivots = members.join(central, "v").groupBy("node").agg(F.max(F.struct("score", (-F.col("v")).alias("w"), "n")).alias("p"))
+    pivots = pivots.select("node", (-F.col("p.w")).alias("a"), F.col("p.n").alias("an"))
+    pairs = members.join(pivots, "node").where("v <> a")
+    return pairs.select("a", F.col("v").alias("b"), "an", F.col("n").alias("bn")).where(fitting()).distinct().select("a", "b")
+
+
+def small_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different classes in nodes of at most SMALL members."""
+    groups = members.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("v", "n", "c"))).alias("all"))
+    one = groups.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("r"))
+    pairs = one.where("l.v < r.v and l.c <> r.c").select(F.col("l.v").alias("a"), F.col("r.v").alias("b"), F.col("l.n").alias("an"), F.col("r.n").alias("bn"))
+    return pairs.where(fitting()).select("a", "b").distinct()
+
+
+def block_links(docs: DataFrame, members: DataFrame, block=BLOCK_ROWS) -> DataFrame:
+    """(a, b): links between different classes within large nodes, compared in full.
+
+    Nodes of one group of texts overlap, so the vertices of overlapping nodes form one
+    cluster and every pair in it is compared once.  A cluster is cut into blocks and each
+    pair of blocks is a task of bounded size; only links leave it, never pairs.
+    """
+    spark = docs.sparkSession
+    low = members.groupBy("node").agg(F.min("v").alias("a"))
+    cluster = components(members.join(low, "node").select("a", F.col("v").alias("b")))
+    held = members.select("v", "c").distinct().join(cluster.select(F.col("u").alias("v"), F.col("v").alias("g")), "v", "left").select("v", "c", F.coalesce("g", "v").alias("g"))
+    sizes = held.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    dealt = held.join(sizes, "g").select("g", "v", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "v", "c")
+    texts = dealt.join(docs.select(F.col("id").alias("v"), "text"), "v").select("g", "i", "j", "side", "v", "c", "text")
+    texts = texts.repartition(partitions(spark), "g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "v")
 
+    def run(batches):
+        hasher, key, rows = Hasher(), None, []
+        for b in slices(batches, "text"):
+            sets = shingle_sets(b.column(6), hasher)
+            got = []
+            for g, i, j, side, v, c, s in zip(*[b.column(k).to_pylist() for k in range(6)], sets):
+                if (g, i, j) != key:
+                    got += compare(rows, key)
+                    key, rows = (g, i, j), []
+                rows.append((side, v, c, s))
+            yield pairs_batch(got)
+        yield pairs_batch(compare(rows, key))
 
-def cross_pairs(members: DataFrame, block: int) -> DataFrame:
-    """All pairs of a node's members of different classes; members meet in blocks dealt out within the node."""
-    side = members.select("node", "v", "n", "c", F.pmod(F.xxhash64("v"), F.lit(block)).alias("part"))
-    left = side.select("node", F.col("v").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), "part", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("with"))
-    right = side.select("node", F.col("v").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("part").alias("with"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("part"))
-    joined = left.join(right, ["node", "part", "with"]).where("a < b and ac <> bc")
-    return joined.select("a", "b", "an", "bn").where(fitting()).distinct()
+    return texts.mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_batch(got):
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
+
+
+def compare(rows, key):
+    """Links of different classes between the two sides of a pair of blocks (or within one block).
+
+    Shingles that many rows share are bits, the rest are counted: common bits and the smaller
+    rest bound the intersection from above, and only pairs that pass are intersected.
+    """
+    if not rows:
+        return []
+    sets = [r[3] for r in rows]
+    n = np.array([len(s) for s in sets], np.int64)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count >= max(2, len(rows) // 20)
+    place = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(rows)), n)
+    hit = shared[code]
+    bits = np.zeros((len(rows), (int(shared.sum()) + 63) // 64 * 64), np.uint8)
+    bits[owner[hit], place[code[hit]]] = 1
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    rest = n - np.bincount(owner[hit], minlength=len(rows))
+    side, vs, cs = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+    within = key[1] == key[2]
+    left = np.arange(len(rows)) if within else np.flatnonzero(side == 0)
+    right = np.arange(len(rows)) if within else np.flatnonzero(side == 1)
+    out = []
+    for x in left.tolist():
+        ys = right[right > x] if within else right
+        most = np.bitwise_count(words[ys] & words[x]).sum(1, dtype=np.int64) + np.minimum(rest[ys], rest[x])
+        ys = ys[(most * (DEN + NUM) >= NUM * (n[ys] + n[x])) & (cs[ys] != cs[x])]
+        known = set()
+        for y in ys.tolist():
+            if int(cs[y]) not in known and similar(sets[x], sets[y]):
+                known.add(int(cs[y]))
+                out.append((vs[x], vs[y]))
+    return out
+
+
+def similar(a, b) -> bool:
+    """Whether two sorted sets have the similarity, in integers."""
+    if min(len(a), len(b)) * DEN < max(len(a), len(b)) * NUM:
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, block=BLOCK) -> DataFrame:
@@ -210,15 +282,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, block=BLOCK) -> DataFrame:
                 if role == 0:
                     own.append(s)
                     continue
-                for o in own:
-                    if min(len(o), len(s)) * DEN < max(len(o), len(s)) * NUM:
-                        continue
-                    at = np.minimum(np.searchsorted(o, s), len(o) - 1)
-                    both = int((o[at] == s).sum())
-                    if DEN * both >= NUM * (len(o) + len(s) - both):
-                        got.append((a, v))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
+                if any(similar(o, s) for o in own):
+                    got.append((a, v))
+            yield pairs_batch(got)
 
     return texts.mapInArrow(run, "a long, b long").distinct()
 
@@ -233,7 +299,7 @@ def unsettled(members: DataFrame) -> DataFrame:
     return members.join(mixed, "node")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RECALL, rounds=ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RECALL) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = stored(table_of(base), "minhash")
@@ -245,30 +311,13 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RE
     members = memberships(vertices, trees_for(recall))
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
     members = stored(members.join(shared, "node").select("node", "v", "n"), "members")
-    pairs = stored(star_pairs(members.withColumn("c", F.col("v"))), "pairs")
-    links = confirm(base, pairs).union(same)
-    links = stored(links, "links")
+    stars = stored(star_pairs(members), "pairs")
+    links = stored(confirm(base, stars).union(same), "links")
     classes = components(links)
-    compared = pairs
-    for step in range(rounds + 1):
-        open_ = stored(unsettled(classed(members, classes)), "open")
-        small = open_.where(F.col("k") <= SMALL)
-        large = open_.where(F.col("k") > SMALL)
-        more = cross_pairs(small, 1)
-        if step == rounds:
-            more = more.union(cross_pairs(large, 8)).distinct()
-            members = None
-        else:
-            members = stored(deeper(large.select("node", "v", "n"), vertices), "members")
-            more = more.union(star_pairs(classed(members, classes))).distinct()
-        more = stored(more.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        fresh = more.limit(1).count()
-        if fresh:
-            compared = compared.unionByName(more)
-            links = stored(links.union(confirm(base, more)), "links")
-            classes = components(links)
-        if members is None or not members.limit(1).count():
-            break
+    open_ = stored(unsettled(classed(members, classes)), "open")
+    pairs = small_pairs(open_.where(F.col("k") <= SMALL)).join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    more = stored(confirm(base, pairs).union(block_links(base, open_.where(F.col("k") > SMALL))), "links")
+    classes = components(links.union(more))
     named = vertices.select("k1", "k2", "n", "v").join(classes.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("k1", "k2", "n", F.coalesce("root", "v").alias("root"))
     named = known.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).groupBy("id").agg(F.min("root").alias("root"))
     rows = table.select("id", "n")
