@@ -311,12 +311,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RE
     members = memberships(vertices, trees_for(recall))
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
     members = stored(members.join(shared, "node").select("node", "v", "n"), "members")
+    # The texts of vertices that share any node, once: later joins move only these.
+    texts = stored(base.join(members.select(F.col("v").alias("id")).distinct(), "id"), "texts")
     stars = stored(star_pairs(members), "pairs")
-    links = stored(confirm(base, stars).union(same), "links")
+    links = stored(confirm(texts, stars).union(same), "links")
     classes = components(links)
     open_ = stored(unsettled(classed(members, classes)), "open")
     pairs = small_pairs(open_.where(F.col("k") <= SMALL)).join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = stored(confirm(base, pairs).union(block_links(base, open_.where(F.col("k") > SMALL))), "links")
+    more = stored(confirm(texts, pairs).union(block_links(texts, open_.where(F.col("k") > SMALL))), "links")
     classes = components(links.union(more))
     named = vertices.select("k1", "k2", "n", "v").join(classes.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("k1", "k2", "n", F.coalesce("root", "v").alias("root"))
     named = known.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).groupBy("id").agg(F.min("root").alias("root"))
