@@ -14,23 +14,26 @@ still has a common prefix.  With the LCPs of both arrays, a window of offset o r
 exactly if another anchor is in the same LCP interval of depth ``length - o`` forwards and
 of depth o backwards.
 
-Equal texts are one text with a count; equal stretches within a slice are settled where
-they are found and go on as one.  So copies and interiors of common passages reach the sort
-as a few rows.  Spans are gathered by text, which bounds each group by its own text.
+Equal stretches are one stretch with a count: all their windows recur, and one of them goes
+into the sort for the others of its hash (a hash with a single stretch needs no order).
+Slices combine first, so that a passage in a third of all documents reaches its partition
+once for each slice.  Spans are gathered by text, which bounds each group by its own text,
+and both joins with the texts share one exchange.
 
 Cases: null is an empty text; texts shorter than ``length`` lose nothing; equal texts (rows
-that repeat included) of at least ``length`` bytes lose everything; null and repeated ids
+that repeat included) of at least ``length`` bytes lose everything, and an empty table gives
+none; null and repeated ids
 are allowed; windows never cross texts; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import load, partitions, stored
 from .textbuf import Hasher, buffer, merge_spans, mix, ramp, slices
@@ -202,125 +205,130 @@ def window_spans(text, first, length=LENGTH):
     return text[new], first[new], first[last] + length
 
 
-def _place(column, i):
-    return F.get(F.col(column), i)
+SPAN = "k1 long, k2 long, start long, stop long"
+STRETCH = "h long, stretch binary, back int, times int, windows int, k1 long, k2 long, at long, start long, stop long"
 
 
-SPAN = "rid long, start long, stop long"
-STRETCH = "h long, stretch binary, back int, windows int, times int, rid long, at long, start long, stop long"
+def stretch_hashes(data, first, windows, back, hasher, length):
+    """Hash of each anchor's stretch and of its place in it."""
+    prefix = hasher.prefix(data)
+    return mix(hasher.spans(prefix, first, first + windows - 1 + length) + mix(back.astype(np.uint64)))
 
 
 def _marks(base: DataFrame, length) -> DataFrame:
-    """(id, k1, k2, n, sha, anchors' arrays) of every row."""
+    """(k1, k2, id, i, h, st, times, settled) of every row: its anchors, each stretch once for a slice.
+
+    This is the combine before the exchange: whatever part of the documents holds a passage,
+    a slice sends it once.  ``settled`` are the spans of stretches that stand twice in a slice.
+    """
 
     def run(batches):
         hasher = Hasher(fold=False)
         for b in slices(batches, "text"):
             data, offsets = buffer(b.column(3))
             h, pos, first, windows, text = anchors(data, offsets, hasher, length)
-            begin = np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(begin), pa.array(x)) for x in (h.view(np.int64), (pos - offsets[text]).astype(np.int32), (pos - first).astype(np.int16), windows.astype(np.int16))]
-            raw = b.column(3).cast(pa.large_binary()).to_pylist()
+            st = stretch_hashes(data, first, windows, pos - first, hasher, length) if len(h) else h
+            begin = np.searchsorted(text, np.arange(b.num_rows + 1))
+            index = np.arange(len(h)) - begin[text] if len(h) else first
+            _, rep, group, count = np.unique(mix(h) ^ st, return_index=True, return_inverse=True, return_counts=True)
+            rep.sort()
+            twice = np.flatnonzero(count[group] > 1) if len(h) else first
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(text[at], np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(values))
+            span = pa.StructArray.from_arrays([pa.array(first[twice] - offsets[text[twice]]), pa.array(first[twice] - offsets[text[twice]] + windows[twice] - 1 + length)], ["start", "stop"])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(np.diff(offsets)), pa.array([hashlib.sha256(t or b"").hexdigest() for t in raw]), *lists],
-                ["id", "k1", "k2", "n", "sha", "h", "pos", "back", "windows"])
+                [*b.columns[:3], lists(rep, index[rep].astype(np.int32)), lists(rep, h[rep].view(np.int64)), lists(rep, st[rep].view(np.int64)), lists(rep, count[group[rep]].astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(text[twice], np.arange(b.num_rows + 1)).astype(np.int32)), span)],
+                ["id", "k1", "k2", "i", "h", "st", "times", "settled"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.select("id", "k1", "k2", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, n long, sha string, h array<long>, pos array<int>, back array<short>, windows array<short>")
+    return base.select("id", "k1", "k2", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, i array<int>, h array<long>, st array<long>, times array<int>, settled array<struct<start:long,stop:long>>")
 
 
 def _stretches(work: DataFrame, length) -> DataFrame:
-    """Anchors with their stretches, equal ones within a slice once; and spans that this settles."""
+    """What each text was asked for: the spans of settled anchors, and the stretches that go into the sort."""
 
     def run(batches):
+        hasher = Hasher(fold=False)
         for b in slices(batches, "text"):
-            rids = b.column(0).to_pylist()
-            data, offsets = buffer(b.column(5))
+            data, offsets = buffer(b.column(3))
             raw = data.tobytes()
-            seen: dict = {}
-            settled = []
-            for d in range(b.num_rows):
+            h, pos, first, windows, text = anchors(data, offsets, hasher, length)
+            begin = np.searchsorted(text, np.arange(b.num_rows + 1))
+            rows = []
+            for d, (k1, k2, asked) in enumerate(zip(*[b.column(i).to_pylist() for i in range(3)])):
                 base = int(offsets[d])
-                for h, pos, back, windows in zip(*[b.column(i)[d].as_py() for i in range(1, 5)]):
-                    at = pos - back
-                    s = raw[base + at : base + at + windows - 1 + length]
-                    own = seen.setdefault((s, back), [h, windows, 0, rids[d], at])
-                    own[2] += 1
-                    if own[2] == 2:
-                        settled.append((own[3], own[4], own[4] + windows - 1 + length))
-                    if own[2] > 1:
-                        settled.append((rids[d], at, at + windows - 1 + length))
-            rows = [(v[0], s, back, v[1], v[2], v[3], v[4], None, None) for (s, back), v in seen.items()]
-            rows += [(None, None, None, None, None, r, None, x, y) for r, x, y in settled]
+                for x in asked:
+                    k = int(begin[d]) + x["i"]
+                    f, n = int(first[k]), int(windows[k])
+                    if x["settle"]:
+                        rows.append((None, None, None, None, None, k1, k2, None, f - base, f - base + n - 1 + length))
+                    if x["ship"]:
+                        rows.append((int(h[k].view(np.int64)), raw[f : f + n - 1 + length], int(pos[k]) - f, x["times"], n, k1, k2, f - base, None, None))
             if rows:
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "stretch", "back", "windows", "times", "rid", "at", "start", "stop"])
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "stretch", "back", "times", "windows", "k1", "k2", "at", "start", "stop"])
 
-    return work.select("rid", "h", "pos", "back", "windows", "text").mapInArrow(run, STRETCH)
+    return work.select("k1", "k2", "asked", "text").mapInArrow(run, STRETCH)
 
 
 def _sorted_spans(stretches: DataFrame, length) -> DataFrame:
-    """Spans of recurring windows; rows arrive sorted by h, whole groups are sorted together in chunks."""
+    """Spans of recurring windows; rows come sorted by h and whole groups are sorted together in chunks.  Settled spans pass."""
+
+    def spans(k1, k2, start, stop):
+        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["k1", "k2", "start", "stop"])
 
     def flush(held):
-        h, s, back, windows, times, rid, at = map(list, zip(*held))
-        back, windows, times = np.array(back), np.array(windows), np.array(times)
+        _, s, back, times, windows, k1, k2, at = map(list, zip(*held))
+        back, windows, times, at = np.array(back), np.array(windows), np.array(times), np.array(at, np.int64)
         rows, k = recurring(s, back, windows, times, length)
+        # A stretch that stands more than once was settled as a whole where it stands.
         keep = times[rows] == 1
-        rows, k = rows[keep], k[keep]
-        text, start, stop = window_spans(np.array(rid, np.int64)[rows], np.array(at, np.int64)[rows] + k, length)
-        return pa.RecordBatch.from_arrays([pa.array(text), pa.array(start), pa.array(stop)], ["rid", "start", "stop"])
+        rows, start, stop = window_spans(rows[keep], at[rows[keep]] + k[keep], length)
+        return spans(np.array(k1, np.int64)[rows], np.array(k2, np.int64)[rows], start, stop)
 
     def run(batches):
         held: list = []
-        group: list = []
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if group and group[-1][0] != row[0]:
-                    # A hash that came only once was settled in its slice.
-                    if len(group) > 1:
-                        held += group
-                    group = []
-                    if len(held) >= CHUNK:
-                        yield flush(held)
-                        held = []
-                group.append(row)
-        if len(group) > 1:
-            held += group
+            done = b.filter(pa.compute.is_null(b.column(0)))
+            if done.num_rows:
+                yield spans(done.column(5), done.column(6), done.column(8), done.column(9))
+            b = b.filter(pa.compute.is_valid(b.column(0)))
+            for row in zip(*[b.column(k).to_pylist() for k in range(8)]):
+                if len(held) >= CHUNK and held[-1][0] != row[0]:
+                    yield flush(held)
+                    held = []
+                held.append(row)
         if held:
             yield flush(held)
 
-    dealt = stretches.select("h", "stretch", "back", "windows", "times", "rid", "at").repartition(partitions(stretches.sparkSession), "h").sortWithinPartitions("h")
+    dealt = stretches.repartition(partitions(stretches.sparkSession), F.coalesce("h", "k1")).sortWithinPartitions("h")
     return dealt.mapInArrow(run, SPAN)
 
 
 def dedup_passages(docs: DataFrame, id_col="doc_id", text_col="text", length=LENGTH, keep_text=False) -> DataFrame:
     """Per row: id, n_bytes, spans array<struct<start,stop>> (maximal removed runs), kept_sha256[, kept binary]."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit("second")).alias("k2"))
     marks = stored(_marks(base, length).withColumn("rid", F.monotonically_increasing_id()), "anchors")
-    texts = marks.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid"), F.min(F.struct("rid", "id"))["id"].alias("id"))
-    texts = stored(texts, "texts")
-    each = marks.join(texts.select("rid"), "rid").select("rid", F.posexplode("h").alias("i", "h"))
-    repeated = each.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    wanted = each.join(repeated, "h").groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("is"))
-    lists = [F.transform("is", partial(_place, c)).alias(c) for c in ("h", "pos", "back", "windows")]
-    wanted = marks.select("rid", "k1", "k2", "id", "h", "pos", "back", "windows").join(wanted, "rid").select("rid", "k1", "k2", F.col("id").alias("of"), *lists)
-    work = base.where(F.octet_length("text") >= length).join(wanted, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("of")))
-    found = stored(_stretches(work, length), "stretches")
-    spans = _sorted_spans(found.where("h is not null"), length).union(found.where("h is null").select("rid", "start", "stop"))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    known = texts.join(spans, "rid", "left").select("k1", "k2", "copies", "spans")
-    known = known.where("copies > 1 or spans is not null")
+    each = marks.select("rid", F.explode(F.arrays_zip("i", "h", "st", "times")).alias("a")).select("rid", "a.*")
+    each = each.repartition(partitions(spark), "h")
+    by_gram, by_stretch = Window.partitionBy("h"), Window.partitionBy("h", "st")
+    seen = each.select("rid", "i", "times", "h", "st", F.min("st").over(by_gram).alias("lo"), F.max("st").over(by_gram).alias("hi"))
+    seen = seen.select("rid", "i", "times", (F.col("lo") != F.col("hi")).alias("many"), F.sum("times").over(by_stretch).alias("all"), F.row_number().over(by_stretch.orderBy("rid", "i")).alias("nth"))
+    settle, ship = (F.col("all") > 1) & (F.col("times") == 1), F.col("many") & (F.col("nth") == 1)
+    asked = seen.where(settle | ship).groupBy("rid").agg(F.collect_list(F.struct("i", settle.alias("settle"), ship.alias("ship"), F.least("all", F.lit(2)).cast("int").alias("times"))).alias("asked"))
+    asked = stored(marks.select("rid", "k1", "k2", F.col("id").alias("of")).join(asked, "rid").select("k1", "k2", "of", "asked"), "asked")
+    work = base.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("of")))
+    within = marks.select("k1", "k2", F.explode("settled").alias("s")).select("k1", "k2", "s.start", "s.stop")
+    spans = _sorted_spans(_stretches(work, length), length).unionByName(within)
+    known = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def run(batches):
         for b in slices(batches, "text"):
             out = []
-            for t, copies, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = t.encode()
-                if copies is not None and copies > 1:
-                    spans = [{"start": 0, "stop": len(raw)}] if len(raw) >= length else []
                 s, e = merge_spans(np.array([x["start"] for x in spans or ()], np.int64), np.array([x["stop"] for x in spans or ()], np.int64))
                 kept, at = [], 0
                 for x, y in zip(s.tolist(), e.tolist()):
@@ -334,7 +342,7 @@ def dedup_passages(docs: DataFrame, id_col="doc_id", text_col="text", length=LEN
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "spans", "kept_sha256", "kept"][: len(cols)])
 
     kind = base.schema["id"].dataType.simpleString()
-    joined = base.join(known, ["k1", "k2"], "left").select("id", "text", "copies", "spans")
+    joined = base.join(known, ["k1", "k2"], "left").select("id", "text", "spans")
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string" + ", kept binary" * keep_text)
 
 
