@@ -637,6 +637,41 @@ def _transforms():
     _add("matrix_concat", lambda t: S.matcat([frame(t), frame(t)]), f"WITH m AS ({mat}) SELECT x, y, v FROM m UNION ALL SELECT x, y + 5, v FROM m")
 
 
+def _files():
+    """Round trips: saved by the engine, read back by the engine, compared with the pixels themselves."""
+    import uuid
+
+    from ..sources import files
+
+    def trip(t, r, codec, **options):
+        base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file:///tmp/pixelloom-shared"
+        folder = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+        files.save(r, folder, codec, **options).collect()
+        extra = {"width": r.width, "height": r.height, "bands": r.bands, "format": r.format} if codec == "raw" else {}
+        return files.load(t.spark, folder, codec if codec in ("raw", "csv", "matrix") else None, **extra)
+
+    one = with_ctes(["ev"], "SELECT x, y, CAST(v AS BIGINT) AS b0 FROM ev")
+    for name, codec, options in (("pgm", "ppm", {}), ("pgm_ascii", "ppm", {"ascii": True}), ("png_mono", "png", {}), ("raw", "raw", {}), ("native", "native", {}), ("tiff", "tiff", {}), ("tiff_plain", "tiff", {"compression": "none"}), ("fits", "fits", {}), ("nifti", "nifti", {})):
+        _add(f"save_load_{name}", lambda t, c=codec, o=options: shown(trip(t, t.ev, c, **o)), one)
+    three = with_ctes(["ev4"], "SELECT x, y, CAST(b0 AS BIGINT) AS b0, CAST(b1 AS BIGINT) AS b1, CAST(b2 AS BIGINT) AS b2 FROM ev4")
+    for name, codec in (("ppm", "ppm"), ("png", "png"), ("bmp", "bmp")):
+        _add(f"save_load_{name}", lambda t, c=codec: shown(trip(t, t.ev3, c)), three)
+    _add("save_load_png_alpha", lambda t: shown(trip(t, t.ev4, "png")), three.replace("AS b2 FROM ev4", "AS b2, CAST(b3 AS BIGINT) AS b3 FROM ev4"))
+    _add("save_load_gif", lambda t: shown(V.extract_band(trip(t, t.ev, "gif"), 0)), one)
+    for codec in ("csv", "matrix"):
+        _add(f"save_load_{codec}", lambda t, c=codec: shown(trip(t, t.ev, c)), with_ctes(["ev"], f"SELECT x, y, {sql_fixed('v')} AS b0 FROM ev"))
+    _add("save_load_pfm", lambda t: shown(trip(t, t.val.cast("float"), "ppm"), 3), with_ctes(["val"], f"SELECT x, y, {sql_fixed('v', 3)} AS b0 FROM val"))
+    _add("save_load_pbm", lambda t: shown(trip(t, t.bin, "ppm", bitdepth=1)), with_ctes(["bn"], "SELECT x, y, CAST(v AS BIGINT) AS b0 FROM bn"))
+    _add("save_load_rad", lambda t: shown(trip(t, t.ev3.cast("float"), "rad"), 1))
+    _add("stream_windowed", lambda t: _batch_windows(t), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
+
+
+def _batch_windows(t):
+    from ..streaming import scanlines
+
+    return scanlines.windowed(t.table("events"))
+
+
 def queries():
     return dict(_Q)
 
@@ -654,3 +689,4 @@ _colours()
 _drawing()
 _resampling()
 _transforms()
+_files()
