@@ -319,7 +319,8 @@ def dedup_passages(docs: DataFrame, id_col="doc_id", text_col="text", length=LEN
     settle, ship = (F.col("all") > 1) & (F.col("times") == 1), F.col("many") & (F.col("nth") == 1)
     asked = seen.where(settle | ship).groupBy("rid").agg(F.collect_list(F.struct("i", settle.alias("settle"), ship.alias("ship"), F.least("all", F.lit(2)).cast("int").alias("times"))).alias("asked"))
     asked = stored(marks.select("rid", "k1", "k2", F.col("id").alias("of")).join(asked, "rid").select("k1", "k2", "of", "asked"), "asked")
-    work = base.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("of")))
+    # As a text the comparison is no join key, so the exchange below is by (k1, k2) and serves both joins.
+    work = base.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("of")).cast("string") == "true")
     within = marks.select("k1", "k2", F.explode("settled").alias("s")).select("k1", "k2", "s.start", "s.stop")
     spans = _sorted_spans(_stretches(work, length), length).unionByName(within)
     known = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
