@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontaminate, language_id, license_scan, line_dedup, media_columns, minhash_join, sentencepiece_chunks, suffix_dedup, token_counts, toxicity
+from . import decontaminate, language_id, license_scan, line_dedup, media_columns, minhash_join, oracles, sentencepiece_chunks, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_line_dedup": line_dedup.ORACLE, "op4_license_scan": license_scan.oracle()}
+    return {"op1_minhash_join": oracles.NEAR_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION, "op10_suffix_dedup": oracles.PASSAGES, "op2_line_dedup": line_dedup.ORACLE, "op4_license_scan": license_scan.oracle()}
