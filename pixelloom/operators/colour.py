@@ -6,7 +6,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from ..functions import colour as C
+from ..functions import colour as C, icc
 from ..raster import Raster, saturate, zip_join
 
 
@@ -143,3 +143,23 @@ def uhdr2scrgb(r: Raster, gain: Raster, boost=4.0) -> Raster:
     g = gain.df.select(F.col("x").alias("gx"), F.col("y").alias("gy"), (F.col("b0").cast("double") / 255.0).alias("g"))
     df = r.df.withColumns({"gx": F.expr(f"cast(x div {fx} as int)"), "gy": F.expr(f"cast(y div {fy} as int)")}).join(g, ["gx", "gy"])
     return r.having(df).with_bands([C.srgb_decode(c) * F.pow(F.lit(boost), F.col("g")) for c in r.cols[:3]], "float", interpretation="scrgb")
+
+
+def icc_import(r: Raster, profile: bytes | None = None, pcs="lab", top=255.0) -> Raster:
+    """Device values to the connection space (Lab or XYZ under D50)."""
+    profile = profile or icc.profile_load("srgb")
+    fn = icc.device_lab if pcs == "lab" else icc.device_xyz
+    return r.with_bands([*fn(r.cols[:3], profile, top), *r.cols[3:]], "float", interpretation=pcs)
+
+
+def icc_export(r: Raster, profile: bytes | None = None, depth=8) -> Raster:
+    """Connection-space values to device values."""
+    profile = profile or icc.profile_load("srgb")
+    top, fmt = (255.0, "uchar") if depth == 8 else (65535.0, "ushort")
+    c = [v.cast("double") for v in r.cols[:3]]
+    out = icc.lab_device(c, profile, top) if r.interpretation == "lab" else icc.xyz_device(c, profile, top)
+    return r.with_bands([*out, *r.cols[3:]], fmt, interpretation="srgb" if depth == 8 else "rgb16")
+
+
+def icc_transform(r: Raster, output: bytes, source: bytes | None = None, depth=8) -> Raster:
+    return icc_export(icc_import(r, source, "xyz"), output, depth)
