@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a text: densities of a fixed and of a learned lexicon, lexicon words near
-second-person words, capitals, punctuation and obfuscation rates.  They are computed for
+second-person words, capitals, punctuation and obfuscation rates, and for long texts the
+logarithms of the lexicon counts.  They are computed for
 all rows in one narrow pass.  The model is fitted on at most ``TRAIN_ROWS`` labelled rows,
 taken in the order of a hash of the id, in three disjoint parts: one for the learned
 lexicon, one for the trees, one for the calibration.
@@ -32,7 +33,7 @@ INSULTS = """idiot idiots stupid moron morons trash garbage scum loser losers pa
 clowns dumb fool fools filth filthy vermin hate ugly shut die kill scumbag imbecile jerk creep pig pigs coward
 dummkopf abschaum arschloch dreck trottel salaud connard connasse ordure imbécile idiota estúpido basura imbécil asco""".split()
 SECOND = "you your yours yourself ya u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti vosotros".split()
-FEATURES = ("log_words", "insults", "learned", "learned_weight", "learned_max", "near_second", "second", "capitals", "all_caps", "exclaim", "question", "masks", "mixed_digits", "runs", "word_size")
+FEATURES = ("log_words", "insults", "learned", "learned_weight", "learned_max", "near_second", "second", "capitals", "all_caps", "exclaim", "question", "masks", "mixed_digits", "runs", "word_size", "log_insults", "log_learned", "log_near")
 
 
 def hashes_of(words):
@@ -86,7 +87,8 @@ def features(column, hasher, learned):
     w = np.maximum(n, 1)
     cols = [np.log1p(n), per_text(insult, first) / w, per_text(weight > 1.5, first) / w, per_text(weight, first) / w, top, per_text(near, first) / w,
             per_text(second, first) / w, by_byte(upper) / np.maximum(by_byte(letter), 1), per_text(caps, first) / w, by_byte(data == 33) / bytes_, by_byte(data == 63) / bytes_,
-            by_byte(masks) / bytes_, per_text(mixed, first) / w, by_byte(runs) / bytes_, per_text(size, first) / w]
+            by_byte(masks) / bytes_, per_text(mixed, first) / w, by_byte(runs) / bytes_, per_text(size, first) / w,
+            np.log1p(per_text(insult, first)), np.log1p(per_text(weight > 1.5, first)), np.log1p(per_text(near, first))]
     return np.stack(cols, 1).astype(np.float32)
 
 
