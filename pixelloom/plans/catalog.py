@@ -672,6 +672,62 @@ def _batch_windows(t):
     return scanlines.windowed(t.table("events"))
 
 
+def _more_sql():
+    """SQL of queries built above, where it takes several steps."""
+    clip = lambda e: f"CAST(least(255, greatest(0, floor({e} + 0.5))) AS BIGINT)"
+
+    def reduced(factor_h: float, factor_v: float, kernel: str, width: int, height: int) -> str:
+        w, cols = R.taps(width, factor_h, kernel)
+        h, rows = R.taps(height, factor_v, kernel)
+        values = lambda t: ", ".join(f"({i}, {o}, {v!r}::DOUBLE)" for i, o, v in t)
+        ctes = {"v": f"SELECT ev.x, o AS y, {clip('sum(ev.v * w)')} AS v FROM ev JOIN (VALUES {values(rows)}) m(i, o, w) ON i = ev.y GROUP BY ev.x, o" if factor_v != 1 else "SELECT * FROM ev"}
+        return with_ctes(["ev"], f"SELECT CAST(o AS INT) AS x, CAST(v.y AS INT) AS y, {clip('sum(v.v * w)')} AS b0 FROM v JOIN (VALUES {values(cols)}) m(i, o, w) ON i = v.x GROUP BY o, v.y" if factor_h != 1 else "SELECT x, CAST(y AS INT) AS y, CAST(v AS BIGINT) AS b0 FROM v", ctes)
+
+    # Kernel tables depend on the size: these are for 100 x 100 pixels, the size at scale 0.01.
+    _SQL["reducev"] = reduced(1, 2.0, "lanczos3", 100, 100)
+    _SQL["reduce"] = reduced(2.0, 2.0, "linear", 100, 100)
+    _SQL["resize_down"] = reduced(2.0, 2.0, "lanczos3", 100, 100)
+    _SQL["thumbnail_image"] = reduced(2.5, 2.5, "lanczos3", 100, 100)
+    pts, x, y, d = [], 0, 12, 3 - 24
+    while x <= y:
+        pts += [(50 + sx * a, 40 + sy * b) for a, b in ((x, y), (y, x)) for sx in (1, -1) for sy in (1, -1)]
+        d, y = (d + 4 * x + 6, y) if d < 0 else (d + 4 * (x - y) + 10, y - 1)
+        x += 1
+    _SQL["draw_circle"] = with_ctes(["ev"], f"SELECT ev.x, ev.y, CAST(CASE WHEN m.px IS NULL THEN v ELSE 77 END AS BIGINT) AS b0 FROM ev LEFT JOIN (SELECT DISTINCT * FROM (VALUES {', '.join(map(str, pts))}) t(px, py)) m ON m.px = ev.x AND m.py = ev.y")
+    pq = "(pow(greatest(pow({0}, 1 / 78.84375) - 0.8359375, 0.0) / (18.8515625 - 18.6875 * pow({0}, 1 / 78.84375)), 1 / 0.1593017578125) * (10000.0 / 203.0))"
+    light = {"srgb": "(CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END)", "bt709": "(CASE WHEN {0} < 0.081 THEN {0} / 4.5 ELSE pow(({0} + 0.099) / 1.099, 1 / 0.45) END)", "linear": "{0}", "pq": pq,
+             "hlg": "(CASE WHEN {0} <= 0.5 THEN {0} * {0} / 3 ELSE (exp(({0} - 0.55991073) / 0.17883277) + 0.28466892) / 12 END)"}
+    for tr, e in light.items():
+        c = [e.format(f"(b{k} / 255.0::DOUBLE)") for k in range(3)]
+        _SQL[f"CICP2scRGB_{tr}"] = with_ctes(["ev4"], "SELECT x, y, " + ", ".join(f"{sql_fixed(f'{c[0]} * {m[0]} + {c[1]} * {m[1]} + {c[2]} * {m[2]}', 3)} AS b{k}" for k, m in enumerate(K.BT2020_709)) + " FROM ev4")
+    top = "greatest(b0, b1, b2)"
+    e = f"(floor(log2({top})) + 1)"
+    _SQL["save_load_rad"] = with_ctes(["ev4"], "SELECT x, y, " + ", ".join(sql_fixed(f"CASE WHEN {top} = 0 THEN 0.0 ELSE (floor(b{k} * (256.0 / pow(2.0, {e}))) + 0.5) * pow(2.0, {e} - 8) END", 1) + f" AS b{k}" for k in range(3)) + " FROM ev4")
+    # The uniform space twice, then the distance.
+    def cmc(prefix, l, a, b):
+        h = f"CASE WHEN degrees(atan2({b}, {a})) < 0 THEN degrees(atan2({b}, {a})) + 360 ELSE degrees(atan2({b}, {a})) END"
+        return f"SELECT x, y, {l} AS p, sqrt({a} * {a} + {b} * {b}) AS q, {h} AS r FROM {prefix}"
+
+    C = K.C
+    seg = lambda j: f"(CASE WHEN r < 49.1 THEN {C.CMC_HUES[0][j]} WHEN r < 110.1 THEN {C.CMC_HUES[1][j]} WHEN r < 269.6 THEN {C.CMC_HUES[2][j]} ELSE {C.CMC_HUES[3][j]} END)"
+    pc = f"cos(radians({seg(4)} * r + {seg(5)}))"
+    uniform = "SELECT x, y, CASE WHEN p < 16.0 THEN 1.744 * p ELSE 21.75 * ln(greatest(p, 1.0)) + 0.3838 * p - 38.54 END AS l, greatest(0.0, 0.162 * q + 10.92 * ln(0.638 + 0.07216 * q) + 4.907) AS c, " + f"r + ({seg(1)} + {seg(2)} * {pc} * pow(abs({pc}), {seg(3)})) * sqrt(q * q * q * q / (q * q * q * q + 1900.0)) AS h FROM "
+    ctes = {"m1": cmc("lab", "l", "a", "b"), "n1": cmc("lab2", "l", "a", "b"), "m2": uniform + "m1", "n2": uniform + "n1",
+            "m3": "SELECT x, y, l, c * cos(radians(h)) AS a, c * sin(radians(h)) AS b FROM m2", "n3": "SELECT x, y, l, c * cos(radians(h)) AS a, c * sin(radians(h)) AS b FROM n2"}
+    _SQL["dECMC"] = with_ctes(["lab", "lab2"], f"SELECT m.x, m.y, {sql_fixed('sqrt((m.l - n.l) * (m.l - n.l) + (m.a - n.a) * (m.a - n.a) + (m.b - n.b) * (m.b - n.b))', 2)} AS b0 FROM m3 m JOIN n3 n ON m.x = n.x AND m.y = n.y", ctes)
+    _SQL["LabS2LabQ"] = with_ctes(["lab"], "SELECT x, y, ql >> 2 AS b0, (qa >> 3) & 255 AS b1, (qb >> 3) & 255 AS b2, ((ql & 3) << 6) | ((qa & 7) << 3) | (qb & 7) AS b3 FROM q", {
+        "s": "SELECT x, y, trunc(greatest(0.0, least(32767.0, l * (32767.0 / 100.0)))) AS l, trunc(greatest(-32768.0, least(32767.0, a * 256.0))) AS a, trunc(greatest(-32768.0, least(32767.0, b * 256.0))) AS b FROM lab",
+        "f": "SELECT x, y, CAST(CAST(l / (32767.0 / 100.0) AS REAL) AS DOUBLE) AS l, CAST(CAST(a / 256.0 AS REAL) AS DOUBLE) AS a, CAST(CAST(b / 256.0 AS REAL) AS DOUBLE) AS b FROM s",
+        "q": "SELECT x, y, CAST(greatest(0, least(1023, floor(10.23 * l + 0.5))) AS BIGINT) AS ql, CAST(greatest(-1024, least(1023, round_even(8.0 * a, 0))) AS BIGINT) AS qa, CAST(greatest(-1024, least(1023, round_even(8.0 * b, 0))) AS BIGINT) AS qb FROM f"})
+    gain = "SELECT CAST(x // 2 AS INT) AS gx, CAST(y // 2 AS INT) AS gy, CAST(floor((sum(v) + 1) / 2.0) AS BIGINT) AS v FROM (SELECT x, y // 2 * 2 AS y, CAST(floor((sum(v) + 1) / 2.0) AS BIGINT) AS v FROM ev GROUP BY x, y // 2) GROUP BY x // 2, y // 2"
+    _SQL["uhdr2scRGB"] = with_ctes(["ev", "ev4"], "SELECT x, y, " + ", ".join(sql_fixed(f"{d} * pow(4.0, g.v / 255.0::DOUBLE)", 3) + f" AS b{k}" for k, d in enumerate(f"({q})" for q in _DECODE)) + " FROM ev4 JOIN g ON g.gx = ev4.x // 2 AND g.gy = ev4.y // 2", {"g": gain})
+    limit = 3 * 25 / 256.0
+    src = _NEIGHBOURS
+    below = f"list_sum(list_transform(list_distinct(list_filter(vs, lambda e: e <= c)), lambda d: least({limit!r}::DOUBLE, CAST(len(list_filter(vs, lambda e: e = d)) AS DOUBLE))))"
+    spare = f"list_sum(list_transform(list_distinct(vs), lambda d: greatest(0.0::DOUBLE, len(list_filter(vs, lambda e: e = d)) - {limit!r}::DOUBLE)))"
+    _SQL["hist_local_slope"] = with_ctes(["ev", "dim"], f"SELECT x, y, CAST(floor(least(255.0::DOUBLE, 255 * ({below} + {spare} * (c + 1) / 256.0::DOUBLE) / 25.0::DOUBLE)) AS BIGINT) AS b0 FROM (SELECT x, y, any_value(c) AS c, list(v) AS vs FROM nb GROUP BY x, y)", {"m": _offsets(5, 5), "nb": src})
+
+
 def queries():
     return dict(_Q)
 
@@ -690,3 +746,4 @@ _drawing()
 _resampling()
 _transforms()
 _files()
+_more_sql()
