@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def _mark(links: DataFrame):
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), "links")
+        last, e = e, stored(small.where("u <> v").distinct(), "links")
+        discard(last)
         after = _mark(e)
         if after == before:
             break

@@ -36,34 +36,47 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import load, partitions, stored
-from .textbuf import Hasher, buffer, merge_spans, mix, ramp, slices
+from .textbuf import BLOCK_BYTES, Hasher, buffer, merge_spans, mix, ramp, slices
 
 LENGTH, GRAM, SHALLOW, CHUNK = 200, 64, 32, 60_000
 
 
-def anchors(data, offsets, hasher, length=LENGTH, gram=GRAM):
-    """(hash, position, first window, number of windows, text) of each anchor, in order of position."""
+def anchors(data, offsets, hasher, length=LENGTH, gram=GRAM, block=BLOCK_BYTES):
+    """(hash, position, first window, number of windows, text) of each anchor, in order of position.
+
+    The buffer is worked through in blocks of windows, so a long text costs one block's memory.
+    """
     n, width = len(data), length - gram + 1
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return np.zeros(0, np.uint64), none, none, none, none
-    prefix = hasher.prefix(data)
-    at = np.arange(n - gram + 1)
-    grams = hasher.spans(prefix, at, at + gram)
-    low = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    step = 1
-    while step * 2 <= width:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
-    if width > step:
-        low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
-    where = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.maximum(np.diff(offsets) - length + 1, 0)
-    window = np.repeat(offsets[:-1], sizes) + ramp(sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    owner = where[window]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])]) if len(owner) else none
-    return grams[owner[new]], owner[new], window[new], np.diff(np.r_[new, len(owner)]), text[new]
+    parts = []
+    for lo in range(0, max(0, n - length + 1), block):
+        seg = data[lo : lo + block + length - 1]
+        at = np.arange(len(seg) - gram + 1)
+        grams = hasher.spans(hasher.prefix(seg), at, at + gram)
+        low = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        step = 1
+        while step * 2 <= width:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        if width > step:
+            low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
+        where = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # Windows of this block that lie within one text.
+        first = np.clip(lo - offsets[:-1], 0, sizes)
+        count = np.clip(lo + len(where) - offsets[:-1], 0, sizes) - first
+        window = np.repeat(offsets[:-1] + first, count) + ramp(count)
+        text = np.repeat(np.arange(len(sizes)), count)
+        owner = where[window - lo]
+        if len(owner):
+            new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
+            parts.append((grams[owner[new]], owner[new] + lo, window[new], np.diff(np.r_[new, len(owner)]), text[new]))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, none
+    h, pos, window, count, text = (np.concatenate(x) for x in zip(*parts))
+    # An anchor whose windows lie on both sides of a block's edge is one anchor.
+    new = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (text[1:] != text[:-1])])
+    return h[new], pos[new], window[new], np.add.reduceat(count, new), text[new]
 
 
 def shallow(keys, size):
@@ -211,8 +224,7 @@ STRETCH = "h long, stretch binary, back int, times int, windows int, k1 long, k2
 
 def stretch_hashes(data, first, windows, back, hasher, length):
     """Hash of each anchor's stretch and of its place in it."""
-    prefix = hasher.prefix(data)
-    return mix(hasher.spans(prefix, first, first + windows - 1 + length) + mix(back.astype(np.uint64)))
+    return mix(hasher.many(data, first, first + windows - 1 + length) + mix(back.astype(np.uint64)))
 
 
 def _marks(base: DataFrame, length) -> DataFrame:

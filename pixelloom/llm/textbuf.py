@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 3 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def slices(batches, column="text", max_bytes=SLICE_BYTES):
@@ -119,11 +120,23 @@ class Hasher:
     def spans(self, prefix, starts, ends):
         return mix((prefix[ends] - prefix[starts]) * self.inverses[starts])
 
+    def many(self, data, starts, ends, block=BLOCK_BYTES):
+        """Hashes of spans in order of their starts, over blocks of the buffer: a long text costs one block's memory."""
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            low = starts[at]
+            to = max(at + 1, int(np.searchsorted(starts, low + block)))
+            high = int(ends[at:to].max())
+            out[at:to] = self.spans(self.prefix(data[low:high]), starts[at:to] - low, ends[at:to] - low)
+            at = to
+        return out
+
 
 def word_hashes(data, offsets, hasher, sep=SPACE):
     """(hash of each word, starts, ends, first word of each text)."""
     starts, ends, first = word_spans(data, offsets, sep)
-    return hasher.spans(hasher.prefix(data), starts, ends), starts, ends, first
+    return hasher.many(data, starts, ends), starts, ends, first
 
 
 def ramp(counts):
