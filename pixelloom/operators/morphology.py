@@ -9,6 +9,8 @@ from pyspark.sql import Window, functions as F
 from ..raster import Raster
 from .window2d import window2d
 
+LABELS = 1 << 16
+
 
 def morph(r: Raster, mask: list[list[int]], operation: str) -> Raster:
     """Erode (all match) or dilate (any matches) with a mask of 0, 255 and 128 for either."""
@@ -76,7 +78,11 @@ def regions(r: Raster) -> Raster:
 def labelregions(r: Raster) -> Raster:
     """Regions numbered 0, 1, .. in scan order of their first pixels."""
     found = regions(r)
-    order = found.df.select("b0").distinct().select("b0", (F.row_number().over(Window.orderBy("b0")) - 1).alias("n"))
+    # Numbers come from counts of label ranges and a rank within each range: no task holds all labels.
+    labels = found.df.select("b0").distinct().withColumn("part", F.expr(f"b0 div {LABELS}"))
+    before = labels.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    before = before.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("base"))
+    order = labels.join(before, "part").select("b0", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("b0")) - 1).alias("n"))
     return found.having(found.df.join(order, "b0").select("x", "y", F.col("n").cast("long").alias("b0")))
 
 
