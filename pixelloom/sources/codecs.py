@@ -509,7 +509,7 @@ def gif_encode(a: np.ndarray, **_) -> bytes:
 CODECS = {
     "png": (lambda d: d[:8] == b"\x89PNG\r\n\x1a\n", png_decode, png_encode, (".png",)),
     "ppm": (lambda d: re.match(rb"P[1-6Ff]\s", d[:3]) is not None, ppm_decode, ppm_encode, (".ppm", ".pgm", ".pbm", ".pfm", ".pnm")),
-    "native": (lambda d: d[:4] in NATIVE, native_decode, native_encode, (".v", ".vips")),
+    "native": (lambda d: d[:4] in NATIVE, native_decode, native_encode, (".v",)),
     "tiff": (lambda d: d[:4] in (b"II*\0", b"MM\0*"), tiff_decode, tiff_encode, (".tif", ".tiff")),
     "gif": (lambda d: d[:4] == b"GIF8", gif_decode, gif_encode, (".gif",)),
     "rad": (lambda d: d[:2] == b"#?", rad_decode, rad_encode, (".hdr",)),
