@@ -313,7 +313,7 @@ def _sorted_spans(stretches: DataFrame, length) -> DataFrame:
         if held:
             yield flush(held)
 
-    dealt = stretches.repartition(partitions(stretches.sparkSession), F.coalesce("h", "k1")).sortWithinPartitions("h")
+    dealt = stretches.repartition(partitions(stretches.sparkSession), F.coalesce("h", F.xxhash64("k1", "start"))).sortWithinPartitions("h")
     return dealt.mapInArrow(run, SPAN)
 
 
@@ -330,7 +330,10 @@ def dedup_passages(docs: DataFrame, id_col="doc_id", text_col="text", length=LEN
     seen = seen.select("rid", "i", "times", (F.col("lo") != F.col("hi")).alias("many"), F.sum("times").over(by_stretch).alias("all"), F.row_number().over(by_stretch.orderBy("rid", "i")).alias("nth"))
     settle, ship = (F.col("all") > 1) & (F.col("times") == 1), F.col("many") & (F.col("nth") == 1)
     asked = seen.where(settle | ship).groupBy("rid").agg(F.collect_list(F.struct("i", settle.alias("settle"), ship.alias("ship"), F.least("all", F.lit(2)).cast("int").alias("times"))).alias("asked"))
-    asked = stored(marks.select("rid", "k1", "k2", F.col("id").alias("of")).join(asked, "rid").select("k1", "k2", "of", "asked"), "asked")
+    # Of equal texts one answers for all: its anchors are settled or shipped as those of any copy.
+    asked = marks.select("rid", "k1", "k2", F.col("id").alias("of")).join(asked, "rid")
+    asked = asked.groupBy("k1", "k2").agg(F.min_by(F.struct("of", "asked"), "rid").alias("p")).select("k1", "k2", "p.of", "p.asked")
+    asked = stored(asked, "asked")
     # As a text the comparison is no join key, so the exchange below is by (k1, k2) and serves both joins.
     work = base.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("of")).cast("string") == "true")
     within = marks.select("k1", "k2", F.explode("settled").alias("s")).select("k1", "k2", "s.start", "s.stop")
