@@ -4,8 +4,10 @@ A document is the set of its distinct word shingles, with a signature of ``POSIT
 minwise tokens.  Equal sets are one vertex.  Each of several independent trees branches
 recursively: a node picks ``BRANCHES`` signature positions by a hash of its path, and a
 vertex goes to the child named by its token there.  After ``DEPTH`` levels dissimilar
-vertices have parted, and two of similarity 0.85 still share a node of a tree with
-probability ``survival``; the number of trees follows from the target recall.
+vertices have parted, and two at the threshold still share a node of a tree with
+probability ``survival``; the number of trees follows from the threshold and the target
+recall.  The threshold is a fraction of integers, 85/100 for the query and ``STAGE`` for the
+stage of the pipeline.
 
 A node is settled when its members are known to be linked, directly or over others.  All
 nodes first compare their members with one pivot (linear in the members).  What is then not
@@ -38,6 +40,7 @@ from .shared import load, partitions, stored
 from .textbuf import SPACE, Hasher, buffer, mix, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 85, 100
+STAGE = (80, 100)
 POSITIONS, DEPTH, BRANCHES, RECALL = 64, 3, 2, 0.9999
 SMALL, BLOCK, BLOCK_ROWS = 12, 256, 1500
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, POSITIONS * 2, dtype=np.uint64).reshape(2, -1) * np.uint64(2) + np.uint64(1)
@@ -153,12 +156,13 @@ def memberships(vertices: DataFrame, trees: int, depth=DEPTH) -> DataFrame:
     return vertices.select("v", "n", "sig").mapInArrow(run, "node long, v long, n long")
 
 
-def fitting():
+def fitting(similarity=(NUM, DEN)):
     """Sizes that allow the similarity."""
-    return F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM
+    num, den = similarity
+    return F.least("an", "bn") * den >= F.greatest("an", "bn") * num
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
+def star_pairs(members: DataFrame, similarity=(NUM, DEN)) -> DataFrame:
     """(a, b, an, bn): each member with its node's pivot.
 
     The pivot is the member whose nodes hold the most members altogether: of a group of
@@ -169,18 +173,18 @@ def star_pairs(members: DataFrame) -> DataFrame:
     pivots = members.join(central, "v").groupBy("node").agg(F.max(F.struct("score", (-F.col("v")).alias("w"), "n")).alias("p"))
     pivots = pivots.select("node", (-F.col("p.w")).alias("a"), F.col("p.n").alias("an"))
     pairs = members.join(pivots, "node").where("v <> a")
-    return pairs.select("a", F.col("v").alias("b"), "an", F.col("n").alias("bn")).where(fitting()).distinct().select("a", "b")
+    return pairs.select("a", F.col("v").alias("b"), "an", F.col("n").alias("bn")).where(fitting(similarity)).distinct().select("a", "b")
 
 
-def small_pairs(members: DataFrame) -> DataFrame:
+def small_pairs(members: DataFrame, similarity=(NUM, DEN)) -> DataFrame:
     """(a, b): all pairs of different classes in nodes of at most SMALL members."""
     groups = members.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("v", "n", "c"))).alias("all"))
     one = groups.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("r"))
     pairs = one.where("l.v < r.v and l.c <> r.c").select(F.col("l.v").alias("a"), F.col("r.v").alias("b"), F.col("l.n").alias("an"), F.col("r.n").alias("bn"))
-    return pairs.where(fitting()).select("a", "b").distinct()
+    return pairs.where(fitting(similarity)).select("a", "b").distinct()
 
 
-def block_links(docs: DataFrame, members: DataFrame, block=BLOCK_ROWS) -> DataFrame:
+def block_links(docs: DataFrame, members: DataFrame, block=BLOCK_ROWS, similarity=(NUM, DEN)) -> DataFrame:
     """(a, b): links between different classes within large nodes, compared in full.
 
     Nodes of one group of texts overlap, so the vertices of overlapping nodes form one
@@ -205,11 +209,11 @@ def block_links(docs: DataFrame, members: DataFrame, block=BLOCK_ROWS) -> DataFr
             got = []
             for g, i, j, side, v, c, s in zip(*[b.column(k).to_pylist() for k in range(6)], sets):
                 if (g, i, j) != key:
-                    got += compare(rows, key)
+                    got += compare(rows, key, similarity)
                     key, rows = (g, i, j), []
                 rows.append((side, v, c, s))
             yield pairs_batch(got)
-        yield pairs_batch(compare(rows, key))
+        yield pairs_batch(compare(rows, key, similarity))
 
     return texts.mapInArrow(run, "a long, b long").distinct()
 
@@ -218,7 +222,7 @@ def pairs_batch(got):
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
 
-def compare(rows, key):
+def compare(rows, key, similarity=(NUM, DEN)):
     """Links of different classes between the two sides of a pair of blocks (or within one block).
 
     Shingles that many rows share are bits, the rest are counted: common bits and the smaller
@@ -226,6 +230,7 @@ def compare(rows, key):
     """
     if not rows:
         return []
+    num, den = similarity
     sets = [r[3] for r in rows]
     n = np.array([len(s) for s in sets], np.int64)
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -245,24 +250,25 @@ def compare(rows, key):
     for x in left.tolist():
         ys = right[right > x] if within else right
         most = np.bitwise_count(words[ys] & words[x]).sum(1, dtype=np.int64) + np.minimum(rest[ys], rest[x])
-        ys = ys[(most * (DEN + NUM) >= NUM * (n[ys] + n[x])) & (cs[ys] != cs[x])]
+        ys = ys[(most * (den + num) >= num * (n[ys] + n[x])) & (cs[ys] != cs[x])]
         known = set()
         for y in ys.tolist():
-            if int(cs[y]) not in known and similar(sets[x], sets[y]):
+            if int(cs[y]) not in known and similar(sets[x], sets[y], similarity):
                 known.add(int(cs[y]))
                 out.append((vs[x], vs[y]))
     return out
 
 
-def similar(a, b) -> bool:
+def similar(a, b, similarity=(NUM, DEN)) -> bool:
     """Whether two sorted sets have the similarity, in integers."""
-    if min(len(a), len(b)) * DEN < max(len(a), len(b)) * NUM:
+    num, den = similarity
+    if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
         return False
     both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return den * both >= num * (len(a) + len(b) - both)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, block=BLOCK) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, block=BLOCK, similarity=(NUM, DEN)) -> DataFrame:
     """(a, b) of the pairs whose full sets are similar.  Partners of one a come in blocks."""
     spark = docs.sparkSession
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
@@ -282,7 +288,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, block=BLOCK) -> DataFrame:
                 if role == 0:
                     own.append(s)
                     continue
-                if any(similar(o, s) for o in own):
+                if any(similar(o, s, similarity) for o in own):
                     got.append((a, v))
             yield pairs_batch(got)
 
@@ -299,8 +305,8 @@ def unsettled(members: DataFrame) -> DataFrame:
     return members.join(mixed, "node")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RECALL) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RECALL, similarity=(NUM, DEN)) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; sets whose Jaccard similarity is the fraction at least are linked."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = stored(table_of(base), "minhash")
     known = table.where("n > 0 and id is not null")
@@ -308,17 +314,17 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RE
     # Rows of one id are one document: its vertices are linked as they are.
     again = known.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     same = known.join(again, "id").select("id", "k1", "k2", "n").join(vertices, ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("v").alias("b"))
-    members = memberships(vertices, trees_for(recall))
+    members = memberships(vertices, trees_for(recall, similarity[0] / similarity[1]))
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
     members = stored(members.join(shared, "node").select("node", "v", "n"), "members")
     # The texts of vertices that share any node, once: later joins move only these.
     texts = stored(base.join(members.select(F.col("v").alias("id")).distinct(), "id"), "texts")
-    stars = stored(star_pairs(members), "pairs")
-    links = stored(confirm(texts, stars).union(same), "links")
+    stars = stored(star_pairs(members, similarity), "pairs")
+    links = stored(confirm(texts, stars, similarity=similarity).union(same), "links")
     classes = components(links)
     open_ = stored(unsettled(classed(members, classes)), "open")
-    pairs = small_pairs(open_.where(F.col("k") <= SMALL)).join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = stored(confirm(texts, pairs).union(block_links(texts, open_.where(F.col("k") > SMALL))), "links")
+    pairs = small_pairs(open_.where(F.col("k") <= SMALL), similarity).join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    more = stored(confirm(texts, pairs, similarity=similarity).union(block_links(texts, open_.where(F.col("k") > SMALL), similarity=similarity)), "links")
     classes = components(links.union(more))
     named = vertices.select("k1", "k2", "n", "v").join(classes.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("k1", "k2", "n", F.coalesce("root", "v").alias("root"))
     named = known.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).groupBy("id").agg(F.min("root").alias("root"))
@@ -333,5 +339,5 @@ def op1_minhash_join(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """One document of each component stays, the one with the smallest id; all rows of that id and rows of null id stay."""
-    gone = near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    gone = near_duplicates(docs, similarity=STAGE).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
