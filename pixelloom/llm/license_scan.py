@@ -3,8 +3,8 @@
 A text is normalised - lower case, typographic quotes and dashes, copyright lines out,
 punctuation to spaces, equivalent spellings to one, white space to one space - and the
 SHA-256 of the whole normalised text is looked up among the digests of known licences.
-The known texts are a table ``licenses(license_id, text)``; the bundled ones are short
-licences and standard notices.  The same lookup runs over each single line that speaks of
+The known texts are a table ``licenses(license_id, text)``; the bundled ones are the common
+licences and notices in their usual forms (``license_texts``).  The same lookup runs over each single line that speaks of
 a licence, so that notices inside longer documents are found as whole lines.
 
 The digest table is bounded: it holds ``MAX_KNOWN`` rows at most and is broadcast; a larger
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .license_texts import texts
 from .shared import load
 
 MAX_KNOWN = 5_000
 
-# Known licence texts and notices.
+# Known licence texts and notices, those that the SQL has; license_texts has more.
 KNOWN = [
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -61,7 +62,7 @@ def known_digests(licenses: DataFrame) -> DataFrame:
 
 
 def bundled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame(KNOWN + texts(), "license_id string, text string")
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col="doc_id", text_col="text") -> DataFrame:
@@ -72,6 +73,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col="doc_id", te
     rows = known.limit(MAX_KNOWN + 1).collect()
     if len(rows) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known texts: scan in blocks of the licence table")
+    known = spark.createDataFrame(rows, known.schema)
     by_line = F.create_map(*[F.lit(x) for r in rows for x in r]) if rows else F.create_map().cast("map<string,string>")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     said = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(MENTION))

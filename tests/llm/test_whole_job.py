@@ -2,8 +2,10 @@
 
 import random
 import re
+import textwrap
+from pathlib import Path
 
-from pixelloom.llm import minhash_join
+from pixelloom.llm import license_scan, license_texts, minhash_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -63,3 +65,20 @@ def test_large_group_at_the_threshold_of_the_stage(spark):
 def test_trees_reach_recall_of_the_stage():
     num, den = minhash_join.STAGE
     assert 1 - (1 - minhash_join.survival(num / den)) ** minhash_join.trees_for(similarity=num / den) > minhash_join.RECALL
+
+
+# --- licences -----------------------------------------------------------------------------------------------------
+
+def test_whole_licenses_and_notices(spark):
+    whole = {f.stem: f.read_text() for f in (Path(license_texts.__file__).with_name("licenses")).glob("*.txt")}
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only"} <= set(whole)
+    mit = dict((k, t) for k, t in license_scan.KNOWN if len(t) > 200)["MIT"]
+    bsd = "Copyright (c) 2021, Someone\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p.replace("#", "* "), 79) for p in [*license_texts.BSD, license_texts.HOLDERS])
+    cases = [*whole.items(), ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), ("MIT", "The MIT License (MIT)\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(textwrap.fill(p, 78) for p in mit.split("\n\n"))),
+             ("BSD-2-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd.replace("\n\nTHIS", "\n\n* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.\n\nTHIS")),
+             ("Apache-2.0", whole["Apache-2.0"][: whole["Apache-2.0"].index("APPENDIX")]), ("GPL-2.0-only", re.sub(r"51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA", whole["GPL-2.0-only"])), (None, mit + "\nand more"), (None, whole["GPL-3.0-only"][:-2000])]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(want, got[k]) for k, (want, _) in enumerate(cases) if got[k] != want] == []
+    lines = [("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");'), ("MIT", "This project is licensed under the MIT License."), ("GPL-3.0-only", "// SPDX-License-Identifier: GPL-3.0-only"), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("LGPL-2.1-only", "Released under the GNU Lesser General Public License, version 2.1.")]
+    got = {r["doc_id"]: r["notice_ids"] for r in license_scan.scan(spark.createDataFrame([(k, f"Hello.\n{t}\nBye.") for k, (_, t) in enumerate(lines)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(lines))] == [[want] for want, _ in lines]
