@@ -3,9 +3,10 @@
 Training counts byte trigrams of words for each language over all labelled rows (a bounded
 table: languages x ``BUCKETS``).  A document is a mixture of languages at the level of
 words: each word's likelihood in each language comes from its trigrams, and expectation-
-maximisation estimates the document's proportions.  For the most likely one, two and three
-languages the mixture is fitted again, and the set with the best likelihood less
-``PENALTY * log(words)`` for each language is selected.  Its largest share is the score.
+maximisation estimates the document's proportions.  For the most likely one, two, three and
+so on up to all languages the mixture is fitted again, and the set with the best likelihood
+less ``PENALTY * log(words)`` for each language is selected.  Its largest share is the score.
+The fits of a text grow with the number of languages learned.
 
 Everything is one narrow pass for the counts and one for the answers; only the counts are
 shuffled.
@@ -111,7 +112,7 @@ def mixtures(column, names, logp, hasher, penalty=PENALTY, rounds=ROUNDS):
     theta, _ = fit(p, doc, first, np.full((docs, k), 1 / k, np.float32), rounds)
     order = np.argsort(-theta, axis=1, kind="stable")
     best, best_value = None, None
-    for m in range(1, min(k, 3) + 1):
+    for m in range(1, k + 1):
         start = np.zeros_like(theta)
         rows = np.arange(docs)[:, None]
         start[rows, order[:, :m]] = np.maximum(theta[rows, order[:, :m]], 1e-4)

@@ -5,7 +5,7 @@ import re
 import textwrap
 from pathlib import Path
 
-from pixelloom.llm import license_scan, license_texts, minhash_join
+from pixelloom.llm import language_id, license_scan, license_texts, minhash_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -82,3 +82,27 @@ def test_whole_licenses_and_notices(spark):
     lines = [("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");'), ("MIT", "This project is licensed under the MIT License."), ("GPL-3.0-only", "// SPDX-License-Identifier: GPL-3.0-only"), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("LGPL-2.1-only", "Released under the GNU Lesser General Public License, version 2.1.")]
     got = {r["doc_id"]: r["notice_ids"] for r in license_scan.scan(spark.createDataFrame([(k, f"Hello.\n{t}\nBye.") for k, (_, t) in enumerate(lines)], "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(lines))] == [[want] for want, _ in lines]
+
+
+# --- languages ----------------------------------------------------------------------------------------------------
+
+LANGS = ("en", "fr", "de", "es", "fi")
+
+
+def languages(seed=8):
+    """Words of five made languages with letters of their own for the most part."""
+    rng = random.Random(seed)
+    letters = {k: x for k, x in zip(LANGS, ("abcdefa", "ghijkla", "mnopqre", "stuvwxe", "yzäöüia"))}
+    return {k: ["".join(rng.choice(x) for _ in range(rng.randint(4, 8))) for _ in range(80)] for k, x in letters.items()}, rng
+
+
+def test_languages_of_a_text_have_no_cap(spark):
+    words, rng = languages()
+    text = lambda *ks: " ".join(rng.choice(words[k]) for k in ks for _ in range(100))
+    known = [(k, text(x), x, "s", 1) for k, x in enumerate(LANGS * 6)]
+    model = language_id.train(spark.createDataFrame(known, SCHEMA))
+    mixed = [LANGS[:1], LANGS[:2], LANGS[:3], LANGS[:4], LANGS]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame([(k, text(*x)) for k, x in enumerate(mixed)], "doc_id long, text string"), model).collect()}
+    for k, x in enumerate(mixed):
+        assert {y["lang"] for y in got[k]["languages"]} == set(x)
+        assert abs(got[k]["score"] - 1 / len(x)) < 0.03 and abs(sum(y["share"] for y in got[k]["languages"]) - 1) < 0.001
