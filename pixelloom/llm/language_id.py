@@ -172,7 +172,12 @@ def op6_language_id(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Documents in no language (``und``) go; the others keep their columns."""
-    model = train(docs, F.coalesce(remainder(4) != 2, F.lit(False)))
+    """Documents in no language (``und``) go; the others keep their columns.
+
+    All labelled rows are learned from.  Where none of them teaches a language, only texts without a letter go.
+    """
+    model = train(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", "source", "n_chars")
     found = identify(docs, model, keep=("lang", "source", "n_chars"))
     return found.where(F.col("lang_pred") != UNDETERMINED).select("doc_id", "text", "lang", "source", "n_chars")

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import zlib
 from pathlib import Path
 
 from pixelloom.llm import language_id, license_scan, license_texts, minhash_join
@@ -106,3 +107,19 @@ def test_languages_of_a_text_have_no_cap(spark):
     for k, x in enumerate(mixed):
         assert {y["lang"] for y in got[k]["languages"]} == set(x)
         assert abs(got[k]["score"] - 1 / len(x)) < 0.03 and abs(sum(y["share"] for y in got[k]["languages"]) - 1) < 0.001
+
+
+def test_language_stage_without_labels_drops_only_texts_without_a_letter(spark):
+    texts = ["the house by the river", "вода и дом", "12 34 !!", "", None, "—", "x1"]
+    rows = [(k, t, None, "s", 1) for k, t in enumerate(texts)]
+    kept = language_id.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[1], rows[6]]
+
+
+def test_language_stage_learns_from_all_labelled_rows(spark, monkeypatch):
+    seen, train = [], language_id.train
+    monkeypatch.setattr(language_id, "train", lambda *a, **k: seen.append(train(*a, **k)) or seen[-1])
+    fold = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 == 2]
+    rows = [(k, "the house by the river", "en", "s", 1) for k in fold] + [(200, "12", None, "s", 1)]
+    kept = language_id.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert seen[0][0] == ["en"] and sorted(r["doc_id"] for r in kept.collect()) == fold
