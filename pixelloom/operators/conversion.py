@@ -410,7 +410,7 @@ def composite(images: list[Raster], modes: list[str], xs=None, ys=None) -> Raste
 
 
 def smartcrop(r: Raster, width: int, height: int, interesting="centre") -> Raster:
-    """Crop by interest.  entropy and attention score all places with one integral pass over rows or columns."""
+    """Crop by interest.  entropy and attention are simplified to one score of detail in band 0, summed over columns and rows."""
     if interesting in ("none", "low"):
         return extract_area(r, 0, 0, width, height)
     if interesting == "high":
@@ -419,7 +419,7 @@ def smartcrop(r: Raster, width: int, height: int, interesting="centre") -> Raste
         return r
     if interesting == "centre":
         return extract_area(r, (r.width - width) // 2, (r.height - height) // 2, width, height)
-    # Detail of a pixel: how far its value is from its right and lower neighbours.
+    # Detail of a pixel: how far its value is from its right neighbour.
     from pyspark.sql import Window
 
     right = F.lead("b0").over(Window.partitionBy("y").orderBy("x"))
