@@ -53,7 +53,7 @@ def correlate(ref: Raster, sec: Raster, xref: int, yref: int, xsec: int, ysec: i
 
 
 def mosaic(ref: Raster, sec: Raster, direction: str, xref, yref, xsec, ysec, hwindow=5, harea=15, mblend=10) -> Raster:
-    """Refines a tie point by correlation, then merges."""
+    """Refines the one given tie point by correlation on band 0, then merges; without a full window the point is taken as given."""
     best = correlate(ref, sec, xref, yref, xsec, ysec, hwindow, harea).first()
     dx, dy = (best["dx"], best["dy"]) if best else (0, 0)
     return merge(ref, sec, direction, xsec + dx - xref, ysec + dy - yref, mblend)
