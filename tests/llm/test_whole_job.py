@@ -1,12 +1,16 @@
 """Cases at the edge of each job, where a shorter version of it would still look right."""
 
+import hashlib
 import random
 import re
 import textwrap
 import zlib
 from pathlib import Path
 
-from pixelloom.llm import language_id, license_scan, license_texts, minhash_join
+import sentencepiece
+
+import corpus_pipeline
+from pixelloom.llm import language_id, license_scan, license_texts, minhash_join, sentencepiece_chunks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -123,3 +127,55 @@ def test_language_stage_learns_from_all_labelled_rows(spark, monkeypatch):
     rows = [(k, "the house by the river", "en", "s", 1) for k in fold] + [(200, "12", None, "s", 1)]
     kept = language_id.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert seen[0][0] == ["en"] and sorted(r["doc_id"] for r in kept.collect()) == fold
+
+
+# --- the pipeline against brute force -----------------------------------------------------------------------------
+
+def brute_pipeline(rows, items, min_docs=5, percent=80, window=10):
+    """(doc_id, text) that is left of rows (id, text) of distinct ids and of ASCII words."""
+    rows = [(d, t) for d, t in rows if any(c.isalpha() for c in t or "")]
+    owners = {}
+    for d, t in rows:
+        for line in {x.strip().lower() for x in t.split("\n")}:
+            owners.setdefault(line, []).append(d)
+    lost = lambda d, x: len(x) >= 40 and len(owners[x]) >= min_docs and d != max(owners[x])
+    rows = [(d, "\n".join(x for x in t.split("\n") if not lost(d, x.strip().lower()))) for d, t in rows]
+    root = brute_components(rows, percent)
+    rows = [(d, t) for d, t in rows if root[d] == d]
+    known = set()
+    for i in items:
+        w = i.lower().split()
+        known |= {tuple(w[a : a + window]) for a in range(max(1, len(w) - window + 1))}
+    out = []
+    for d, t in rows:
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        w, hit = [t[a:b].lower() for a, b in at], set()
+        for size in {len(k) for k in known}:
+            hit.update(x for a in range(len(w) - size + 1) if tuple(w[a : a + size]) in known for x in range(a, a + size))
+        for k in sorted(hit, reverse=True):
+            end = at[k][1] if k + 1 not in hit else at[k + 1][0]
+            t = t[: at[k][0]] + t[end:]
+        out.append((d, t))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    words, rng = languages(9)
+    prose = lambda k, n: [rng.choice(words[k]) for _ in range(n)]
+    a, b, c, d = prose("en", 200), prose("fr", 200), prose("de", 200), prose("en", 200)
+    shared, passage = "This very line stands in six of the documents as it is", prose("de", 25)
+    texts = [" ".join(a), scattered(a, 4, "xa"), " ".join(b), scattered(b, 2, "xb"), " ".join(c), scattered(c, 8, "xc"), " ".join(d), " ".join(d).upper(),
+             *[f"{shared}\n" + " ".join(prose("fr", 60)) for _ in range(6)], *[f"Another line that is in four documents only, word for word\n{' '.join(prose('en', 50))}" for _ in range(4)],
+             " ".join([*prose("en", 40), *passage, *prose("en", 40)]), " ".join([*passage[:9], *prose("de", 30)]), " ".join(passage), "12 34 !!", "", None, "one"]
+    rows = [(k, t, "en" if k % 2 else "fr", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = brute_pipeline([r[:2] for r in rows], [" ".join(passage)])
+    # Every stage has something to do.
+    ids = {k for k, _ in left}
+    assert texts[21:24] == ["12 34 !!", "", None] and ids == set(range(25)) - {1, 3, 7, 21, 22, 23}
+    assert [k for k, t in left if t != texts[k]] == [8, 9, 10, 11, 12, 18, 20]
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_chunks.default_model())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(k, len(e), sha(",".join(map(str, e))), sha(sp.decode(e))) for k, t in left for e in [sp.encode(t)]]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
