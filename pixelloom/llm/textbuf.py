@@ -8,6 +8,8 @@ alone), which bounds the memory of a Python worker.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -89,36 +91,30 @@ def mix(h):
     return h ^ (h >> np.uint64(32))
 
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian symbol.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_SPAN = 64
+
+
+def symbols(data):
+    """The 8-byte little-endian symbol at every byte of the buffer; bytes past its end are 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 class Hasher:
-    """64-bit hashes of any byte spans of a buffer, from prefix sums of a polynomial mod 2**64.
+    """64-bit hashes of byte spans of a buffer; with ``fold`` A-Z hash as a-z.
 
-    Each byte value gets a fixed random weight; with ``fold`` A-Z weigh as a-z.
+    Spans of up to ``LONG_SPAN`` bytes go through a finaliser symbol by symbol, all spans at
+    once, starting from their size; longer ones through BLAKE2b.  Every step is a bijection of
+    the state and none is linear, so that no family of texts collides by its form.
     """
 
-    def __init__(self, fold=True, seed=20240517):
-        rng = np.random.default_rng(seed)
-        self.weight = rng.integers(1, 2**63, 256, dtype=np.uint64)
-        self.base = int(rng.integers(2**40, 2**62)) * 2 + 1
+    def __init__(self, fold=True):
+        self.table = np.arange(256, dtype=np.uint8)
         if fold:
-            self.weight[65:91] = self.weight[97:123]
-        self.inverse = pow(self.base, -1, 2**64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n):
-        if len(self.powers) < n:
-            for name, b in (("powers", self.base), ("inverses", self.inverse)):
-                p = np.full(n, b % 2**64, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def prefix(self, data):
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.weight[data] * self.powers[: len(data)], out=out[1:])
-        return out
-
-    def spans(self, prefix, starts, ends):
-        return mix((prefix[ends] - prefix[starts]) * self.inverses[starts])
+            self.table[65:91] = self.table[97:123]
 
     def many(self, data, starts, ends, block=BLOCK_BYTES):
         """Hashes of spans in order of their starts, over blocks of the buffer: a long text costs one block's memory."""
@@ -128,10 +124,46 @@ class Hasher:
             low = starts[at]
             to = max(at + 1, int(np.searchsorted(starts, low + block)))
             high = int(ends[at:to].max())
-            out[at:to] = self.spans(self.prefix(data[low:high]), starts[at:to] - low, ends[at:to] - low)
+            out[at:to] = self._block(self.table[data[low:high]], starts[at:to] - low, ends[at:to] - low)
             at = to
         return out
 
+    def _block(self, data, starts, ends):
+        size = ends - starts
+        view = symbols(data)
+        out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        for j in range(0, LONG_SPAN, 8):
+            live = live[size[live] > j]
+            if not len(live):
+                break
+            got = view[starts[live] + j] & MASKS[np.minimum(size[live] - j, 8)]
+            out[live] = mix((out[live] ^ got) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(j + 1))
+        for k in np.flatnonzero(size > LONG_SPAN).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].data, digest_size=8).digest(), "little")
+        return out
+
+
+def rolling(data, width):
+    """Hash of the ``width``-byte string (8 at least) at every byte that starts one: halves are hashed, then joined by two."""
+    h = symbols(data)[: len(data) - 7] * np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(32)
+
+    def join(a, b):
+        out = a * np.uint64(0xD6E8FEB86659FD93)
+        out += b
+        out ^= out >> np.uint64(29)
+        return out
+
+    size = 8
+    while size * 2 <= width:
+        h = join(h[:-size], h[size:])
+        size *= 2
+    if width > size:
+        h = join(h[: len(h) - (width - size)], h[width - size :])
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return h
+
 
 def word_hashes(data, offsets, hasher, sep=SPACE):
     """(hash of each word, starts, ends, first word of each text)."""
