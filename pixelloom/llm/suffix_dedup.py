@@ -14,11 +14,18 @@ still has a common prefix.  With the LCPs of both arrays, a window of offset o r
 exactly if another anchor is in the same LCP interval of depth ``length - o`` forwards and
 of depth o backwards.
 
-Equal stretches are one stretch with a count: all their windows recur, and one of them goes
-into the sort for the others of its hash (a hash with a single stretch needs no order).
-Slices combine first, so that a passage in a third of all documents reaches its partition
-once for each slice.  Spans are gathered by text, which bounds each group by its own text,
-and both joins with the texts share one exchange.
+Equal stretches (by 128 bits of BLAKE2b) are one stretch with a count: all their windows
+recur, and one of them goes into the sort for the others of its hash (a hash with a single
+stretch needs no order).  Slices combine first, so that a passage in a third of all documents
+reaches its partition once for each slice.
+
+A gram of more than ``HOT_GRAM`` stretches - the edge of a very common passage, whose
+surroundings all differ - is no group of one task: there the LCP intervals are named by what
+they stand for, the 128-bit digest of each window, and windows recur by their digests' counts,
+which are dealt by digest and combined before the exchange.
+
+Spans are gathered by text, which bounds each group by its own text, and both joins with the
+texts share one exchange.
 
 Cases: null is an empty text; texts shorter than ``length`` lose nothing; equal texts (rows
 that repeat included) of at least ``length`` bytes lose everything, and an empty table gives
@@ -35,13 +42,13 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import load, partitions, stored
-from .textbuf import BLOCK_BYTES, Hasher, buffer, merge_spans, mix, ramp, slices
+from .shared import discard, hot_keys, load, partitions, split_join, stored
+from .textbuf import buffer, merge_spans, ramp, rolling, slices
 
-LENGTH, GRAM, SHALLOW, CHUNK = 200, 64, 32, 60_000
+LENGTH, GRAM, SHALLOW, CHUNK, WINDOWS, HOT_GRAM = 200, 64, 32, 60_000, 1 << 18, 500
 
 
-def anchors(data, offsets, hasher, length=LENGTH, gram=GRAM, block=BLOCK_BYTES):
+def anchors(data, offsets, length=LENGTH, gram=GRAM, block=WINDOWS):
     """(hash, position, first window, number of windows, text) of each anchor, in order of position.
 
     The buffer is worked through in blocks of windows, so a long text costs one block's memory.
@@ -51,9 +58,8 @@ def anchors(data, offsets, hasher, length=LENGTH, gram=GRAM, block=BLOCK_BYTES):
     parts = []
     for lo in range(0, max(0, n - length + 1), block):
         seg = data[lo : lo + block + length - 1]
-        at = np.arange(len(seg) - gram + 1)
-        grams = hasher.spans(hasher.prefix(seg), at, at + gram)
-        low = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        grams = rolling(seg, gram)
+        low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         step = 1
         while step * 2 <= width:
             low = np.minimum(low[:-step], low[step:])
@@ -80,22 +86,30 @@ def anchors(data, offsets, hasher, length=LENGTH, gram=GRAM, block=BLOCK_BYTES):
 
 
 def shallow(keys, size):
-    """Multikey quicksort on 8-byte symbols: (order, group of each place); only groups still tied look at the next symbol."""
-    order = np.argsort(keys[:, 0], kind="stable")
-    got = keys[order, 0]
-    group = np.cumsum(np.r_[0, got[1:] != got[:-1]]) if size else np.zeros(0, np.int64)
-    for symbol in range(1, keys.shape[1]):
-        tied = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if size else np.zeros(0, np.int64)
-        if not len(tied):
-            break
-        rows = order[tied]
-        inner = np.lexsort((keys[rows, symbol], group[tied]))
-        order[tied] = rows[inner]
-        now = np.zeros(size, np.uint64)
-        now[tied] = keys[order[tied], symbol]
-        split = np.r_[False, (group[1:] != group[:-1]) | (now[1:] != now[:-1])]
-        group = np.cumsum(split)
-    return order, group
+    """Multikey quicksort on 8-byte symbols: (order, group of each place).
+
+    All open segments are parted at once into less, equal and greater than their middle row's
+    symbol; what is equal goes on with the next symbol, and segments of one row are done.
+    """
+    order = np.arange(size)
+    start = np.zeros(size, np.int64)
+    depth = np.zeros(size, np.int64)
+    live = np.arange(size) if size > 1 else np.zeros(0, np.int64)
+    while len(live):
+        seg = start[live]
+        head = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+        count = np.diff(np.r_[head, len(seg)])
+        own = keys[order[live], depth[live]]
+        pivot = np.repeat(own[head + count // 2], count)
+        part = (own > pivot).astype(np.int8) - (own < pivot)
+        moved = np.lexsort((part, seg))
+        order[live], part = order[live][moved], part[moved]
+        fresh = np.r_[True, (seg[1:] != seg[:-1]) | (part[1:] != part[:-1])]
+        start[live] = live[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        depth[live] += part == 0
+        alone = fresh & np.r_[fresh[1:], True]
+        live = live[~alone & (depth[live] < keys.shape[1])]
+    return order, np.cumsum(np.r_[False, start[1:] != start[:-1]]) if size else start
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -219,52 +233,57 @@ def window_spans(text, first, length=LENGTH):
 
 
 SPAN = "k1 long, k2 long, start long, stop long"
-STRETCH = "h long, stretch binary, back int, times int, windows int, k1 long, k2 long, at long, start long, stop long"
+STRETCH = "h long, stretch binary, back int, times int, windows int, w1 long, w2 long, k1 long, k2 long, at long, start long, stop long"
+
 
+def digest(data, salt=b"") -> bytes:
+    return hashlib.blake2b(data, digest_size=16, salt=salt).digest()
 
-def stretch_hashes(data, first, windows, back, hasher, length):
-    """Hash of each anchor's stretch and of its place in it."""
-    return mix(hasher.many(data, first, first + windows - 1 + length) + mix(back.astype(np.uint64)))
+
+def stretch_digests(raw, first, windows, back, length):
+    """128-bit digest of each anchor's stretch and of its place in it: (group numbers, two longs of each)."""
+    got = [digest(raw[f : f + w - 1 + length], b.to_bytes(4, "little")) for f, w, b in zip(first.tolist(), windows.tolist(), back.tolist())]
+    known: dict[bytes, int] = {}
+    group = np.fromiter((known.setdefault(g, len(known)) for g in got), np.int64, len(got))
+    return group, np.frombuffer(b"".join(got), np.int64).reshape(-1, 2)
 
 
 def _marks(base: DataFrame, length) -> DataFrame:
-    """(k1, k2, id, i, h, st, times, settled) of every row: its anchors, each stretch once for a slice.
+    """(k1, k2, id, i, h, st, su, times, settled) of every row: its anchors, each stretch once for a slice.
 
     This is the combine before the exchange: whatever part of the documents holds a passage,
     a slice sends it once.  ``settled`` are the spans of stretches that stand twice in a slice.
     """
 
     def run(batches):
-        hasher = Hasher(fold=False)
         for b in slices(batches, "text"):
             data, offsets = buffer(b.column(3))
-            h, pos, first, windows, text = anchors(data, offsets, hasher, length)
-            st = stretch_hashes(data, first, windows, pos - first, hasher, length) if len(h) else h
+            h, pos, first, windows, text = anchors(data, offsets, length)
+            group, st = stretch_digests(data.data, first, windows, pos - first, length)
             begin = np.searchsorted(text, np.arange(b.num_rows + 1))
             index = np.arange(len(h)) - begin[text] if len(h) else first
-            _, rep, group, count = np.unique(mix(h) ^ st, return_index=True, return_inverse=True, return_counts=True)
-            rep.sort()
+            _, rep, count = np.unique(group, return_index=True, return_counts=True)
             twice = np.flatnonzero(count[group] > 1) if len(h) else first
+            rep.sort()
             lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(text[at], np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(values))
             span = pa.StructArray.from_arrays([pa.array(first[twice] - offsets[text[twice]]), pa.array(first[twice] - offsets[text[twice]] + windows[twice] - 1 + length)], ["start", "stop"])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], lists(rep, index[rep].astype(np.int32)), lists(rep, h[rep].view(np.int64)), lists(rep, st[rep].view(np.int64)), lists(rep, count[group[rep]].astype(np.int32)),
+                [*b.columns[:3], lists(rep, index[rep].astype(np.int32)), lists(rep, h[rep].view(np.int64)), lists(rep, st[rep, 0]), lists(rep, st[rep, 1]), lists(rep, count[group[rep]].astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(np.searchsorted(text[twice], np.arange(b.num_rows + 1)).astype(np.int32)), span)],
-                ["id", "k1", "k2", "i", "h", "st", "times", "settled"])
+                ["id", "k1", "k2", "i", "h", "st", "su", "times", "settled"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.select("id", "k1", "k2", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, i array<int>, h array<long>, st array<long>, times array<int>, settled array<struct<start:long,stop:long>>")
+    return base.select("id", "k1", "k2", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, i array<int>, h array<long>, st array<long>, su array<long>, times array<int>, settled array<struct<start:long,stop:long>>")
 
 
 def _stretches(work: DataFrame, length) -> DataFrame:
-    """What each text was asked for: the spans of settled anchors, and the stretches that go into the sort."""
+    """What each text was asked for: spans of settled anchors, stretches that go into the sort, digests of the windows of hot grams."""
 
     def run(batches):
-        hasher = Hasher(fold=False)
         for b in slices(batches, "text"):
             data, offsets = buffer(b.column(3))
             raw = data.tobytes()
-            h, pos, first, windows, text = anchors(data, offsets, hasher, length)
+            h, pos, first, windows, text = anchors(data, offsets, length)
             begin = np.searchsorted(text, np.arange(b.num_rows + 1))
             rows = []
             for d, (k1, k2, asked) in enumerate(zip(*[b.column(i).to_pylist() for i in range(3)])):
@@ -273,18 +292,32 @@ def _stretches(work: DataFrame, length) -> DataFrame:
                     k = int(begin[d]) + x["i"]
                     f, n = int(first[k]), int(windows[k])
                     if x["settle"]:
-                        rows.append((None, None, None, None, None, k1, k2, None, f - base, f - base + n - 1 + length))
-                    if x["ship"]:
-                        rows.append((int(h[k].view(np.int64)), raw[f : f + n - 1 + length], int(pos[k]) - f, x["times"], n, k1, k2, f - base, None, None))
+                        rows.append((None, None, None, None, None, None, None, k1, k2, None, f - base, f - base + n - 1 + length))
+                    if x["ship"] and not x["hot"]:
+                        rows.append((int(h[k].view(np.int64)), raw[f : f + n - 1 + length], int(pos[k]) - f, x["times"], n, None, None, k1, k2, f - base, None, None))
+                    elif x["ship"]:
+                        for at in range(f, f + n):
+                            w = digest(raw[at : at + length])
+                            rows.append((None, None, None, x["times"], None, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), k1, k2, at - base, None, None))
             if rows:
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "stretch", "back", "times", "windows", "k1", "k2", "at", "start", "stop"])
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in STRETCH.split(", ")])
 
     return work.select("k1", "k2", "asked", "text").mapInArrow(run, STRETCH)
 
 
+def _counted_spans(windows: DataFrame, length) -> DataFrame:
+    """Spans of the windows (w1, w2, times, k1, k2, at) whose digest stands more than once.  A stretch that stands more than
+    once was settled as a whole, so only those that stand once are told."""
+    counts = windows.groupBy("w1", "w2").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1")
+    counts = stored(counts, "window-counts")
+    hot = hot_keys(counts, ["w1", "w2"], windows.count(), "rows")
+    found = split_join(windows.where("times = 1").select("w1", "w2", "k1", "k2", "at"), counts.select("w1", "w2"), ["w1", "w2"], hot)
+    return found.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+
+
 def _sorted_spans(stretches: DataFrame, length) -> DataFrame:
-    """Spans of recurring windows; rows come sorted by h and whole groups are sorted together in chunks.  Settled spans pass."""
+    """Spans of recurring windows; rows come sorted by h and whole groups are sorted together in chunks."""
 
     def spans(k1, k2, start, stop):
         return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["k1", "k2", "start", "stop"])
@@ -301,10 +334,6 @@ def _sorted_spans(stretches: DataFrame, length) -> DataFrame:
     def run(batches):
         held: list = []
         for b in batches:
-            done = b.filter(pa.compute.is_null(b.column(0)))
-            if done.num_rows:
-                yield spans(done.column(5), done.column(6), done.column(8), done.column(9))
-            b = b.filter(pa.compute.is_valid(b.column(0)))
             for row in zip(*[b.column(k).to_pylist() for k in range(8)]):
                 if len(held) >= CHUNK and held[-1][0] != row[0]:
                     yield flush(held)
@@ -313,7 +342,7 @@ def _sorted_spans(stretches: DataFrame, length) -> DataFrame:
         if held:
             yield flush(held)
 
-    dealt = stretches.repartition(partitions(stretches.sparkSession), F.coalesce("h", F.xxhash64("k1", "start"))).sortWithinPartitions("h")
+    dealt = stretches.select("h", "stretch", "back", "times", "windows", "k1", "k2", "at").repartition(partitions(stretches.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, SPAN)
 
 
@@ -321,23 +350,29 @@ def dedup_passages(docs: DataFrame, id_col="doc_id", text_col="text", length=LEN
     """Per row: id, n_bytes, spans array<struct<start,stop>> (maximal removed runs), kept_sha256[, kept binary]."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit("second")).alias("k2"))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
     marks = stored(_marks(base, length).withColumn("rid", F.monotonically_increasing_id()), "anchors")
-    each = marks.select("rid", F.explode(F.arrays_zip("i", "h", "st", "times")).alias("a")).select("rid", "a.*")
-    each = each.repartition(partitions(spark), "h")
-    by_gram, by_stretch = Window.partitionBy("h"), Window.partitionBy("h", "st")
-    seen = each.select("rid", "i", "times", "h", "st", F.min("st").over(by_gram).alias("lo"), F.max("st").over(by_gram).alias("hi"))
-    seen = seen.select("rid", "i", "times", (F.col("lo") != F.col("hi")).alias("many"), F.sum("times").over(by_stretch).alias("all"), F.row_number().over(by_stretch.orderBy("rid", "i")).alias("nth"))
+    each = marks.select("rid", F.explode(F.arrays_zip("i", "h", "st", "su", "times")).alias("a")).select("rid", "a.*")
+    # A gram that stands once has nothing to find; the others meet again by their stretches.
+    grams = stored(each.groupBy("h").agg(F.min(F.struct("st", "su")).alias("lo"), F.max(F.struct("st", "su")).alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                   .select("h", "n", (F.col("lo") != F.col("hi")).alias("many")), "grams")
+    total = marks.select(F.coalesce(F.sum(F.size("i")), F.lit(0))).first()[0]
+    again = split_join(each, grams, ["h"], hot_keys(grams, ["h"], total))
+    by_stretch = Window.partitionBy("h", "st", "su")
+    seen = again.select("rid", "i", "times", "many", (F.col("n") > HOT_GRAM).alias("hot"), F.sum("times").over(by_stretch).alias("all"), F.row_number().over(by_stretch.orderBy("rid", "i")).alias("nth"))
     settle, ship = (F.col("all") > 1) & (F.col("times") == 1), F.col("many") & (F.col("nth") == 1)
-    asked = seen.where(settle | ship).groupBy("rid").agg(F.collect_list(F.struct("i", settle.alias("settle"), ship.alias("ship"), F.least("all", F.lit(2)).cast("int").alias("times"))).alias("asked"))
+    asked = seen.where(settle | ship).groupBy("rid").agg(F.collect_list(F.struct("i", settle.alias("settle"), ship.alias("ship"), "hot", F.least("all", F.lit(2)).cast("int").alias("times"))).alias("asked"))
     # Of equal texts one answers for all: its anchors are settled or shipped as those of any copy.
     asked = marks.select("rid", "k1", "k2", F.col("id").alias("of")).join(asked, "rid")
     asked = asked.groupBy("k1", "k2").agg(F.min_by(F.struct("of", "asked"), "rid").alias("p")).select("k1", "k2", "p.of", "p.asked")
     asked = stored(asked, "asked")
     # As a text the comparison is no join key, so the exchange below is by (k1, k2) and serves both joins.
     work = base.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("of")).cast("string") == "true")
+    found = stored(_stretches(work, length), "stretches")
+    discard(grams, asked)
     within = marks.select("k1", "k2", F.explode("settled").alias("s")).select("k1", "k2", "s.start", "s.stop")
-    spans = _sorted_spans(_stretches(work, length), length).unionByName(within)
+    told = found.where("start is not null").select("k1", "k2", "start", "stop")
+    spans = _sorted_spans(found.where("h is not null"), length).unionByName(told).unionByName(_counted_spans(found.where("w1 is not null"), length)).unionByName(within)
     known = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def run(batches):
