@@ -3,9 +3,12 @@
 Features of a text: densities of a fixed and of a learned lexicon, lexicon words near
 second-person words, capitals, punctuation and obfuscation rates, and for long texts the
 logarithms of the lexicon counts.  They are computed for
-all rows in one narrow pass.  The model is fitted on at most ``TRAIN_ROWS`` labelled rows,
-taken in the order of a hash of the id, in three disjoint parts: one for the learned
-lexicon, one for the trees, one for the calibration.
+all rows in one narrow pass; a text's features depend on that text alone.  The model is fitted
+on at most ``TRAIN_ROWS`` labelled rows, taken in the order of a hash of the id, in ``FOLDS``
+folds: trees see features under the lexicon that the other folds teach, and the calibration
+sees the scores of trees fitted on the other folds.  The learned lexicon is every word that
+stands in ``SUPPORT`` toxic training texts at least and is as much likelier there as
+``LEAST_WEIGHT`` says; it is bounded by the training rows alone.
 
 Cases: null and empty texts have zero features and get the calibrated score of such a text;
 labels that are null, or whose document or id is missing, teach nothing; of repeated labels
@@ -25,7 +28,7 @@ from .shared import load, stored
 from .textbuf import NOT_ALNUM, Hasher, buffer, slices, word_hashes
 
 TRAIN_ROWS = 20_000
-LEARNED_WORDS = 4_000
+SUPPORT, LEAST_WEIGHT, FOLDS = 3, 1.0, 4
 NEAR = 4
 
 # Insults, and second-person words of several languages.
@@ -82,7 +85,10 @@ def features(column, hasher, learned):
     up, dg, size = prefix(upper), prefix(digit), ends - starts
     caps = (up[ends] - up[starts] == size) & (size > 1)
     mixed = (dg[ends] > dg[starts]) & (dg[ends] - dg[starts] < size)
-    runs = np.r_[False, False, (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])][: len(data)] if len(data) > 2 else np.zeros(len(data), bool)
+    runs = np.zeros(len(data) + 2, bool)
+    runs[2 : len(data)] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    runs[offsets[:-1]] = runs[offsets[:-1] + 1] = False  # The bytes before a text's first two are another text's.
+    runs = runs[: len(data)]
     masks = np.isin(data, np.frombuffer(b"*#$%&@", np.uint8))
     w = np.maximum(n, 1)
     cols = [np.log1p(n), per_text(insult, first) / w, per_text(weight > 1.5, first) / w, per_text(weight, first) / w, top, per_text(near, first) / w,
@@ -96,11 +102,13 @@ class Trees:
     """Boosted regression trees for the logistic loss, on binned features."""
 
     def __init__(self, rounds=80, depth=3, rate=0.15, bins=48, least=20):
-        self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
+        self.rounds, self.depth, self.rate, self.bins, self.most = rounds, depth, rate, bins, least
 
     def fit(self, x, y):
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         b = self._binned(x)
+        # Leaves of few rows where one class has few.
+        self.least = max(3, min(self.most, int(min(y.sum(), len(y) - y.sum())) // 5))
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start, self.trees = float(np.log(share / (1 - share))), []
         f = np.full(len(y), self.start)
@@ -115,25 +123,21 @@ class Trees:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], 1)
 
     def _grow(self, b, g, h, rows, depth):
-        value = g[rows].sum() / (h[rows].sum() + 1.0)
-        best = (1e-6, None, None)
-        if depth and len(rows) >= 2 * self.least:
-            base = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-            for j in range(b.shape[1]):
-                size = len(self.cuts[j]) + 1
-                gs, hs, ns = (np.cumsum(np.bincount(b[rows, j], w, minlength=size))[:-1] for w in (g[rows], h[rows], None))
-                if not len(gs):
-                    continue
-                gt, ht = g[rows].sum(), h[rows].sum()
-                gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - base
-                gain[(ns < self.least) | (len(rows) - ns < self.least)] = 0
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), j, k)
-        if best[1] is None:
+        gt, ht, n = g[rows].sum(), h[rows].sum(), len(rows)
+        value = gt / (ht + 1.0)
+        if not depth or n < 2 * self.least:
             return float(value)
-        left = b[rows, best[1]] <= best[2]
-        return best[1], best[2], self._grow(b, g, h, rows[left], depth - 1), self._grow(b, g, h, rows[~left], depth - 1)
+        # Histograms of all features at once: one row of bins for each.
+        wide = (b[rows] + np.arange(b.shape[1]) * self.bins).ravel()
+        sums = [np.bincount(wide, None if w is None else np.repeat(w[rows], b.shape[1]), b.shape[1] * self.bins).reshape(-1, self.bins).cumsum(1) for w in (g, h, None)]
+        gs, hs, ns = sums
+        gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1.0)
+        gain[(ns < self.least) | (n - ns < self.least)] = 0
+        j, k = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[j, k] <= 1e-6:
+            return float(value)
+        left = b[rows, j] <= k
+        return int(j), int(k), self._grow(b, g, h, rows[left], depth - 1), self._grow(b, g, h, rows[~left], depth - 1)
 
     def _one(self, tree, b):
         if not isinstance(tree, tuple):
@@ -180,53 +184,67 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col="doc_id", text_
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(rows)
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")
-    held = stored(held.select("id", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10))).cast("int").alias("part"), "text"), "toxicity-train")
+    held = stored(held.select("id", "y", (F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(FOLDS))).cast("int").alias("part"), "text"), "toxicity-train")
 
     def count(batches):
         hasher, tally = Hasher(), {}
         for b in slices(batches, "text"):
-            y = np.array(b.column(0).to_pylist())
-            data, offsets = buffer(b.column(1))
+            at = np.array(b.column(0).to_pylist()).clip(0, 1) * FOLDS + np.array(b.column(1).to_pylist())
+            data, offsets = buffer(b.column(2))
             hashes, _, _, first = word_hashes(data, offsets, hasher, NOT_ALNUM)
             for d in range(b.num_rows):
                 for h in np.unique(hashes[first[d] : first[d + 1]]).tolist():
-                    tally.setdefault(h, [0, 0])[int(y[d] > 0)] += 1
+                    tally.setdefault(h, [0] * (2 * FOLDS))[at[d]] += 1
         keys = np.fromiter(tally, np.uint64, len(tally)).view(np.int64)
-        n = np.array(list(tally.values()), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[:, 0]), pa.array(n[:, 1])], ["h", "clean", "toxic"])
+        n = np.array(list(tally.values()), np.int64).reshape(-1, 2 * FOLDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(n[:, k]) for k in range(2 * FOLDS)]], ["h", *columns])
 
     model = Model()
-    sizes = dict(held.groupBy("y").count().collect())
-    if len(sizes) < 2:
-        model.share = float(next(iter(sizes), 0.5))
+    columns = [f"n{k}" for k in range(2 * FOLDS)]
+    total = {(int(r["y"] > 0), r["part"]): r["count"] for r in held.groupBy((F.col("y") > 0).cast("int").alias("y"), "part").count().collect()}
+    sizes = np.array([[total.get((y, k), 0) for k in range(FOLDS)] for y in (0, 1)])
+    if not sizes.sum(1).all():
+        model.share = float(sizes[1].sum() / sizes.sum()) if sizes.sum() else 0.5
         return model
-    words = held.where("part < 4").select("y", "text").mapInArrow(count, "h long, clean long, toxic long")
-    total = {r["y"]: r["count"] for r in held.where("part < 4").groupBy("y").count().collect()}
-    n1, n0 = sum(v for k, v in total.items() if k > 0), sum(v for k, v in total.items() if not k > 0)
-    weight = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
-    found = words.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3").withColumn("w", weight)
-    found = found.where("w > 1").orderBy(F.desc("toxic"), "h").limit(LEARNED_WORDS).select("h", "w").toPandas()
-    h = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    model.learned = (h[order], found["w"].to_numpy(float)[order])
-    learned = model.learned
+    words = held.select("y", "part", "text").mapInArrow(count, "h long, " + ", ".join(f"{c} long" for c in columns))
+    words = words.groupBy("h").agg(*[F.sum(c).alias(c) for c in columns]).where(" + ".join(columns[FOLDS:]) + f" >= {SUPPORT}")
+    found = words.toPandas().sort_values("h", kind="stable")
+    h, seen = found["h"].to_numpy(np.int64).view(np.uint64), found[columns].to_numpy(np.int64).reshape(len(found), 2, FOLDS)
+
+    def lexicon(folds):
+        """Sorted hashes and weights of the words that these folds teach."""
+        clean, toxic = seen[:, 0, folds].sum(1), seen[:, 1, folds].sum(1)
+        n0, n1 = sizes[0, folds].sum(), sizes[1, folds].sum()
+        w = np.log((toxic + 0.5) / (n1 + 1.0)) - np.log((clean + 0.5) / (n0 + 1.0))
+        at = np.flatnonzero((toxic >= SUPPORT) & (w > LEAST_WEIGHT))
+        at = at[np.argsort(h[at])]
+        return h[at], w[at]
+
+    every = list(range(FOLDS))
+    others = [[j for j in every if j != k] for k in every]
+    lexicons = [lexicon(x) for x in others]
+    model.learned = lexicon(every)
 
     def measure(batches):
         hasher = Hasher()
         for b in slices(batches, "text"):
-            x = features(b.column(3), hasher, learned)
+            part = np.array(b.column(2).to_pylist())
+            x = np.zeros((b.num_rows, len(FEATURES)), np.float32)
+            for k in np.unique(part):
+                x[part == k] = features(b.column(3).filter(pa.array(part == k)), hasher, lexicons[k])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(x), pa.list_(pa.float32()))], ["id", "y", "part", "x"])
 
-    got = held.where("part >= 4").mapInArrow(measure, f"id {held.schema['id'].dataType.simpleString()}, y int, part int, x array<float>").toPandas().sort_values("id", kind="stable")
-    x, y, part = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES))), (got["y"].to_numpy() > 0).astype(float), got["part"].to_numpy()
-    fit, cal = part < 8, part >= 8
-    if not 0 < y[fit].sum() < fit.sum() or not 0 < y[cal].sum() < cal.sum():
-        fit = cal = np.ones(len(y), bool)
-    if not 0 < y.sum() < len(y):
-        model.share = n1 / max(1, n0 + n1)
-        return model
-    model.trees = Trees().fit(x[fit], y[fit])
-    model.knots = isotonic(model.trees.raw(x[cal]), y[cal])
+    got = held.mapInArrow(measure, f"id {held.schema['id'].dataType.simpleString()}, y int, part int, x array<float>").toPandas().sort_values("id", kind="stable")
+    x, y, part = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0).astype(float), got["part"].to_numpy()
+    raw, told = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in every:
+        fit = part != k
+        if 0 < y[fit].sum() < fit.sum() and not fit.all():
+            raw[~fit], told[~fit] = Trees().fit(x[fit], y[fit]).raw(x[~fit]), True
+    model.trees = Trees().fit(x, y)
+    if not 0 < y[told].sum() < told.sum():
+        raw, told = model.trees.raw(x), np.ones(len(y), bool)
+    model.knots = isotonic(raw[told], y[told])
     return model
 
 
