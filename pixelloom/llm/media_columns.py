@@ -8,7 +8,11 @@ aligned with their captions whatever the join's order.
 
 Bytes never pass through the join: each stored payload is read back where it lies, and what
 is joined is one small row of features for each digest.  A payload that a third of all
-documents share is one row there, and joins that meet a hot digest have a unique side.
+documents share is one row there, and the items that refer to it are dealt to several
+partitions.
+
+The query makes a page of each document, its lines as paragraphs around a figure that refers
+to the document's payload, so that texts and media are interleaved; ``parse`` takes any HTML.
 
 The stored form of 8-bit payloads is a binary grey map (PGM) of 64 samples a line.
 
@@ -27,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import load, new_path
+from .shared import hot_keys, load, new_path, passing, split_join, stored
 from .textbuf import slices
 
 LINE = 64
@@ -40,11 +44,16 @@ ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string,al
 
 
 class Sequence(HTMLParser):
-    """Collects a page's items in document order."""
+    """Collects a page's items in document order.
+
+    A caption ends at its end tag, and where that is missing at the end of its figure, at the next
+    block or media element, or with the page.  What an unclosed noscript or template holds counts
+    as text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.words, self.skip, self.figures, self.caption = [], [], 0, [], None
+        self.items, self.words, self.skipped, self.figures, self.caption = [], [], [], [], None
 
     def block(self):
         text = " ".join("".join(self.words).split())
@@ -52,15 +61,30 @@ class Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None, "alt": None})
 
+    def end_caption(self):
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if self.figures and text:
+                self.figures[-1].append(text)
+
+    def end_figure(self):
+        self.end_caption()
+        got = self.figures.pop()
+        text = next((x for x in got if isinstance(x, str)), None)
+        for k in got:
+            if not isinstance(k, str):
+                self.items[k]["caption"] = text
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
-            self.skip += 1
+            self.skipped.append((tag, []))
         elif tag in BLOCKS or tag in MEDIA:
+            self.end_caption()
             self.block()
         if tag == "figure":
             self.figures.append([])
         elif tag == "figcaption":
-            self.caption = []
+            self.caption = [] if self.figures else None
         elif tag in MEDIA:
             held = dict(attrs)
             ref = held.get("src") or held.get("data")
@@ -71,31 +95,37 @@ class Sequence(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            if self.figures:
-                self.figures[-1].append(text)
+            if any(tag == t for t, _ in self.skipped):
+                while self.skipped.pop()[0] != tag:
+                    pass
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure" and self.figures:
-            got = self.figures.pop()
-            text = next((x for x in got if isinstance(x, str)), None)
-            for k in got:
-                if not isinstance(k, str):
-                    self.items[k]["caption"] = text
+            self.end_figure()
         if tag in BLOCKS:
             self.block()
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.skipped:
+            self.skipped[-1][1].append(data)
+        else:
             (self.words if self.caption is None else self.caption).append(data)
 
+    def finish(self):
+        self.close()
+        while self.figures:
+            self.end_figure()
+        for tag, held in self.skipped:
+            if tag in ("noscript", "template"):
+                self.words += held
+        self.block()
+        return [{"position": k, **x} for k, x in enumerate(self.items)]
+
 
 def sequence_of(html: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.block()
-    return [{"position": k, **x} for k, x in enumerate(parser.items)]
+    return parser.finish()
 
 
 def parse(pages: DataFrame, html_col="html", id_col="page_id") -> DataFrame:
@@ -138,7 +168,7 @@ def store_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     path = new_path(docs.sparkSession, "media-store")
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, media binary")
     out.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(out.schema).parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(passing(docs.sparkSession, path))
 
 
 def measure(store: DataFrame) -> DataFrame:
@@ -164,16 +194,35 @@ def measure(store: DataFrame) -> DataFrame:
     return out.dropDuplicates(["digest"])
 
 
-def resolve(sequences: DataFrame, measured: DataFrame) -> DataFrame:
-    """One row for each item: (id, position, kind, text, ref, caption, alt) and the features of its media, or nulls."""
-    items = sequences.select("id", F.explode("items").alias("i")).select("id", "i.*")
+def resolve(sequences: DataFrame, measured: DataFrame, media_only=False) -> DataFrame:
+    """One row for each item: (id, n_items, position, kind, text, ref, caption, alt) and the features of its media, or nulls.
+
+    Text items and references that are no digests meet in no join key; items of hot digests are dealt to several partitions.
+    """
+    items = sequences.select("id", F.size("items").cast("long").alias("n_items"), F.explode("items").alias("i")).select("id", "n_items", "i.*")
+    if media_only:
+        items = items.where("kind = 'media'")
     digest = F.when(F.col("kind") == "media", F.when(F.col("ref").startswith(PREFIX), F.substring("ref", len(PREFIX) + 1, 64)))
-    return items.withColumn("digest", digest).join(measured, "digest", "left")
+    items = stored(items.withColumn("digest", digest), "media-items")
+    counts = items.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    return split_join(items, measured, ["digest"], hot_keys(counts, ["digest"], items.count()), "left")
+
+
+def pages_of(store: DataFrame) -> DataFrame:
+    """(doc_id, html) of stored texts: each text's lines as paragraphs, and in their midst a figure that refers to its payload."""
+    padded = F.greatest(F.lit(LINE), F.ceil(F.col("n_bytes") / LINE) * LINE).cast("int")
+    payload = F.expr("substring(media, length(media) - padded + 1, int(n_bytes))")
+    text = F.decode(payload, "UTF-8")
+    for was, now in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(was), F.lit(now))
+    figure = F.format_string(f'<figure><img src="{PREFIX}%s" alt="%d"><figcaption>document %s</figcaption></figure>', F.col("digest"), F.col("n_bytes"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    held = store.withColumn("padded", padded).select("doc_id", figure.alias("figure"), F.split(text, "\n").alias("lines"))
+    half = F.ceil(F.size("lines") / 2).cast("int")
+    told = lambda x: F.concat(F.lit("<p>"), F.array_join(x, "</p><p>"), F.lit("</p>"))
+    return held.select("doc_id", F.concat(told(F.slice("lines", F.lit(1), half)), "figure", told(F.slice("lines", half + 1, F.size("lines")))).alias("html"))
 
 
 def op5_media_columns(spark, sf_dir):
     store = store_texts(load(spark, sf_dir, "documents"))
-    said = F.format_string(f'<figure><img src="{PREFIX}%s" alt="%d"><figcaption>document %s</figcaption></figure>', F.col("digest"), F.col("n_bytes"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    pages = store.select("doc_id", said.alias("html"))
-    found = resolve(parse(pages, "html", "doc_id"), measure(store))
-    return found.select(F.col("id").alias("doc_id"), F.col("alt").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = resolve(parse(pages_of(store), "html", "doc_id"), measure(store), media_only=True)
+    return found.select(F.col("id").alias("doc_id"), F.col("alt").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption")
