@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import load
+from .shared import apart, load
 from .textbuf import NOT_ALNUM, Hasher, buffer, ramp, slices, word_hashes
 
 WINDOW = 10
@@ -283,6 +283,8 @@ def op8_decontamination(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Takes the hit spans out of the texts; rows stay."""
-    found = find_passages(docs, load(spark, sf_dir, "benchmark"), keep_text=True)
-    return found.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.char_length("cleaned").cast("long").alias("n_chars"))
+    """Takes the hit spans out of the texts; rows and other columns stay, n_chars follows the text."""
+    own, was = apart(docs)
+    found = find_passages(own, load(spark, sf_dir, "benchmark"), keep_text=True)
+    told = was | {"text": F.col("cleaned")} | ({"n_chars": F.char_length("cleaned").cast("long")} if "n_chars" in was else {})
+    return found.select(*[told[c].alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import load
+from .shared import apart, load
 from .textbuf import Hasher, buffer, ramp, separators, slices, word_hashes
 
 BUCKETS = 1 << 15
@@ -178,6 +178,7 @@ def stage(spark, docs, sf_dir):
     """
     model = train(docs)
     if not model[0]:
-        return docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", "source", "n_chars")
-    found = identify(docs, model, keep=("lang", "source", "n_chars"))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select("doc_id", "text", "lang", "source", "n_chars")
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    own, was = apart(docs)
+    found = identify(own, model, keep=[c for c in own.columns if c not in ("doc_id", "text")])
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*[c.alias(n) for n, c in was.items()])

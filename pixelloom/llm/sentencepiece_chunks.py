@@ -151,4 +151,5 @@ def op7_sentencepiece(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
+    """The last stage: digests of the ids and of the decoded text of every row; null text counts as empty."""
     return digests(encode_documents(docs, decode=True))

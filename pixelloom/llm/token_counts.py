@@ -56,9 +56,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(docs: DataFrame, folder: str, id_col="doc_id", text_col="text", ranks: str | None = None, separator=SEPARATOR, file_bytes=FILE_BYTES) -> DataFrame:
-    """Writes token files (uint16) under ``folder``; (file, ordinal, doc_id, file_bytes: the file's size so far)."""
+def write_tokens(docs: DataFrame, folder: str, id_col="doc_id", text_col="text", ranks: str | None = None, separator=SEPARATOR, width=2, file_bytes=FILE_BYTES) -> DataFrame:
+    """Writes token files (ids of ``width`` bytes; the separator is no id of the vocabulary) under ``folder``; (file, ordinal, doc_id, file_bytes: the file's size so far)."""
     ranks = ranks or default_ranks()
+    enc = encoder(ranks)
+    if separator < enc.n_vocab:
+        raise ValueError(f"{separator} is an id of the vocabulary and cannot end documents")
+    if separator >= 1 << 8 * width:
+        raise ValueError(f"{separator} does not fit {width} bytes")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -74,8 +79,8 @@ def write_tokens(docs: DataFrame, folder: str, id_col="doc_id", text_col="text",
             sizes = []
             for ids in enc.encode_ordinary_batch([t or "" for t in b.column(1).to_pylist()], num_threads=1):
                 ids.append(separator)
-                out.write(np.array(ids, "<u2").tobytes())
-                size += 2 * len(ids)
+                out.write(np.array(ids, f"<u{width}").tobytes())
+                size += width * len(ids)
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * b.num_rows), pa.array(range(ordinal, ordinal + b.num_rows), pa.int64()), b.column(0), pa.array(sizes, pa.int64())],
