@@ -2,28 +2,27 @@
 
 A document is the set of its distinct word shingles, with a signature of ``POSITIONS``
 minwise tokens.  Equal sets are one vertex.  Each of several independent trees branches
-recursively: a node picks signature positions by a hash of its path, and a vertex goes to
-the child named by its token there.  The first ``DEPTH`` levels pick two positions and are
-made in one pass; nodes that are then still large and unsettled branch on, level by level,
-until they are small.  There the expected number of children is ``GROWTH`` over the
-similarity: a pair at the threshold stays together with a probability that does not fall with
-the depth (``survival``), while members that share less than two thirds of that part, common
-boilerplate included, make fewer and fewer meetings.  The number of trees follows from the
-threshold and the target recall.  The threshold is a fraction of integers, 85/100 for the
-query and ``STAGE`` for the stage of the pipeline.
+recursively: a node picks ``BRANCHES`` signature positions by a hash of its path, and a
+vertex goes to the child named by its token there.  After ``DEPTH`` levels dissimilar
+vertices have parted, and two at the threshold still share a node of a tree with
+probability ``survival``; the number of trees follows from the threshold and the target
+recall.  The threshold is a fraction of integers, 85/100 for the query and ``STAGE`` for the
+stage of the pipeline.
 
 A node is settled when its members are known to be linked, directly or over others.  All
 nodes first compare their members with one pivot (linear in the members).  What is then not
 settled is compared exhaustively for links between different classes: small nodes pair by
-pair, and what is still large at the last of ``DEEP`` levels in pairs of blocks, each once for
-a cluster of overlapping nodes.  A group whose copies are linked over its pivot costs its
-size, not its square; no pairs but links leave a task.  Every link is confirmed on full sets
-of shingles of the whole texts.
+pair, and large nodes in pairs of blocks, each once for a cluster of overlapping nodes.  A
+group whose copies are linked over its pivot costs its size, not its square; no link
+between different classes is lost, and no pairs but links leave a task.  Every link is
+confirmed on full sets of shingles of the whole texts.
 
 Rows that meet: members of a node meet only as minima and counts (partial aggregates) and
-as joins with one row for each node, in which hot nodes are split; comparisons are dealt by
-pivot and by blocks of at most ``BLOCK`` partners, or ``BLOCK_ROWS`` rows and
-``BLOCK_SHINGLES`` shingles.
+as joins with one row for each node; comparisons are dealt by pivot and by blocks of at
+most ``BLOCK`` partners, or ``BLOCK_ROWS`` rows and ``BLOCK_SHINGLES`` shingles.
+
+Depth is fixed: texts of which a large common part is boilerplate, without being similar, share
+large nodes that no further level parts, and their comparison in blocks grows with its square.
 
 Cases: texts that are null, empty or without words have no shingles, link with nothing and
 are their own component; texts of fewer words than a shingle are one shingle; rows that
@@ -40,40 +39,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import discard, hot_keys, load, partitions, split_join, stored
+from .shared import discard, load, partitions, stored
 from .textbuf import SPACE, Hasher, buffer, mix, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 85, 100
 STAGE = (80, 100)
-POSITIONS, DEPTH, BRANCHES, DEEP, GROWTH, RECALL = 64, 3, 2, 16, 1.25, 0.9999
+POSITIONS, DEPTH, BRANCHES, RECALL = 64, 3, 2, 0.9999
 SMALL, BLOCK, BLOCK_ROWS, BLOCK_SHINGLES = 12, 256, 1500, 600_000
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, POSITIONS * 2, dtype=np.uint64).reshape(2, -1) * np.uint64(2) + np.uint64(1)
 
 
-def surely(similarity):
-    """The similarity that a signature shows at least, its sampling error allowed for."""
-    return similarity - 2 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
-
-
-def second_child(similarity):
-    """Probability of a second child in the deep levels."""
-    return min(1.0, GROWTH / surely(similarity) - 1)
-
-
-def survival(similarity, depth=DEPTH, branches=BRANCHES, deep=0, second=0.0):
-    """Probability that two sets share a node at this depth of one tree, ``deep`` levels below it included."""
+def survival(similarity, depth=DEPTH, branches=BRANCHES):
+    """Probability that two sets share a node at this depth of one tree."""
     lost = 0.0
-    for _ in range(deep):
-        apart = 1 - similarity + similarity * lost
-        lost = apart * (1 - second + second * apart)
     for _ in range(depth):
         lost = (1 - similarity + similarity * lost) ** branches
     return 1 - lost
 
 
 def trees_for(recall=RECALL, similarity=NUM / DEN):
-    """Independent trees for the recall."""
-    p = survival(surely(similarity), deep=DEEP, second=second_child(similarity))
+    """Independent trees for the recall; the signature's sampling error is allowed for."""
+    p = survival(similarity - 2 * math.sqrt(similarity * (1 - similarity) / POSITIONS))
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
@@ -173,58 +159,23 @@ def memberships(vertices: DataFrame, trees: int, depth=DEPTH) -> DataFrame:
     return vertices.select("v", "n", "sig").mapInArrow(run, "node long, v long, n long")
 
 
-def children(members: DataFrame, second: float) -> DataFrame:
-    """(node, v, n, c, sig) one level below (node, v, n, c, sig): a first child always, a second for this share of the nodes."""
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                nodes = part.column(0).to_numpy().view(np.uint64)
-                kids = branch(nodes, _sig(part.column(4)))
-                two = (mix(nodes ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)).astype(float) / 2.0**53 < second
-                rows = np.r_[np.arange(len(nodes)), np.flatnonzero(two)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[kids[:, 0], kids[two, 1]].view(np.int64)), *[part.column(k).take(pa.array(rows)) for k in range(1, 5)]], ["node", "v", "n", "c", "sig"])
-
-    return members.select("node", "v", "n", "c", "sig").mapInArrow(run, "node long, v long, n long, c long, sig binary")
-
-
-def deepen(large: DataFrame, vertices: DataFrame, similarity, levels=DEEP):
-    """Large nodes (node, v, n, c) branched on until they are small: (members of small nodes, members of what is still
-    large after all levels), both (node, v, n, c, k); nodes of one class are left out."""
-    level = stored(large.join(vertices.select("v", "sig"), "v").select("node", "v", "n", "c", "sig"), "level")
-    small, held = [], [level]
-    second = second_child(similarity[0] / similarity[1])
-    for _ in range(levels):
-        total = level.count()
-        if not total:
-            return small, None, held
-        kids = stored(children(level, second), "children")
-        sizes = stored(kids.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("node", "k"), "sizes")
-        below = stored(split_join(kids, sizes, ["node"], hot_keys(sizes, ["node"], 2 * total, "k")), "level")
-        discard(kids, sizes)
-        held.append(below)
-        small.append(below.where(F.col("k") <= SMALL).select("node", "v", "n", "c", "k"))
-        level = below.where(F.col("k") > SMALL)
-    return small, level.select("node", "v", "n", "c"), held
-
-
 def fitting(similarity=(NUM, DEN)):
     """Sizes that allow the similarity."""
     num, den = similarity
     return F.least("an", "bn") * den >= F.greatest("an", "bn") * num
 
 
-def star_pairs(members: DataFrame, similarity=(NUM, DEN), hot=None) -> DataFrame:
-    """(a, b): each member (node, v, n, k) with its node's pivot.
+def star_pairs(members: DataFrame, similarity=(NUM, DEN)) -> DataFrame:
+    """(a, b, an, bn): each member with its node's pivot.
 
     The pivot is the member whose nodes hold the most members altogether: of a group of
     edited copies that is a copy near the original, to which the others are likely linked.
     """
-    central = members.groupBy("v").agg(F.sum("k").alias("score"))
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    central = members.join(sizes, "node").groupBy("v").agg(F.sum("k").alias("score"))
     pivots = members.join(central, "v").groupBy("node").agg(F.max(F.struct("score", (-F.col("v")).alias("w"), "n")).alias("p"))
     pivots = pivots.select("node", (-F.col("p.w")).alias("a"), F.col("p.n").alias("an"))
-    pairs = split_join(members, pivots, ["node"], hot).where("v <> a")
+    pairs = members.join(pivots, "node").where("v <> a")
     return pairs.select("a", F.col("v").alias("b"), "an", F.col("n").alias("bn")).where(fitting(similarity)).distinct().select("a", "b")
 
 
@@ -348,13 +299,13 @@ def confirm(docs: DataFrame, pairs: DataFrame, block=BLOCK, similarity=(NUM, DEN
 
 
 def classed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (node, v, n, k) with the class c of each vertex, itself where it has no link."""
-    return members.join(classes.select(F.col("u").alias("v"), F.col("v").alias("c")), "v", "left").select("node", "v", "n", "k", F.coalesce("c", "v").alias("c"))
+    """Members (node, v, n) with the class c of each vertex, itself where it has no link."""
+    return members.join(classes.select(F.col("u").alias("v"), F.col("v").alias("c")), "v", "left").select("node", "v", "n", F.coalesce("c", "v").alias("c"))
 
 
-def unsettled(members: DataFrame, hot=None) -> DataFrame:
-    mixed = members.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("node")
-    return split_join(members, mixed, ["node"], hot)
+def unsettled(members: DataFrame) -> DataFrame:
+    mixed = members.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("node", "k")
+    return members.join(mixed, "node")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RECALL, similarity=(NUM, DEN)) -> DataFrame:
@@ -366,26 +317,18 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall=RE
     # Rows of one id are one document: its vertices are linked as they are.
     again = known.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     same = known.join(again, "id").select("id", "k1", "k2", "n").join(vertices, ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("v").alias("b"))
-    trees = trees_for(recall, similarity[0] / similarity[1])
-    members = memberships(vertices, trees)
-    shared = stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "nodes")
-    hot = hot_keys(shared, ["node"], vertices.count() * trees * BRANCHES**DEPTH, "k")
-    members = stored(split_join(members, shared, ["node"], hot).select("node", "v", "n", "k"), "members")
+    members = memberships(vertices, trees_for(recall, similarity[0] / similarity[1]))
+    shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
+    members = stored(members.join(shared, "node").select("node", "v", "n"), "members")
     # The texts of vertices that share any node, once: later joins move only these.
     texts = stored(base.join(members.select(F.col("v").alias("id")).distinct(), "id"), "texts")
-    stars = stored(star_pairs(members, similarity, hot), "pairs")
+    stars = stored(star_pairs(members, similarity), "pairs")
     links = stored(confirm(texts, stars, similarity=similarity).union(same), "links")
     classes = components(links)
-    open_ = stored(unsettled(classed(members, classes), hot), "open")
-    discard(members, shared)
-    below, rest, levels = deepen(open_.where(F.col("k") > SMALL), vertices, similarity)
-    pairs = small_pairs(open_.where(F.col("k") <= SMALL), similarity)
-    for part in below:
-        pairs = pairs.union(small_pairs(part, similarity))
-    pairs = pairs.distinct().join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = confirm(texts, pairs, similarity=similarity)
-    more = stored(more if rest is None else more.union(block_links(texts, rest, similarity=similarity)), "links")
-    discard(texts, stars, open_, classes, *levels)
+    open_ = stored(unsettled(classed(members, classes)), "open")
+    pairs = small_pairs(open_.where(F.col("k") <= SMALL), similarity).join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    more = stored(confirm(texts, pairs, similarity=similarity).union(block_links(texts, open_.where(F.col("k") > SMALL), similarity=similarity)), "links")
+    discard(members, texts, stars, open_)
     classes = components(links.union(more))
     named = vertices.select("k1", "k2", "n", "v").join(classes.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("k1", "k2", "n", F.coalesce("root", "v").alias("root"))
     named = known.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).groupBy("id").agg(F.min("root").alias("root"))
