@@ -284,9 +284,12 @@ def deviate(r: Raster) -> DataFrame:
 
 
 def extremes(r: Raster, largest: bool, size=1) -> DataFrame:
-    """The size largest (smallest) values with their places; ties by y, then x.  Top-k, not a sort."""
+    """The size largest (smallest) values of each image with their places; ties by y, then x.  Top-k, not a sort."""
     v = F.col("v").desc() if largest else F.col("v").asc()
-    return long_form(r).orderBy(v, "y", "x", "band").limit(size).select(*r.keys, "x", "y", "band", "v")
+    if r.keys:
+        w = Window.partitionBy(*r.keys).orderBy(v, "y", "x", "band")
+        return long_form(r).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).select(*r.keys, "x", "y", "band", "v")
+    return long_form(r).orderBy(v, "y", "x", "band").limit(size).select("x", "y", "band", "v")
 
 
 def stats(r: Raster) -> DataFrame:
@@ -294,7 +297,8 @@ def stats(r: Raster) -> DataFrame:
     v = F.col("v")
     n, s, q = F.count(F.lit(1)), F.sum("v"), F.sum(v * v)
     lo, hi = F.min(F.struct("v", "y", "x")), F.min(F.struct((-v).alias("v"), "y", "x"))
-    out = long_form(r).rollup("band").agg(
+    keys = [F.col(k) for k in r.keys]
+    out = long_form(r).groupingSets([[*keys, F.col("band")], keys], *keys, F.col("band")).agg(
         F.min("v").alias("min"), F.max("v").alias("max"), s.alias("sum"), q.alias("sum2"), (s / n).alias("avg"), F.sqrt(F.abs(q - s * s / n) / (n - 1)).alias("sd"),
         lo["x"].alias("xmin"), lo["y"].alias("ymin"), hi["x"].alias("xmax"), hi["y"].alias("ymax"))
     return out.withColumn("band", F.coalesce("band", F.lit(-1)))
@@ -305,53 +309,54 @@ def getpoint(r: Raster, x: int, y: int) -> DataFrame:
 
 
 def hist_find(r: Raster, band=-1) -> DataFrame:
-    """(band, bin, n): counts of each value, zero-filled over the format's bins."""
+    """(keys, band, bin, n): counts of each value of each image, zero-filled over the format's bins."""
     one = long_form(r) if band < 0 else long_form(r).where(F.col("band") == band)
-    counts = one.groupBy("band", F.greatest(F.lit(0), F.least(F.lit(255 if r.format == "uchar" else 65535), F.col("v"))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spark = r.df.sparkSession
-    if r.format == "uchar":
-        size = spark.range(256).select(F.col("id").cast("int").alias("bin"))
-    else:
-        top = counts.agg(F.max("bin").alias("top"))
-        size = top.select(F.explode(F.sequence(F.lit(0), "top")).alias("bin"))
+    counts = one.groupBy(*r.keys, "band", F.greatest(F.lit(0), F.least(F.lit(255 if r.format == "uchar" else 65535), F.col("v"))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy(*r.keys).agg(F.max("bin").alias("top"))
+    size = top.select(*r.keys, F.explode(F.sequence(F.lit(0), F.lit(255) if r.format == "uchar" else F.col("top"))).alias("bin"))
     bands = F.array(*[F.lit(k) for k in (range(r.bands) if band < 0 else [band])])
-    dense = size.select("bin", F.explode(bands).alias("band"))
-    return dense.join(counts, ["band", "bin"], "left").select("band", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    dense = size.select(*r.keys, "bin", F.explode(bands).alias("band"))
+    return dense.join(counts, [*r.keys, "band", "bin"], "left").select(*r.keys, "band", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def hist_find_indexed(r: Raster, index: Raster, how="sum") -> DataFrame:
-    """(bin, b0..): values combined by the index image's value."""
+    """(keys, bin, b0..): values combined by the index image's value."""
     df, _, _ = zip_join([r, index])
     fn = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    return df.groupBy(F.col("i1_b0").cast("int").alias("bin")).agg(*[fn(F.col(f"i0_{c}").cast("double")).alias(c) for c in r.names])
+    return df.groupBy(*(r.keys or index.keys), F.col("i1_b0").cast("int").alias("bin")).agg(*[fn(F.col(f"i0_{c}").cast("double")).alias(c) for c in r.names])
 
 
 def hist_find_ndim(r: Raster, bins=10) -> DataFrame:
-    """Counts in a grid of bins**bands cells, occupied cells only."""
+    """Counts in a grid of bins**bands cells of each image, occupied cells only."""
     step = ((255 if r.format == "uchar" else 65535) + 1) / bins
     cells = [F.floor(c / step).cast("int").alias(f"c{k}") for k, c in enumerate(r.cols[:3])]
-    return r.df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
+    return r.df.groupBy(*r.keys, *cells).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lines(df: DataFrame, keys, aggs) -> DataFrame:
+    """Aggregates of each column and of each row of each image, in one pass."""
+    keys = [F.col(k) for k in keys]
+    return df.groupingSets([[*keys, F.col("x")], [*keys, F.col("y")]], *keys, F.col("x"), F.col("y")).agg(*aggs)
 
 
 def project(r: Raster, how="sum") -> DataFrame:
-    """Column and row sums (or max, min) in one pass: (axis, pos, b0..)."""
+    """Column and row sums (or max, min) in one pass: (keys, axis, pos, b0..)."""
     fn = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    out = r.df.groupingSets([[F.col("x")], [F.col("y")]], F.col("x"), F.col("y")).agg(*[fn(c.cast("double")).alias(n) for c, n in zip(r.cols, r.names)])
-    return out.select(F.when(F.col("x").isNotNull(), "column").otherwise("row").alias("axis"), F.coalesce("x", "y").alias("pos"), *r.names)
+    out = _lines(r.df, r.keys, [fn(c.cast("double")).alias(n) for c, n in zip(r.cols, r.names)])
+    return out.select(*r.keys, F.when(F.col("x").isNotNull(), "column").otherwise("row").alias("axis"), F.coalesce("x", "y").alias("pos"), *r.names)
 
 
 def profile(r: Raster) -> DataFrame:
     """First non-zero row of each column and column of each row; the size where there is none."""
     hits = [F.min(F.when(c != 0, F.col("_y"))).alias(f"y{k}") for k, c in enumerate(r.cols)] + [F.min(F.when(c != 0, F.col("_x"))).alias(f"x{k}") for k, c in enumerate(r.cols)]
-    df = r.df.withColumns({"_x": F.col("x"), "_y": F.col("y")})
-    got = df.groupingSets([[F.col("x")], [F.col("y")]], F.col("x"), F.col("y")).agg(*hits)
+    got = _lines(r.df.withColumns({"_x": F.col("x"), "_y": F.col("y")}), r.keys, hits)
     column = F.col("x").isNotNull()
-    return got.select(F.when(column, "column").otherwise("row").alias("axis"), F.coalesce("x", "y").alias("pos"),
+    return got.select(*r.keys, F.when(column, "column").otherwise("row").alias("axis"), F.coalesce("x", "y").alias("pos"),
                       *[F.when(column, F.coalesce(f"y{k}", F.lit(r.height))).otherwise(F.coalesce(f"x{k}", F.lit(r.width))).alias(f"b{k}") for k in range(r.bands)])
 
 
 def find_trim(r: Raster, threshold=10.0, background=None) -> DataFrame:
-    """Bounding box of what differs from the background, after a median of 3 x 3."""
+    """Bounding box, in each image, of what differs from the background, after a median of 3 x 3."""
     from .morphology import rank
 
     bg = list(background) if background else [0.0] * r.bands
@@ -360,8 +365,9 @@ def find_trim(r: Raster, threshold=10.0, background=None) -> DataFrame:
     for c, b in zip(m.cols, bg * (r.bands if len(bg) == 1 else 1)):
         one = F.abs(c.cast("double") - F.lit(float(b))) > threshold
         differs = one if differs is None else differs | one
-    box = m.df.where(differs).agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("r"), F.max("y").alias("b"))
-    return box.select(F.coalesce("left", F.lit(r.width)).alias("left"), F.coalesce("top", F.lit(r.height)).alias("top"),
+    at = lambda c: F.when(differs, F.col(c))
+    box = m.df.groupBy(*r.keys).agg(F.min(at("x")).alias("left"), F.min(at("y")).alias("top"), F.max(at("x")).alias("r"), F.max(at("y")).alias("b"))
+    return box.select(*r.keys, F.coalesce("left", F.lit(r.width)).alias("left"), F.coalesce("top", F.lit(r.height)).alias("top"),
                       F.coalesce(F.col("r") - F.col("left") + 1, F.lit(0)).alias("width"), F.coalesce(F.col("b") - F.col("top") + 1, F.lit(0)).alias("height"))
 
 
@@ -371,7 +377,7 @@ def measure(r: Raster, across: int, down: int, left=0, top=0, width=None, height
     i, j = F.floor((F.col("x") - left) / w), F.floor((F.col("y") - top) / h)
     dx, dy = F.col("x") - left - i * w, F.col("y") - top - j * h
     inside = (i >= 0) & (i < across) & (j >= 0) & (j < down) & (dx >= w / 4) & (dx < w * 3 / 4) & (dy >= h / 4) & (dy < h * 3 / 4)
-    return r.df.where(inside).groupBy(i.cast("int").alias("h"), j.cast("int").alias("v")).agg(*[F.avg(c.cast("double")).alias(n) for c, n in zip(r.cols, r.names)])
+    return r.df.where(inside).groupBy(*r.keys, i.cast("int").alias("h"), j.cast("int").alias("v")).agg(*[F.avg(c.cast("double")).alias(n) for c, n in zip(r.cols, r.names)])
 
 
 def hough_line(r: Raster, width=256, height=256) -> DataFrame:
@@ -380,12 +386,12 @@ def hough_line(r: Raster, width=256, height=256) -> DataFrame:
     Each pixel's votes are generated in its own row and counted by partial aggregates.
     """
     diagonal = F.lit(_math.hypot(r.width, r.height))
-    points = r.df.where(F.col("b0") != 0).select((F.col("x") / diagonal).alias("u"), (F.col("y") / diagonal).alias("v"))
-    votes = points.select("u", "v", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    points = r.df.where(F.col("b0") != 0).select(*r.keys, (F.col("x") / diagonal).alias("u"), (F.col("y") / diagonal).alias("v"))
+    votes = points.select(*r.keys, "u", "v", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     angle = F.col("x") * F.lit(_math.pi / width)
     rho = F.col("u") * F.cos(angle) + F.col("v") * F.sin(angle)
     cell = F.floor((rho + 1) * (height / 2.0)).cast("int")
-    return votes.select("x", cell.alias("y")).where((F.col("y") >= 0) & (F.col("y") < height)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return votes.select(*r.keys, "x", cell.alias("y")).where((F.col("y") >= 0) & (F.col("y") < height)).groupBy(*r.keys, "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def circle_offsets(radius: int) -> list[tuple[int, int]]:
@@ -401,37 +407,37 @@ def hough_circle(r: Raster, scale=1, min_radius=10, max_radius=20) -> DataFrame:
     """(x, y, radius, n): votes for circle centres."""
     offsets = [(dx, dy, k) for k in range(min_radius // scale, max_radius // scale + 1) for dx, dy in circle_offsets(k)]
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(k * scale).alias("radius")) for a, b, k in offsets]))
-    votes = r.df.where(F.col("b0") != 0).select((F.col("x") / scale).cast("int").alias("cx"), (F.col("y") / scale).cast("int").alias("cy"), around.alias("o"))
-    at = votes.select((F.col("cx") + F.col("o.dx")).alias("x"), (F.col("cy") + F.col("o.dy")).alias("y"), F.col("o.radius").alias("radius"))
-    return at.where(f"x >= 0 and y >= 0 and x < {r.width // scale} and y < {r.height // scale}").groupBy("x", "y", "radius").agg(F.count(F.lit(1)).alias("n"))
+    votes = r.df.where(F.col("b0") != 0).select(*r.keys, (F.col("x") / scale).cast("int").alias("cx"), (F.col("y") / scale).cast("int").alias("cy"), around.alias("o"))
+    at = votes.select(*r.keys, (F.col("cx") + F.col("o.dx")).alias("x"), (F.col("cy") + F.col("o.dy")).alias("y"), F.col("o.radius").alias("radius"))
+    return at.where(f"x >= 0 and y >= 0 and x < {r.width // scale} and y < {r.height // scale}").groupBy(*r.keys, "x", "y", "radius").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- texture and regression helpers of the older surface ---------------------------------------------------------
 
 def cooccurrence(r: Raster, dx=1, dy=0) -> DataFrame:
     """(a, b, n): how often value b stands at (dx, dy) from value a."""
-    other = r.df.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("b0").alias("b"))
-    return r.df.select("x", "y", F.col("b0").alias("a")).join(other, ["x", "y"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    other = r.df.select(*r.keys, (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("b0").alias("b"))
+    return r.df.select(*r.at, F.col("b0").alias("a")).join(other, r.at).groupBy(*r.keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def texture(r: Raster, dx=1, dy=0) -> DataFrame:
     """Angular second moment, contrast and entropy of the co-occurrence matrix."""
-    m = cooccurrence(r, dx, dy).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
-    return m.agg(F.sum(F.col("p") * F.col("p")).alias("asm"), F.sum(F.col("p") * F.pow(F.col("a") - F.col("b"), 2)).alias("contrast"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    m = cooccurrence(r, dx, dy).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*r.keys)))
+    return m.groupBy(*r.keys).agg(F.sum(F.col("p") * F.col("p")).alias("asm"), F.sum(F.col("p") * F.pow(F.col("a") - F.col("b"), 2)).alias("contrast"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
 def differences(r: Raster, dx=1, dy=0) -> DataFrame:
     """Grey-level difference statistics: (d, n)."""
-    return cooccurrence(r, dx, dy).groupBy(F.abs(F.col("a") - F.col("b")).alias("d")).agg(F.sum("n").alias("n"))
+    return cooccurrence(r, dx, dy).groupBy(*r.keys, F.abs(F.col("a") - F.col("b")).alias("d")).agg(F.sum("n").alias("n"))
 
 
 def linreg(rasters: list[Raster], xs: list[float]) -> DataFrame:
     """Pixelwise linear regression over images at positions xs: (x, y, intercept, slope)."""
     parts = None
     for r, t in zip(rasters, xs):
-        one = r.df.select("x", "y", F.col("b0").cast("double").alias("v"), F.lit(float(t)).alias("t"))
+        one = r.df.select(*r.at, F.col("b0").cast("double").alias("v"), F.lit(float(t)).alias("t"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("x", "y").agg(F.regr_intercept("v", "t").alias("intercept"), F.regr_slope("v", "t").alias("slope"))
+    return parts.groupBy(*rasters[0].at).agg(F.regr_intercept("v", "t").alias("intercept"), F.regr_slope("v", "t").alias("slope"))
 
 
 def zerox(r: Raster, sign_=1) -> Raster:

@@ -119,13 +119,21 @@ BT2020_709 = ((1.6605, -0.5876, -0.0728), (-0.1246, 1.1329, -0.0083), (-0.0182,
 P3_709 = ((1.2249, -0.2247, 0.0), (-0.0420, 1.0419, 0.0), (-0.0197, -0.0786, 1.0979))
 
 
+PRIMARIES = {"bt709": None, "bt2020": BT2020_709, "smpte432": P3_709, "smpte431": P3_709}
+
+
 def cicp2scrgb(r: Raster, primaries="bt709", transfer="srgb", top=255.0) -> Raster:
+    if primaries not in PRIMARIES or transfer not in TRANSFER:
+        raise ValueError(f"no primaries {primaries} or transfer {transfer}")
     light = [TRANSFER[transfer](c.cast("double") / top) for c in r.cols[:3]]
-    m = {"bt2020": BT2020_709, "smpte432": P3_709, "smpte431": P3_709}.get(primaries)
+    m = PRIMARIES[primaries]
     return r.with_bands([*(C.dot(m, light) if m else light), *r.cols[3:]], "float", interpretation="scrgb")
 
 
 def scrgb2cicp(r: Raster, transfer="srgb", top=255.0) -> Raster:
+    if transfer not in ("linear", "bt709", "bt601", "srgb"):
+        raise ValueError(f"no encoding for transfer {transfer}")
+
     def encode(f):
         f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))
         if transfer == "linear":
@@ -139,9 +147,9 @@ def scrgb2cicp(r: Raster, transfer="srgb", top=255.0) -> Raster:
 
 def uhdr2scrgb(r: Raster, gain: Raster, boost=4.0) -> Raster:
     """Base image decoded and multiplied by boost ** gain; the gain map is enlarged to the base's size."""
-    fx, fy = r.width // gain.width, r.height // gain.height
-    g = gain.df.select(F.col("x").alias("gx"), F.col("y").alias("gy"), (F.col("b0").cast("double") / 255.0).alias("g"))
-    df = r.df.withColumns({"gx": F.expr(f"cast(x div {fx} as int)"), "gy": F.expr(f"cast(y div {fy} as int)")}).join(g, ["gx", "gy"])
+    g = gain.df.select(*gain.keys, F.col("x").alias("gx"), F.col("y").alias("gy"), (F.col("b0").cast("double") / 255.0).alias("g"))
+    places = {"gx": F.expr(f"cast(x * {gain.width}L div {r.width} as int)"), "gy": F.expr(f"cast(y * {gain.height}L div {r.height} as int)")}
+    df = r.df.withColumns(places).join(g, [*gain.keys, "gx", "gy"])
     return r.having(df).with_bands([C.srgb_decode(c) * F.pow(F.lit(boost), F.col("g")) for c in r.cols[:3]], "float", interpretation="scrgb")
 
 

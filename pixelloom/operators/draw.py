@@ -84,8 +84,8 @@ def draw_circle(r: Raster, ink, cx: int, cy: int, radius: int, fill=False) -> Ra
 
 
 def draw_image(r: Raster, sub: Raster, x: int, y: int, mode="set") -> Raster:
-    over = sub.df.select((F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), *[F.col(c).alias(f"o{c[1:]}") for c in sub.names])
-    df = r.df.join(over, ["x", "y"], "left")
+    over = sub.df.select(*sub.keys, (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), *[F.col(c).alias(f"o{c[1:]}") for c in sub.names])
+    df = r.df.join(over, sub.at, "left")
     take = lambda k: F.col(f"o{k if sub.bands > 1 else 0}")
     if mode == "add":
         values = [saturate(c.cast("long" if is_int(r.format) else "double") + F.coalesce(take(k), F.lit(0)), r.format) for k, c in enumerate(r.cols)]
@@ -95,19 +95,21 @@ def draw_image(r: Raster, sub: Raster, x: int, y: int, mode="set") -> Raster:
 
 
 def draw_mask(r: Raster, ink, mask: Raster, x: int, y: int) -> Raster:
-    over = mask.df.select((F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), F.col("b0").alias("m"))
-    df = r.df.join(over, ["x", "y"], "left").withColumn("m", F.coalesce("m", F.lit(0)).cast("long"))
+    over = mask.df.select(*mask.keys, (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), F.col("b0").alias("m"))
+    df = r.df.join(over, mask.at, "left").withColumn("m", F.coalesce("m", F.lit(0)).cast("long"))
     mixed = [(i.cast("long") * F.col("m") + c.cast("long") * (255 - F.col("m"))) / 255 if is_int(r.format) else (i * F.col("m") + c * (255 - F.col("m"))) / 255 for c, i in zip(r.cols, _ink(r, ink))]
     return r.having(df).with_bands([F.floor(v) if is_int(r.format) else v for v in mixed])
 
 
 def draw_flood(r: Raster, ink, x: int, y: int) -> Raster:
-    """Paints the 4-connected region of equal pixels around the seed."""
+    """Paints the 4-connected region of equal pixels around the seed, in each image."""
     from .morphology import regions
 
     found = regions(r.with_bands([r.cols[0]]))
-    seed = found.df.where((F.col("x") == x) & (F.col("y") == y)).select(F.col("b0").alias("_seed"))
-    df = r.df.join(found.df.select("x", "y", F.col("b0").alias("_label")), ["x", "y"]).join(F.broadcast(seed), F.col("_label") == F.col("_seed"), "left")
+    # One row for each image: all images of a stack have the seed at the same place.
+    seed = found.df.where((F.col("x") == x) & (F.col("y") == y)).select(*r.keys, F.col("b0").alias("_label"), F.lit(True).alias("_seed"))
+    labels = found.df.select(*r.at, F.col("b0").alias("_label"))
+    df = r.df.join(labels, r.at).join(seed if r.keys else F.broadcast(seed), [*r.keys, "_label"], "left")
     return paint(r.having(df), F.col("_seed").isNotNull(), ink)
 
 

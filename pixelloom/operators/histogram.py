@@ -12,26 +12,42 @@ from .window2d import window2d
 
 
 def wide(counts: DataFrame, bands: int) -> DataFrame:
-    """(band, bin, n) into (bin, b0..bN)."""
-    return counts.groupBy("bin").agg(*[F.sum(F.when(F.col("band") == k, F.col("n"))).alias(f"b{k}") for k in range(bands)])
+    """(keys, band, bin, n) into (keys, bin, b0..bN)."""
+    return counts.groupBy(*[c for c in counts.columns if c not in ("band", "bin", "n")], "bin").agg(*[F.sum(F.when(F.col("band") == k, F.col("n"))).alias(f"b{k}") for k in range(bands)])
 
 
 def _bands(lut: DataFrame) -> list[str]:
     return [c for c in lut.columns if c.startswith("b") and c[1:].isdigit()]
 
 
-def hist_cum(hist: DataFrame) -> DataFrame:
+def _keys(lut: DataFrame) -> list[str]:
+    """What tells the tables of a stack apart."""
+    return [c for c in lut.columns if c != "bin" and not (c.startswith("b") and c[1:].isdigit())]
+
+
+def table_of(lut) -> DataFrame:
+    """A lookup table (keys, bin, b0..) from a raster of one line or one column; tables pass."""
+    if not isinstance(lut, Raster):
+        return lut
+    if min(lut.width, lut.height) != 1:
+        raise ValueError("a lookup table is one line or one column")
+    return lut.df.select(*lut.keys, F.col("x" if lut.height == 1 else "y").alias("bin"), *lut.names)
+
+
+def hist_cum(hist) -> DataFrame:
     """Running sums over the bins; a table has as many rows as values, so one window serves."""
-    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return hist.select("bin", *[F.sum(c).over(w).alias(c) for c in _bands(hist)])
+    hist = table_of(hist)
+    w = Window.partitionBy(*_keys(hist)).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return hist.select(*_keys(hist), "bin", *[F.sum(c).over(w).alias(c) for c in _bands(hist)])
 
 
-def hist_norm(hist: DataFrame) -> DataFrame:
+def hist_norm(hist) -> DataFrame:
     """Scales each band so that its largest value becomes the last bin; truncated."""
-    w = Window.partitionBy()
+    hist = table_of(hist)
+    w = Window.partitionBy(*_keys(hist))
     last = F.count(F.lit(1)).over(w) - 1
     # The factor is found first, then applied, as a linear step would.
-    return hist.select("bin", *[F.floor((F.col(c).cast("double") * (last / F.max(c).over(w))).cast("float")).cast("long").alias(c) for c in _bands(hist)])
+    return hist.select(*_keys(hist), "bin", *[F.floor((F.col(c).cast("double") * (last / F.max(c).over(w))).cast("float")).cast("long").alias(c) for c in _bands(hist)])
 
 
 def hist_equal(r: Raster, band=-1) -> Raster:
@@ -39,47 +55,59 @@ def hist_equal(r: Raster, band=-1) -> Raster:
     return maplut(r, hist_norm(hist_cum(h)), "uchar")
 
 
-def hist_entropy(hist: DataFrame) -> DataFrame:
-    total = F.sum("b0").over(Window.partitionBy())
-    p = hist.select((F.col("b0") / total).alias("p"))
-    return p.agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0))).alias("entropy"))
+def hist_entropy(hist) -> DataFrame:
+    hist = table_of(hist)
+    keys = _keys(hist)
+    total = F.sum("b0").over(Window.partitionBy(*keys))
+    p = hist.select(*keys, (F.col("b0") / total).alias("p"))
+    return p.groupBy(*keys).agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0))).alias("entropy"))
 
 
-def hist_ismonotonic(hist: DataFrame) -> DataFrame:
-    step = F.col("b0") - F.lag("b0").over(Window.orderBy("bin"))
-    return hist.select(step.alias("d")).agg(F.coalesce(F.min("d") >= 0, F.lit(True)).alias("monotonic"))
+def hist_ismonotonic(hist) -> DataFrame:
+    hist = table_of(hist)
+    keys = _keys(hist)
+    step = F.col("b0") - F.lag("b0").over(Window.partitionBy(*keys).orderBy("bin"))
+    return hist.select(*keys, step.alias("d")).groupBy(*keys).agg(F.coalesce(F.min("d") >= 0, F.lit(True)).alias("monotonic"))
 
 
-def hist_match(cum: DataFrame, ref: DataFrame) -> DataFrame:
-    """For each bin the first reference bin that reaches its cumulative value: an as-of join over bounded tables."""
-    pairs = F.broadcast(ref.agg(F.array_sort(F.collect_list(F.struct("bin", F.col("b0").alias("r")))).alias("_ref")))
+def hist_match(cum, ref) -> DataFrame:
+    """For each bin the first reference bin that reaches its cumulative value: an as-of join over bounded tables.  The reference
+    is one table for all, or one for each image."""
+    cum, ref = table_of(cum), table_of(ref)
+    keys = _keys(ref)
+    pairs = ref.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", F.col("b0").alias("r")))).alias("_ref"))
     first = F.get(F.filter("_ref", lambda s: s["r"] >= F.col("b0")), F.lit(0))["bin"]
-    return cum.join(pairs).select("bin", F.coalesce(first, F.lit(255)).cast("long").alias("b0"))
+    joined = cum.join(pairs, keys) if keys else cum.join(F.broadcast(pairs))
+    return joined.select(*_keys(cum), "bin", F.coalesce(first, F.lit(255)).cast("long").alias("b0"))
 
 
-def hist_plot(hist: DataFrame) -> DataFrame:
-    """Bars: (x, y, v), 255 where the bar reaches y."""
-    top = F.max("b0").over(Window.partitionBy())
-    bars = hist.select(F.col("bin").alias("x"), "b0", top.cast("long").alias("top"))
-    rows = bars.select("x", "b0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1)).alias("y"))
-    return rows.select("x", F.col("y").cast("int").alias("y"), F.when(F.col("b0") > F.col("y"), 255).otherwise(0).alias("v"))
+def hist_plot(hist) -> DataFrame:
+    """Bars: (keys, x, y, v), 255 where the bar reaches y."""
+    hist = table_of(hist)
+    keys = _keys(hist)
+    top = F.max("b0").over(Window.partitionBy(*keys))
+    bars = hist.select(*keys, F.col("bin").alias("x"), "b0", top.cast("long").alias("top"))
+    rows = bars.select(*keys, "x", "b0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1)).alias("y"))
+    return rows.select(*keys, "x", F.col("y").cast("int").alias("y"), F.when(F.col("b0") > F.col("y"), 255).otherwise(0).alias("v"))
 
 
-def maplut(r: Raster, lut: DataFrame, fmt="double", size=None) -> Raster:
-    """Looks each pixel up in the table: a broadcast hash join for each band, the table being bounded by its format.
+def maplut(r: Raster, lut, fmt="double", size=None) -> Raster:
+    """Looks each pixel up in the table, a relation or a raster of one line: a hash join for each band.  One table for all
+    images is bounded by its format and broadcast; tables of a stack are joined by key, whatever their number.
 
     Values beyond the table take its last entry.
     """
-    names = _bands(lut)
+    lut = table_of(lut)
+    names, keys = _bands(lut), _keys(lut)
     n = size or (256 if r.format == "uchar" else 65536)
     df = r.df
     bands = max(r.bands, len(names))
     values = []
     for k in range(bands):
         src, ent = f"b{k if r.bands > 1 else 0}", names[k if len(names) > 1 else 0]
-        one = F.broadcast(lut.select(F.col("bin").cast("int").alias(f"_k{k}"), F.col(ent).alias(f"_v{k}")))
+        one = lut.select(*keys, F.col("bin").cast("int").alias(f"_i{k}"), F.col(ent).alias(f"_v{k}"))
         index = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(src).cast("int")))
-        df = df.withColumn(f"_i{k}", index).join(one, F.col(f"_i{k}") == F.col(f"_k{k}"), "left")
+        df = df.withColumn(f"_i{k}", index).join(one if keys else F.broadcast(one), [*keys, f"_i{k}"], "left")
         values.append(F.col(f"_v{k}"))
     return r.having(df).with_bands(values, fmt)
 
@@ -92,22 +120,23 @@ def case(index: Raster, cases: list[Raster]) -> Raster:
     for k in range(max(c.bands for c in cases)):
         arr = F.array(*[F.col(f"i{j + 1}_b{k if c.bands > 1 else 0}") for j, c in enumerate(cases)])
         values.append(F.element_at(arr, F.least(F.col("i0_b0").cast("int"), F.lit(n - 1)) + 1))
-    return cases[0].having(df, width=w, height=h).with_bands(values)
+    return cases[0].having(df, width=w, height=h, keys=next((r.keys for r in [index, *cases] if r.keys), ())).with_bands(values)
 
 
 def percent(r: Raster, p: float) -> DataFrame:
-    """The smallest value at or below which p percent of the pixels are, exactly."""
+    """The smallest value at or below which p percent of each image's pixels are, exactly."""
     h = hist_norm(hist_cum(wide(arithmetic.hist_find(r, 0), 1)))
-    size = F.count(F.lit(1)).over(Window.partitionBy())
-    return h.select("bin", "b0", size.alias("n")).where(F.col("b0") > F.col("n") * (p / 100.0)).agg(F.min("bin").alias("threshold"))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*r.keys))
+    return h.select(*r.keys, "bin", "b0", size.alias("n")).groupBy(*r.keys).agg(F.min(F.when(F.col("b0") > F.col("n") * (p / 100.0), F.col("bin"))).alias("threshold"))
 
 
 def percent_lum(r: Raster, p: float, top=125.0, bins=10000) -> DataFrame:
     """Percentile of luminance over fixed bins, interpolated to the bin's upper edge."""
     cell = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("b0").cast("double") * bins / top)))
-    h = r.df.groupBy(cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    run = h.select("bin", F.sum("n").over(Window.orderBy("bin")).alias("c"), F.sum("n").over(Window.partitionBy()).alias("t"))
-    return run.where(F.col("c") >= F.col("t") * (p / 100.0)).agg(((F.min("bin") + 1) * top / bins).alias("threshold"))
+    h = r.df.groupBy(*r.keys, cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*r.keys)
+    run = h.select(*r.keys, "bin", F.sum("n").over(w.orderBy("bin")).alias("c"), F.sum("n").over(w).alias("t"))
+    return run.where(F.col("c") >= F.col("t") * (p / 100.0)).groupBy(*r.keys).agg(((F.min("bin") + 1) * top / bins).alias("threshold"))
 
 
 def hist_local(r: Raster, width: int, height: int, max_slope=0) -> Raster:

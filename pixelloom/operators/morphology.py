@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from ..raster import Raster
 from .window2d import window2d
 
 LABELS = 1 << 16
+BLOCK_PIXELS = 1 << 22
 
 
 def morph(r: Raster, mask: list[list[int]], operation: str) -> Raster:
@@ -44,62 +46,110 @@ def median(r: Raster, size=3) -> Raster:
 
 
 def countlines(r: Raster, direction: str):
-    """Mean number of black-to-white transitions along the direction's lines."""
+    """Mean number of black-to-white transitions along the direction's lines, of each image."""
     part, order, n = ("x", "y", r.width) if direction == "horizontal" else ("y", "x", r.height)
     before = F.lag("b0").over(Window.partitionBy(*r.keys, part).orderBy(order))
-    steps = r.df.select(((F.col("b0") >= 128) & (before < 128)).alias("up"))
-    return steps.agg((F.sum(F.when(F.col("up"), 1).otherwise(0)) / F.lit(float(n))).alias("nolines"))
+    steps = r.df.select(*r.keys, ((F.col("b0") >= 128) & (before < 128)).alias("up"))
+    return steps.groupBy(*r.keys).agg((F.sum(F.when(F.col("up"), 1).otherwise(0)) / F.lit(float(n))).alias("nolines"))
 
 
-def regions(r: Raster) -> Raster:
+def block_labels(x, y, v, width: int):
+    """Labels of the 4-connected regions of equal values among these pixels: the least scan position of each.
+
+    Touching pixels are links; labels fall to the least over links and by pointer jumping, all pixels at once.
+    """
+    at = y.astype(np.int64) * width + x
+    order = np.argsort(at, kind="stable")
+    at, v = at[order], v[order]
+    label = np.arange(len(at))
+    pairs = []
+    for step in (1, width):
+        there = np.searchsorted(at, at + step)
+        there = np.minimum(there, len(at) - 1)
+        ok = (at[there] == at + step) & (v[there] == v)
+        if step == 1:
+            ok &= at % width != width - 1
+        pairs.append((np.flatnonzero(ok), there[ok]))
+    a, b = (np.concatenate(p) for p in zip(*pairs))
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        # The roots of both ends fall to the lower root, then every pixel follows its root.
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+        if (label == before).all():
+            break
+    out = np.empty(len(at), np.int64)
+    out[order] = at[label]
+    return out
+
+
+def regions(r: Raster, block_pixels=BLOCK_PIXELS) -> Raster:
     """4-connected regions of equal pixels; a region's label is the scan position of its first pixel.
 
-    Runs of equal pixels in a line become one vertex each (two windows), touching runs of
-    neighbouring lines are links (a range condition within the pair of lines), and labels are
-    minima over the linked runs by star contraction: rounds grow with the logarithm of a
-    region's size, not with its extent.
+    Blocks of whole rows of an image, of bounded size, are labelled each in one vectorised pass.  Only where an image has
+    several blocks do the labels that touch across their edges become links, and labels fall to the least over these
+    by star contraction, whose rounds grow with the logarithm of the number of blocks.
     """
     from ..plans.contraction import smallest_reachable
 
-    w = Window.partitionBy("y").orderBy("x")
-    new = F.when(F.lag("b0").over(w) == F.col("b0"), 0).otherwise(1)
-    runs = r.df.select("x", "y", "b0", new.alias("new"))
-    runs = runs.select("x", "y", "b0", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    spans = runs.groupBy("y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("b0").alias("v"))
-    spans = spans.select("y", "run", "x0", "x1", "v", (F.col("y").cast("long") * r.width + F.col("x0")).alias("id"))
-    below = spans.select((F.col("y") - 1).alias("y"), F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("v"), F.col("id").alias("other"))
-    links = spans.join(below, ["y", "v"]).where("x0 <= p1 and p0 <= x1").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    roots = smallest_reachable(links)
-    named = spans.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("y", "run", F.coalesce("root", "id").alias("label"))
-    df = runs.join(named, ["y", "run"]).select("x", "y", F.col("label").alias("b0"))
-    return Raster(df, r.width, r.height, 1, "uint")
+    rows = max(1, block_pixels // r.width)
+    keys = list(r.keys)
+    cut = r.df.select(*r.at, "b0", F.expr(f"y div {rows}").alias("block"))
+    schema = ", ".join([*[f"{k} {r.df.schema[k].dataType.simpleString()}" for k in keys], "x int, y int, v double, label long"])
+    width = r.width
+
+    def run(part):
+        part["label"] = block_labels(part["x"].to_numpy(), part["y"].to_numpy(), part["v"].to_numpy(), width)
+        return part[[*keys, "x", "y", "v", "label"]]
+
+    found = cut.select(*keys, "block", "x", "y", F.col("b0").cast("double").alias("v")).groupBy(*keys, "block").applyInPandas(run, schema)
+    if rows < r.height:
+        edge = F.col("y") % rows
+        upper = found.where(edge == rows - 1).select(*keys, "x", (F.col("y") + 1).alias("y"), "v", F.col("label").alias("l"))
+        touch = found.where((edge == 0) & (F.col("y") > 0)).join(upper, [*keys, "x", "y", "v"]).select(*keys, "l", "label").distinct()
+        name = (lambda c: F.xxhash64(*keys, c)) if keys else (lambda c: F.col(c))
+        held = touch.select(*keys, F.explode(F.array("l", "label")).alias("label")).distinct().select(*keys, "label", name("label").alias("u"))
+        roots = smallest_reachable(touch.select(name("l").alias("a"), name("label").alias("b")))
+        named = held.join(roots, "u", "left").select(*keys, "label", F.coalesce("v", "u").alias("root"))
+        least = named.groupBy(*keys, "root").agg(F.min("label").alias("least"))
+        named = named.join(least, [*keys, "root"]).select(*keys, "label", "least")
+        found = found.join(named, [*keys, "label"], "left").withColumn("label", F.coalesce("least", "label"))
+    return Raster(found.select(*keys, "x", "y", F.col("label").alias("b0")), r.width, r.height, 1, "uint", keys=r.keys)
 
 
 def labelregions(r: Raster) -> Raster:
-    """Regions numbered 0, 1, .. in scan order of their first pixels."""
+    """Regions of each image numbered 0, 1, .. in scan order of their first pixels."""
     found = regions(r)
+    keys = list(r.keys)
     # Numbers come from counts of label ranges and a rank within each range: no task holds all labels.
-    labels = found.df.select("b0").distinct().withColumn("part", F.expr(f"b0 div {LABELS}"))
-    before = labels.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
-    before = before.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("base"))
-    order = labels.join(before, "part").select("b0", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("b0")) - 1).alias("n"))
-    return found.having(found.df.join(order, "b0").select("x", "y", F.col("n").cast("long").alias("b0")))
+    labels = found.df.select(*keys, "b0").distinct().withColumn("part", F.expr(f"b0 div {LABELS}"))
+    before = labels.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("k"))
+    before = before.select(*keys, "part", (F.sum("k").over(Window.partitionBy(*keys).orderBy("part")) - F.col("k")).alias("base"))
+    order = labels.join(before, [*keys, "part"]).select(*keys, "b0", (F.col("base") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("b0")) - 1).alias("n"))
+    return found.having(found.df.join(order, [*keys, "b0"]).select(*keys, "x", "y", F.col("n").cast("long").alias("b0")))
 
 
 def fill_nearest(r: Raster):
-    """Zeros take the nearest non-zero pixel: (x, y, b0, distance); ties go to the smaller (y, x).
+    """Zeros take the nearest non-zero pixel of their image: (keys, x, y, b0, distance); ties go to the smaller (y, x).
 
     A distance transform in two passes: along each column the nearest non-zero pixels above
     and below are found by windows, then each pixel takes the best column of its line.
     """
-    up = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
+    keys = list(r.keys)
+    column = Window.partitionBy(*keys, "x").orderBy("y")
+    up, down = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
     seed = F.when(F.col("b0") != 0, F.struct(F.col("y").alias("sy"), F.col("b0").alias("v")))
-    cols = r.df.select("x", "y", F.last(seed, True).over(up).alias("a"), F.first(seed, True).over(down).alias("b"))
+    cols = r.df.select(*r.at, F.last(seed, True).over(up).alias("a"), F.first(seed, True).over(down).alias("b"))
     near = F.when(F.col("b").isNull() | (F.col("y") - F.col("a.sy") <= F.col("b.sy") - F.col("y")), F.col("a")).otherwise(F.col("b"))
-    cols = cols.select("x", "y", near.alias("s")).where("s is not null").select(F.col("x").alias("sx"), "y", "s.sy", "s.v")
-    line = cols.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("sx", "sy", "v"))).alias("all"))
+    cols = cols.select(*r.at, near.alias("s")).where("s is not null").select(*keys, F.col("x").alias("sx"), "y", "s.sy", "s.v")
+    line = cols.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("sx", "sy", "v"))).alias("all"))
     best = F.aggregate("all", F.struct(F.lit(1 << 60).cast("long").alias("d"), F.lit(0).alias("sy"), F.lit(0).alias("sx"), F.lit(0).cast("long").alias("v")),
                        lambda acc, s: F.least(acc, F.struct((F.pow(s["sx"] - F.col("x"), 2) + F.pow(s["sy"] - F.col("y"), 2)).cast("long").alias("d"), s["sy"].alias("sy"), s["sx"].alias("sx"), s["v"].cast("long").alias("v"))))
-    got = r.df.join(line, "y").select("x", "y", best.alias("n"))
-    return got.select("x", "y", F.col("n.v").alias("b0"), F.sqrt(F.col("n.d").cast("double")).alias("distance"))
+    got = r.df.join(line, [*keys, "y"]).select(*r.at, best.alias("n"))
+    return got.select(*r.at, F.col("n.v").alias("b0"), F.sqrt(F.col("n.d").cast("double")).alias("distance"))

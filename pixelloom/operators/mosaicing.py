@@ -19,9 +19,11 @@ def merge(ref: Raster, sec: Raster, direction: str, dx: int, dy: int, mblend=10)
     ox, oy = -dx, -dy
     left, top = min(0, ox), min(0, oy)
     width, height = max(ref.width, ox + sec.width) - left, max(ref.height, oy + sec.height) - top
-    a = ref.df.select((F.col("x") - left).alias("x"), (F.col("y") - top).alias("y"), *[F.col(c).alias(f"p{c[1:]}") for c in ref.names])
-    b = sec.df.select((F.col("x") + ox - left).alias("x"), (F.col("y") + oy - top).alias("y"), *[F.col(c).alias(f"q{c[1:]}") for c in sec.names])
-    df = a.join(b, ["x", "y"], "full")
+    if ref.keys != sec.keys:
+        raise ValueError("both images, or both stacks of the same keys")
+    a = ref.df.select(*ref.keys, (F.col("x") - left).alias("x"), (F.col("y") - top).alias("y"), *[F.col(c).alias(f"p{c[1:]}") for c in ref.names])
+    b = sec.df.select(*sec.keys, (F.col("x") + ox - left).alias("x"), (F.col("y") + oy - top).alias("y"), *[F.col(c).alias(f"q{c[1:]}") for c in sec.names])
+    df = a.join(b, ref.at, "full")
     axis, lo, hi = ("x", ox - left, ref.width - left) if direction == "horizontal" else ("y", oy - top, ref.height - top)
     span = min(mblend, hi - lo) if mblend >= 0 else hi - lo
     start = lo + (hi - lo - span) // 2
@@ -54,6 +56,8 @@ def correlate(ref: Raster, sec: Raster, xref: int, yref: int, xsec: int, ysec: i
 
 def mosaic(ref: Raster, sec: Raster, direction: str, xref, yref, xsec, ysec, hwindow=5, harea=15, mblend=10) -> Raster:
     """Refines the one given tie point by correlation on band 0, then merges; without a full window the point is taken as given."""
+    if ref.keys or sec.keys:
+        raise ValueError("the images of a stack may move each by its own distance: mosaic one pair at a time, or merge")
     best = correlate(ref, sec, xref, yref, xsec, ysec, hwindow, harea).first()
     dx, dy = (best["dx"], best["dy"]) if best else (0, 0)
     return merge(ref, sec, direction, xsec + dx - xref, ysec + dy - yref, mblend)
@@ -81,18 +85,20 @@ def mosaic1(ref: Raster, sec: Raster, direction: str, r1, s1, r2, s2, mblend=10)
 
 
 def globalbalance(images: list[Raster], places: list[tuple[int, int]], gamma=1.6) -> list[Raster]:
-    """Gains that make overlaps agree: overlap means by joins, a small least-squares fit on the driver, a linear step for each image."""
+    """Gains that make overlaps agree: the means of all overlaps by one self-join, a small least-squares fit on the driver, a linear step for each image."""
+    if any(r.keys for r in images):
+        raise ValueError("the images are single: a stack has no places")
     n, rows, rhs = len(images), [], []
-    for i in range(n):
-        for j in range(i + 1, n):
-            a = images[i].df.select((F.col("x") + places[i][0]).alias("x"), (F.col("y") + places[i][1]).alias("y"), F.col("b0").alias("p"))
-            b = images[j].df.select((F.col("x") + places[j][0]).alias("x"), (F.col("y") + places[j][1]).alias("y"), F.col("b0").alias("q"))
-            got = a.join(b, ["x", "y"]).agg(F.avg(F.pow(F.col("p") / 255.0, F.lit(gamma))).alias("p"), F.avg(F.pow(F.col("q") / 255.0, F.lit(gamma))).alias("q")).first()
-            if got["p"] is not None:
-                line = [0.0] * n
-                line[i], line[j] = got["p"], -got["q"]
-                rows.append(line)
-                rhs.append(0.0)
+    placed = None
+    for k, (r, (left, top)) in enumerate(zip(images, places)):
+        one = r.df.select(F.lit(k).alias("i"), (F.col("x") + left).alias("x"), (F.col("y") + top).alias("y"), F.pow(F.col("b0") / 255.0, F.lit(gamma)).alias("p"))
+        placed = one if placed is None else placed.unionByName(one)
+    pairs = placed.join(placed.select(F.col("i").alias("j"), "x", "y", F.col("p").alias("q")), ["x", "y"]).where("i < j")
+    for got in pairs.groupBy("i", "j").agg(F.avg("p").alias("p"), F.avg("q").alias("q")).orderBy("i", "j").collect():
+        line = [0.0] * n
+        line[got["i"]], line[got["j"]] = got["p"], -got["q"]
+        rows.append(line)
+        rhs.append(0.0)
     rows.append([1.0] + [0.0] * (n - 1))
     rhs.append(1.0)
     gains = np.linalg.lstsq(np.array(rows), np.array(rhs), rcond=None)[0]

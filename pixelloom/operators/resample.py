@@ -148,7 +148,7 @@ INTERPOLATORS = ("nearest", "bilinear", "bicubic", "vsqbs", "lbb", "nohalo")
 
 
 def sample(r: Raster, at: DataFrame, interpolate="bilinear", background=0.0, width=None, height=None) -> Raster:
-    """Values at real coordinates (u, v) of output pixels (x, y).
+    """Values at real coordinates (u, v) of output pixels (x, y), of each image: ``at`` has the keys of ``r``.
 
     An output pixel explodes into its taps, joins the input on integer coordinates and adds
     up weights: one equi-join and one aggregate, whatever the transform.  Coordinates outside
@@ -170,15 +170,15 @@ def sample(r: Raster, at: DataFrame, interpolate="bilinear", background=0.0, wid
     wu, wv = weights(tu), weights(tv)
     tap = lambda i, j: F.struct(F.greatest(F.lit(0), F.least(F.lit(w - 1), iu + first + i)).cast("int").alias("tx"), F.greatest(F.lit(0), F.least(F.lit(h - 1), iv + first + j)).cast("int").alias("ty"),
                                 (wu[i] * wv[j]).alias("w"), F.lit(first + i in (0, 1) and first + j in (0, 1)).alias("near"))
-    rows = base.where("_in").select("x", "y", F.explode(F.array(*[tap(i, j) for i in range(len(wu)) for j in range(len(wv))])).alias("t")).select("x", "y", "t.*")
-    pixels = r.df.select(F.col("x").alias("tx"), F.col("y").alias("ty"), *r.names)
+    rows = base.where("_in").select(*r.at, F.explode(F.array(*[tap(i, j) for i in range(len(wu)) for j in range(len(wv))])).alias("t")).select(*r.at, "t.*")
+    pixels = r.df.select(*r.keys, F.col("x").alias("tx"), F.col("y").alias("ty"), *r.names)
     aggs = [F.sum(F.col(n).cast("double") * F.col("w")).alias(n) for n in r.names]
     if limited:
         aggs += [g(F.when(F.col("near"), F.col(n).cast("double"))).alias(f"{p}{n}") for n in r.names for g, p in ((F.min, "lo_"), (F.max, "hi_"))]
-    got = rows.join(pixels, ["tx", "ty"]).groupBy("x", "y").agg(*aggs)
+    got = rows.join(pixels, [*r.keys, "tx", "ty"]).groupBy(*r.at).agg(*aggs)
     if limited:
-        got = got.select("x", "y", *[F.greatest(F.col(f"lo_{n}"), F.least(F.col(f"hi_{n}"), F.col(n))).alias(n) for n in r.names])
-    out = base.select("x", "y").join(got, ["x", "y"], "left")
+        got = got.select(*r.at, *[F.greatest(F.col(f"lo_{n}"), F.least(F.col(f"hi_{n}"), F.col(n))).alias(n) for n in r.names])
+    out = base.select(*r.at).join(got, r.at, "left")
     values = [F.coalesce(saturate(F.floor(F.col(n) + 0.5), r.format) if is_int(r.format) else F.col(n), F.lit(background)) for n in r.names]
     return r.having(out, width=width or w, height=height or h).with_bands(values)
 
@@ -194,7 +194,7 @@ def affine(r: Raster, matrix: tuple[float, float, float, float], interpolate="bi
         oarea = (left, top, _half_up(max(p[0] for p in corners)) - left, _half_up(max(p[1] for p in corners)) - top)
     left, top, width, height = oarea
     gx, gy = F.col("x") + left - odx, F.col("y") + top - ody
-    at = grid(r.df.sparkSession, width, height).select("x", "y", (gx * ia + gy * ib - idx).cast("double").alias("u"), (gx * ic + gy * id_ - idy).cast("double").alias("v"))
+    at = grid(r.df.sparkSession, width, height, r).select(*r.at, (gx * ia + gy * ib - idx).cast("double").alias("u"), (gx * ic + gy * id_ - idy).cast("double").alias("v"))
     return sample(r, at, interpolate, background, width, height)
 
 
@@ -209,7 +209,11 @@ def rotate(r: Raster, angle: float, **o) -> Raster:
 
 def mapim(r: Raster, index: Raster, interpolate="bilinear", background=0.0) -> Raster:
     """Each output pixel takes the input at the coordinates that the two-band index holds."""
-    at = index.df.select("x", "y", F.col("b0").cast("double").alias("u"), F.col("b1").cast("double").alias("v"))
+    at = index.df.select(*index.at, F.col("b0").cast("double").alias("u"), F.col("b1").cast("double").alias("v"))
+    if r.keys and not index.keys:
+        at = grid(r.df.sparkSession, index.width, index.height, r).join(at, ["x", "y"])
+    if index.keys and not r.keys:
+        r = r.having(grid(r.df.sparkSession, r.width, r.height, index).join(r.df, ["x", "y"]), keys=index.keys)
     return sample(r, at, interpolate, background, index.width, index.height)
 
 
@@ -219,7 +223,7 @@ def quadratic(r: Raster, coeff: list[tuple[float, float]], interpolate="bilinear
     terms = [F.lit(1.0), x, y, x * y, x * x, y * y]
     u = sum([t * c[0] for t, c in zip(terms[1:], coeff[1:])], terms[0] * coeff[0][0]) + x
     v = sum([t * c[1] for t, c in zip(terms[1:], coeff[1:])], terms[0] * coeff[0][1]) + y
-    return sample(r, r.df.select("x", "y", u.alias("u"), v.alias("v")), interpolate)
+    return sample(r, r.df.select(*r.at, u.alias("u"), v.alias("v")), interpolate)
 
 
 def resize(r: Raster, scale: float, vscale: float | None = None, kernel="lanczos3") -> Raster:

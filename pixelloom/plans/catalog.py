@@ -287,9 +287,8 @@ def _conversion():
         where = "TRUE" if how == "all" else f"x >= {left} AND x < {left} + 60 AND y >= {top} AND y < {top} + 50"
         _geometry(f"smartcrop_{how}", lambda t, h=how: V.smartcrop(t.ev, 60, 50, h), f"x - ({left})", f"y - ({top})", where)
     for how in ("entropy", "attention"):
-        _add(f"smartcrop_{how}", lambda t, h=how: shown(V.smartcrop(t.ev, 60, 50, h)), with_ctes(["ev", "dim"],
-             "SELECT CAST(ev.x - bx AS INT) AS x, CAST(ev.y - by_ AS INT) AS y, CAST(v AS BIGINT) AS b0 FROM ev, (SELECT arg_max(p, struct_pack(s := s, n := -p)) AS bx FROM (SELECT x AS p, sum(e) OVER (ORDER BY x ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) AS s FROM cx_) WHERE p <= 40), (SELECT arg_max(p, struct_pack(s := s, n := -p)) AS by_ FROM (SELECT y AS p, sum(e) OVER (ORDER BY y ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s FROM cy_) WHERE p <= (SELECT my - 49 FROM dim)) WHERE ev.x >= bx AND ev.x < bx + 60 AND ev.y >= by_ AND ev.y < by_ + 50",
-             {"ed": "SELECT x, y, coalesce(abs(lead(v) OVER (PARTITION BY y ORDER BY x) - v), 0) AS e FROM ev", "cx_": "SELECT x, sum(e) AS e FROM ed GROUP BY x", "cy_": "SELECT y, sum(e) AS e FROM ed GROUP BY y"}))
+        # Entropies of slices and blurred scores decide step by step: no SQL.
+        _add(f"smartcrop_{how}", lambda t, h=how: shown(V.smartcrop(t.ev3 if h == "attention" else t.ev, 60, 50, h)))
     for name in ("tilecache", "linecache", "cache"):
         _point(name, lambda t: V.sequential(t.ev), "v")
     _point("sequential", lambda t: V.sequential(t.ev), "v")
@@ -558,7 +557,8 @@ def _drawing():
     _add("draw_image_set", lambda t: shown(D.draw_image(t.ev, t.part, 30, 10)), with_ctes(["ev", "pt"], f"SELECT ev.x, ev.y, CAST(coalesce(pt.v, ev.v) AS BIGINT) AS b0 FROM ev {paste}"))
     _add("draw_image_add", lambda t: shown(D.draw_image(t.ev, t.part, 30, 10, "add")), with_ctes(["ev", "pt"], f"SELECT ev.x, ev.y, CAST(least(255, ev.v + coalesce(pt.v, 0)) AS BIGINT) AS b0 FROM ev {paste}"))
     _add("draw_mask", lambda t: shown(D.draw_mask(t.ev, 200, t.part, 30, 10)), with_ctes(["ev", "pt"], f"SELECT ev.x, ev.y, (200 * coalesce(pt.v, 0) + ev.v * (255 - coalesce(pt.v, 0))) // 255 AS b0 FROM ev {paste}"))
-    _add("draw_flood", lambda t: shown(D.draw_flood(t.bin, 77, 10, 10)))
+    _add("draw_flood", lambda t: shown(D.draw_flood(t.bin, 77, 10, 10)), with_ctes(["bn"], """SELECT bn.x, bn.y, CAST(CASE WHEN reach.x IS NULL THEN bn.v ELSE 77 END AS BIGINT) AS b0 FROM bn LEFT JOIN reach ON bn.x = reach.x AND bn.y = reach.y""",
+         {"reach": "SELECT x, y, v FROM bn WHERE x = 10 AND y = 10 UNION SELECT b.x, b.y, b.v FROM reach r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy), bn b WHERE b.x = r.x + dx AND b.y = r.y + dy AND b.v = r.v"}).replace("WITH ", "WITH RECURSIVE ", 1))
     _nb("draw_smudge", lambda t: D.draw_smudge(t.ev, 0, 0, 100, t.ev.height), BLUR, "floor((16 * any_value(c) + sum(v)) / 25.0)")
 
 

@@ -184,14 +184,22 @@ def zero(fmt: str) -> Column:
 def zip_join(rasters: list[Raster], pad=True) -> tuple[DataFrame, int, int]:
     """One row for each pixel of the largest size with columns ``i{n}_b{k}``; missing pixels are zero.
 
-    Equal sizes need only an inner equi-join on the coordinates.
+    Equal sizes need only an inner equi-join on the coordinates.  An image without keys meets every image of a stack.
     """
+    stacks = [r for r in rasters if r.keys]
+    if stacks and not rasters[0].keys:
+        order = [rasters.index(stacks[0]), *[n for n, r in enumerate(rasters) if r is not stacks[0]]]
+    else:
+        order = list(range(len(rasters)))
     width, height = max(r.width for r in rasters), max(r.height for r in rasters)
     same = all((r.width, r.height) == (width, height) for r in rasters)
-    out, at = None, rasters[0].at
-    for n, r in enumerate(rasters):
-        one = r.df.select(*at, *[F.col(c).alias(f"i{n}_{c}") for c in r.names])
-        out = one if out is None else out.join(one, at, "inner" if same else "full")
+    out, at = None, rasters[order[0]].at
+    for n in order:
+        r = rasters[n]
+        if not same and r.keys != rasters[order[0]].keys:
+            raise ValueError("an image without keys meets a stack of another size: embed it first")
+        one = r.df.select(*r.at, *[F.col(c).alias(f"i{n}_{c}") for c in r.names])
+        out = one if out is None else out.join(one, r.at if same else at, "inner" if same else "full")
     if not same and pad:
         zeros = [F.coalesce(f"i{n}_{c}", zero(r.format)).alias(f"i{n}_{c}") for n, r in enumerate(rasters) for c in r.names]
         out = out.select(*at, *zeros)
@@ -210,11 +218,14 @@ def combine(rasters: list[Raster], fn, table="same", decoded=True, **header) ->
     for k in range(bands):
         args = [F.col(f"i{n}_b{k if r.bands > 1 else 0}") for n, r in enumerate(rasters)]
         values.append(fn([saturate(a, fmt) if not is_complex(fmt) else a for a in args]))
-    base = replace(rasters[0], df=df, width=width, height=height)
+    base = replace(rasters[0], df=df, width=width, height=height, keys=next((r.keys for r in rasters if r.keys), ()))
     return base.with_bands(values, out, **header)
 
 
-def grid(spark, width: int, height: int) -> DataFrame:
-    """All coordinates of a raster, split over tasks by rows."""
+def grid(spark, width: int, height: int, like: Raster | None = None) -> DataFrame:
+    """All coordinates of a raster, split over tasks by rows; with ``like`` those of each image of its stack, keys first."""
+    if like is not None and like.keys:
+        rows = like.df.select(*like.keys).distinct().select(*like.keys, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+        return rows.select(*like.keys, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y")
     w = F.lit(width).cast("long")
     return spark.range(width * height).select((F.col("id") % w).cast("int").alias("x"), F.expr(f"cast(id div {width} as int)").alias("y"))

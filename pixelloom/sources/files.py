@@ -9,12 +9,15 @@ source: ``spark.read.format("pixels")``.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..raster import Raster, STORAGE
+from ..raster import STORAGE, Raster, common_format
 from . import codecs
 
 ROWS = 1 << 16
@@ -49,9 +52,14 @@ def headers(spark: SparkSession, path, loader: str | None = None, **options) ->
 
 
 def load(spark: SparkSession, path, loader: str | None = None, **options) -> Raster:
-    """A stack of equally shaped images; the header comes from a pass that returns one row a file."""
-    head = headers(spark, path, loader, **options).agg(F.max("width"), F.max("height"), F.max("bands"), F.max("format")).first()
-    width, height, bands, fmt = head
+    """A stack of equally shaped images; the header comes from a pass that returns one row a file.
+
+    Files of different sizes or numbers of bands are refused; different formats meet in their common format.
+    """
+    shapes = headers(spark, path, loader, **options).groupBy("width", "height", "bands", "format").count().limit(100).collect()
+    if len({(s["width"], s["height"], s["bands"]) for s in shapes}) != 1:
+        raise ValueError(f"{path} holds {'no image' if not shapes else 'images of several shapes: load each shape alone'}")
+    (width, height, bands), fmt = shapes[0][:3], functools.reduce(common_format, sorted({s["format"] for s in shapes}))
 
     def run(batches):
         for b in batches:
@@ -83,8 +91,10 @@ def save(r: Raster, folder: str, codec: str, **options) -> DataFrame:
         data = encode(a, **options)
         store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         store.create_dir(base, recursive=True)
-        img = str(table[keys[0]][0].as_py()) if keys else "image"
-        name = f"{base}/{img.rstrip('/').rsplit('/', 1)[-1]}{suffix}"
+        img = "/".join(str(table[k][0].as_py()) for k in keys) if keys else "image"
+        # The digest of the whole key keeps apart what has one base name.
+        apart = f"-{hashlib.md5(img.encode()).hexdigest()[:8]}" if "/" in img else ""
+        name = f"{base}/{img.rstrip('/').rsplit('/', 1)[-1]}{apart}{suffix}"
         with store.open_output_stream(name) as f:
             f.write(data)
         return pa.table({"img": [img], "file": [name], "bytes": pa.array([len(data)], pa.int64())})
