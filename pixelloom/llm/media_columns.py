@@ -117,7 +117,7 @@ class Sequence(HTMLParser):
             self.end_figure()
         for tag, held in self.skipped:
             if tag in ("noscript", "template"):
-                self.words += held
+                self.words.append(" " + " ".join(held))
         self.block()
         return [{"position": k, **x} for k, x in enumerate(self.items)]
 
