@@ -8,17 +8,28 @@ alone), which bounds the memory of a Python worker.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
+#: malloc_trim of the C library, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release():
+    """Hands free memory of Arrow and the C heap back to the system: workers live on, and later stages reuse them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def slices(batches, column="text", max_bytes=SLICE_BYTES):
     """Cut record batches so that ``column`` holds at most ``max_bytes`` in each, or one row."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -31,6 +42,8 @@ def slices(batches, column="text", max_bytes=SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, col
+        release()
 
 
 def buffer(array):
