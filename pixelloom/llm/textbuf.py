@@ -16,15 +16,14 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
-#: malloc_trim of the C library, where it has one.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def release():
     """Hands free memory of Arrow and the C heap back to the system: workers live on, and later stages reuse them."""
     pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batches, column="text", max_bytes=SLICE_BYTES):
