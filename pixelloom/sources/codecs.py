@@ -13,14 +13,13 @@ import zlib
 
 import numpy as np
 
+from . import jpeg
+from .errors import Unsupported
+
 # Numpy types of the band formats.
 DTYPES = {"uchar": "u1", "char": "i1", "ushort": "u2", "short": "i2", "uint": "u4", "int": "i4", "float": "f4", "double": "f8", "complex": "c8", "dpcomplex": "c16"}
 FORMAT_OF = {np.dtype(v).newbyteorder("=").str[1:]: k for k, v in DTYPES.items()}
-EXTERNAL = {"jpeg": b"\xff\xd8\xff", "webp": b"RIFF", "heif": b"\0\0\0", "jp2k": b"\0\0\0\x0cjP", "jxl": b"\xff\x0a", "pdf": b"%PDF", "svg": b"<svg", "openexr": b"\x76\x2f\x31\x01", "mat": b"MATLAB 5.0", "uhdr": b"\xff\xd8\xff", "dcraw": b"", "openslide": b"", "magick": b""}
-
-
-class Unsupported(ValueError):
-    """A format whose codec library is not part of this engine."""
+EXTERNAL = {"webp": b"RIFF", "heif": b"\0\0\0", "jp2k": b"\0\0\0\x0cjP", "jxl": b"\xff\x0a", "pdf": b"%PDF", "svg": b"<svg", "openexr": b"\x76\x2f\x31\x01", "mat": b"MATLAB 5.0", "uhdr": b"", "dcraw": b"", "openslide": b"", "magick": b""}
 
 
 def format_of(a: np.ndarray) -> str:
@@ -511,6 +510,7 @@ CODECS = {
     "ppm": (lambda d: re.match(rb"P[1-6Ff]\s", d[:3]) is not None, ppm_decode, ppm_encode, (".ppm", ".pgm", ".pbm", ".pfm", ".pnm")),
     "native": (lambda d: d[:4] in NATIVE, native_decode, native_encode, (".v",)),
     "tiff": (lambda d: d[:4] in (b"II*\0", b"MM\0*"), tiff_decode, tiff_encode, (".tif", ".tiff")),
+    "jpeg": (lambda d: d[:3] == b"\xff\xd8\xff", jpeg.decode, jpeg.encode, (".jpg", ".jpeg", ".jpe", ".jfif")),
     "gif": (lambda d: d[:4] == b"GIF8", gif_decode, gif_encode, (".gif",)),
     "rad": (lambda d: d[:2] == b"#?", rad_decode, rad_encode, (".hdr",)),
     "fits": (lambda d: d[:9] == b"SIMPLE  =", fits_decode, fits_encode, (".fits", ".fit")),

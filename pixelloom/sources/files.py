@@ -43,6 +43,11 @@ def headers(spark: SparkSession, path, loader: str | None = None, **options) ->
             rows = []
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codec = loader or codecs.find_load(data, name)
+                if codec == "jpeg" and not options.get("autorotate"):
+                    w, h, n = codecs.jpeg.header(data)
+                    shrink = options.get("shrink", 1)
+                    rows.append((name, codec, -(-w // shrink), -(-h // shrink), n, "uchar"))
+                    continue
                 a = codecs.CODECS[codec][1](data, **options)
                 rows.append((name, codec, a.shape[1], a.shape[0], a.shape[2], codecs.format_of(a)))
             cols = list(zip(*rows)) or [[]] * 6
@@ -75,6 +80,24 @@ def load(spark: SparkSession, path, loader: str | None = None, **options) -> Ras
     return Raster(df.select("img", "x", "y", *cast), width, height, bands, fmt, "srgb" if bands >= 3 else "b_w", ("img",))
 
 
+def thumbnail(spark: SparkSession, path, width: int, height: int | None = None, size="both", crop="none", **options) -> Raster:
+    """Thumbnails of equally shaped files; JPEG is shrunk by 2, 4 or 8 while it is decoded, the rest is resampled.
+
+    The shrink never goes below the target, so the last step always reduces.
+    """
+    from ..operators import resample
+
+    found = headers(spark, path, **options).select("loader", "width", "height").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {'no image' if not found else 'images of several shapes or formats: load each alone'}")
+    one = found[0]
+    fx, fy = one["width"] / width, one["height"] / (height or width)
+    whole = min(fx, fy) if crop != "none" or size == "force" else max(fx, fy)
+    shrink = next(k for k in (8, 4, 2, 1) if k <= max(whole, 1)) if one["loader"] == "jpeg" and size != "up" else 1
+    r = load(spark, path, **({**options, "shrink": shrink} if shrink > 1 else options))
+    return resample.thumbnail(r, width, height, size, crop)
+
+
 def save(r: Raster, folder: str, codec: str, **options) -> DataFrame:
     """Writes one file for each image; (img, file, bytes).  Images are whole in one task, as their encoders need."""
     suffix = {"ppm": ".ppm" if r.bands >= 3 else ".pgm"}.get(codec, codecs.CODECS[codec][3][0])

@@ -196,7 +196,7 @@ def test_codec_details():
     assert codecs.matrix_header(codecs.matrix_encode(deep, 8, 128)) == (8.0, 128.0)
     assert (codecs.csv_decode(b"1, 2\n3, 4\n", skip=1)[:, :, 0] == [[3, 4]]).all()
     with pytest.raises(codecs.Unsupported):
-        codecs.find_load(b"\xff\xd8\xff\xe0")
+        codecs.find_load(b"%PDF-1.7")
 
 
 def test_files_and_source(spark, tmp_path, small):
