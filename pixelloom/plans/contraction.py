@@ -7,14 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A table in the cluster's shared folder, so that lineage ends and lost executors cost nothing."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir; where it is unset, a local session has a folder of its own and a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or "file:///tmp/pixelloom-shared"
-    path = f"{base.rstrip('/')}/contraction-{uuid.uuid4().hex}"
+    return (base or "file:///tmp/pixelloom-shared").rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """A table in the cluster's shared folder, so that lineage ends and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/contraction-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -66,7 +66,7 @@ def operations() -> dict:
         ops[f"{name}load_buffer"] = codecs.CODECS[name][1]
         ops[f"{name}save"] = partial(files.save, codec=name)
         ops[f"{name}save_buffer"] = codecs.CODECS[name][2]
-    ops |= {"thumbnail_buffer": lambda spark, width, buffer, **k: R.thumbnail(from_buffer(spark, buffer), width, **k), "thumbnail_source": lambda spark, width, path, **k: R.thumbnail(files.load(spark, path), width, **k)}
+    ops |= {"thumbnail_buffer": lambda spark, width, buffer, **k: R.thumbnail(from_buffer(spark, buffer), width, **k), "thumbnail_source": lambda spark, width, path, **k: files.thumbnail(spark, path, width, **k)}
     return ops
 
 
