@@ -663,8 +663,8 @@ def _files():
     _add("save_load_pfm", lambda t: shown(trip(t, t.val.cast("float"), "ppm"), 3), with_ctes(["val"], f"SELECT x, y, {sql_fixed('v', 3)} AS b0 FROM val"))
     _add("save_load_pbm", lambda t: shown(trip(t, t.bin, "ppm", bitdepth=1)), with_ctes(["bn"], "SELECT x, y, CAST(v AS BIGINT) AS b0 FROM bn"))
     _add("save_load_rad", lambda t: shown(trip(t, t.ev3.cast("float"), "rad"), 1))
-    near = (F.abs(F.col("got").cast("int") - F.col("b0").cast("int")) <= 3).alias("near")
-    _add("save_load_jpeg", lambda t: trip(t, t.ev, "jpeg", Q=100).df.select("x", "y", F.col("b0").alias("got")).join(t.ev.df.select("x", "y", "b0"), ["x", "y"], "full").select("x", "y", near), with_ctes(["ev"], "SELECT x, y, TRUE AS near FROM ev"))
+    near = lambda: (F.abs(F.col("got").cast("int") - F.col("b0").cast("int")) <= 3).alias("near")
+    _add("save_load_jpeg", lambda t: trip(t, t.ev, "jpeg", Q=100).df.select("x", "y", F.col("b0").alias("got")).join(t.ev.df.select("x", "y", "b0"), ["x", "y"], "full").select("x", "y", near()), with_ctes(["ev"], "SELECT x, y, TRUE AS near FROM ev"))
     _add("stream_windowed", lambda t: _batch_windows(t), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
 
 
