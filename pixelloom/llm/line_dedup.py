@@ -1,17 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
 ``LineRuns`` is a log-structured store in the shared folder.  A run is a bucketed and sorted
-table of (h1, h2, n_docs, top), one row for each line key; every key stands in one run only.
+table of (h1, h2, n_docs, top, known), one row for each line key; every key is fresh in one run only.
 All runs have the same buckets, so a merge with a run needs no exchange of it.  A new batch
-is reduced to its own keys and merge-anti-joined with each run: what is fresh becomes a run of
-level 0, and for keys that a run holds only their count and largest id are kept, as an update.
-When a level holds ``fanout`` runs they are compacted into one run of the next level, and the
-runs that went into it are deleted.
+is reduced to its own keys, merge-joined with each run and written once, as a run of level 0: its
+fresh keys, and as updates, marked known, the counts and largest ids of keys that an older run holds.
+When a level holds ``fanout`` runs they are compacted into one run of the next level, where updates
+join their keys, and the runs that went into it are deleted.
 
 Two ways of use: ``first_seen`` is the incremental form (a line stays only where its key is
 new).  ``dedup_lines`` is the corpus form: the line keys of all rows are taken in one pass,
-dealt into batches of about ``BATCH_ROWS`` documents that are added one by one, and then the lines
-are joined with the keys whose counts, updates included, reach the limit.  A key is two 64-bit
+dealt into even batches, ``BATCHES`` at least and of about ``BATCH_ROWS`` documents at most, that are
+added one by one, so that runs of all levels are merged with and compacted whatever the size, and then the
+lines are joined with the keys whose counts, updates included, reach the limit.  A key is two 64-bit
 hashes with different seeds, so that false matches stay negligible at 10**13 lines.
 
 Scale: lines are reduced within rows and by partial aggregates before they are dealt, so a
@@ -27,7 +28,6 @@ therefore keep; empty tables give empty results; columns besides id and text pas
 from __future__ import annotations
 
 import contextlib
-import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,7 +36,9 @@ from .shared import discard, load, new_path, partitions, passing, stored
 
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_CHARS, MIN_DOCS, BATCHES, BATCH_ROWS, FANOUT = 40, 5, 2, 100_000_000, 4
+MIN_CHARS, MIN_DOCS, BATCH_ROWS, FANOUT = 40, 5, 100_000_000, 4
+#: A compaction of level 0, and a batch that is merged with the compacted run.
+BATCHES = FANOUT + 1
 KEY = ("h1", "h2")
 
 
@@ -80,31 +82,46 @@ def hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs of fresh keys (each key once in all runs), and the updates of later batches."""
+    """Levels of sorted runs of keys: each key fresh once in all runs, and known where later batches held it again."""
 
-    SCHEMA = "h1 long, h2 long, n_docs long, top long"
+    SCHEMA = "h1 long, h2 long, n_docs long, top long, known boolean"
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels, self.again, self.buckets = spark, fanout, [[]], [], partitions(spark)
+        self.spark, self.fanout, self.levels, self.paths, self.buckets = spark, fanout, [[]], {}, partitions(spark)
 
     def _write(self, keys: DataFrame) -> str:
-        """A new run of ``keys``: one sorted file for each bucket.  What comes from runs lies in its buckets already."""
+        """A new run of ``keys``: one sorted file for each bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
         path = passing(self.spark, new_path(self.spark, "line-run"))
         keys.repartition(self.buckets, *KEY).write.option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        self.paths[name] = path
         return name
 
     def _drop(self, name: str) -> None:
         table = self.spark.table(name)
         discard(table)
         self.spark.sql(f"DROP TABLE {name}")
+        del self.paths[name]
 
-    def read(self, names=None) -> DataFrame:
-        names = [p for level in self.levels for p in level] if names is None else names
-        out = None
-        for name in names:
-            out = self.spark.table(name) if out is None else out.unionAll(self.spark.table(name))
-        return self.spark.createDataFrame([], self.SCHEMA) if out is None else out
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _fresh_in(self, name: str) -> DataFrame:
+        return self.spark.table(name).where(~F.col("known")).select(*KEY).hint("merge")
+
+    def _rows(self, names) -> DataFrame:
+        """The rows of these runs, read as plain files: a union of bucketed tables counts as dealt by key,
+        but its vectorised scans are strung together, and sums by key over it come out in parts."""
+        paths = [self.paths[name] for name in names]
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _totals(self, names) -> DataFrame:
+        """One row for each key of these runs: fresh if it is so in one of them."""
+        return self._rows(names).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"), F.bool_and("known").alias("known"))
+
+    def read(self) -> DataFrame:
+        """Each key once, as the batch that had it first held it or, once compacted, with the updates beside it."""
+        return self._rows(self._names()).where(~F.col("known")).drop("known")
 
     @staticmethod
     def keys_of(hashed: DataFrame) -> DataFrame:
@@ -113,65 +130,54 @@ class LineRuns:
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """The keys that no run holds, by merge anti-joins with the runs."""
-        for level in self.levels:
-            for name in level:
-                keys = keys.join(self.spark.table(name).select(*KEY).hint("merge"), list(KEY), "left_anti")
+        for name in self._names():
+            keys = keys.join(self._fresh_in(name), list(KEY), "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """One batch: its fresh keys become a run, counts of keys that stand in a run become an update."""
-        if any(self.levels):
-            name = self._write(keys)
-            batch = self.spark.table(name)
-            known = [batch.join(self.spark.table(n).select(*KEY).hint("merge"), list(KEY), "left_semi") for level in self.levels for n in level]
-            self.again.append(self._write(functools.reduce(DataFrame.unionAll, known)))
-            self.levels[0].append(self._write(self.fresh(batch)))
-            self._drop(name)
-        else:
-            self.levels[0].append(self._write(keys))
+        """One batch becomes a run: fresh keys, and known ones, that is keys that stand in an older run."""
+        marks = []
+        for name in self._names():
+            marks.append(f"in{len(marks)}")
+            keys = keys.join(self._fresh_in(name).withColumn(marks[-1], F.lit(True)), list(KEY), "left")
+        self.levels[0].append(self._write(keys.select(*KEY, "n_docs", "top", F.coalesce(*marks, F.lit(False)).alias("known"))))
         for level, runs in enumerate(self.levels):
             if len(runs) >= self.fanout:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(self._write(self.read(runs)))
+                self.levels[level + 1].append(self._write(self._totals(runs)))
                 self.levels[level] = []
                 for name in runs:
                     self._drop(name)
-        if len(self.again) >= self.fanout:
-            merged = self._write(self.read(self.again).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top")))
-            for name in self.again:
-                self._drop(name)
-            self.again = [merged]
 
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, top) of keys in at least so many documents."""
-        more = self.read(self.again).groupBy(*KEY).agg(F.sum("n_docs").alias("more"), F.max("top").alias("later"))
-        total = F.col("n_docs") + F.coalesce("more", F.lit(0))
-        return self.read().join(more, list(KEY), "left").where(total >= min_docs).select(*KEY, F.greatest("top", "later").alias("top"))
+        return self._totals(self._names()).where(F.col("n_docs") >= min_docs).select(*KEY, "top")
 
     def close(self) -> None:
         """Deletes all runs."""
-        for name in [p for level in self.levels for p in level] + self.again:
+        for name in self._names():
             self._drop(name)
-        self.levels, self.again = [[]], []
+        self.levels = [[]]
 
 
-def row_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, h1, h2), each distinct key of a row once: distinct within the row, before any exchange."""
+def row_keys(docs: DataFrame, min_chars: int, *carried: str) -> DataFrame:
+    """(id, carried.., h1, h2), each distinct key of a row once: distinct within the row, before any exchange."""
     texts = F.filter(lines(F.col("text")), lambda x: F.octet_length(x) >= min_chars)
     keys = F.transform(F.filter(F.transform(texts, stripped), lambda k: F.char_length(k) >= min_chars), folded)
-    each = docs.select("id", F.explode(F.array_distinct(keys)).alias("key"))
-    return each.select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    each = docs.select("id", *carried, F.explode(F.array_distinct(keys)).alias("key"))
+    return each.select("id", *carried, F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def batches_of(docs: DataFrame, min_chars: int, count: int, rows: int = BATCH_ROWS) -> list[DataFrame]:
     """(id, h1, h2) of all rows, from one pass, in ``count`` batches or more where one would hold over ``rows`` documents.
-    A batch is a folder; a task's rows go to one of them."""
+    A batch is a folder; each task deals its rows to all of them in turn, so they are even however the rows lie."""
     spark = docs.sparkSession
     count = max(count, -(-docs.count() // rows))
     path = passing(spark, new_path(spark, "line-keys"))
-    keys = row_keys(docs, min_chars).withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(count)))
-    keys.write.option("compression", "zstd").partitionBy("batch").parquet(path)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    dealt = docs.withColumn("batch", F.pmod(F.spark_partition_id() + row, F.lit(count)).cast("int"))
+    row_keys(dealt, min_chars, "batch").write.option("compression", "zstd").partitionBy("batch").parquet(path)
     got = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(path)
     held = sorted(r["batch"] for r in got.select("batch").distinct().collect())
     return [got.where(F.col("batch") == k).select("id", *KEY) for k in held]

@@ -154,6 +154,31 @@ def test_lines(docs, rows, batches):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_lines(rows)))
 
 
+def test_line_batches_are_even_however_rows_lie(spark):
+    line = "a line that is long enough to be counted, of document"
+    table = spark.createDataFrame([(k, f"{line} {k}") for k in range(48)], "id long, text string")
+    for docs in (table.coalesce(1), table.where("id < 24").coalesce(1).union(table.where("id >= 24").coalesce(1))):
+        for batches, count, rows in ((8, 8, 100), (4, 1, 12), (6, 2, 8)):
+            got = [[r["id"] for r in b.collect()] for b in line_dedup.batches_of(docs, 40, count, rows)]
+            assert [len(b) for b in got] == [48 // batches] * batches and sorted(sum(got, [])) == list(range(48))
+
+
+@pytest.mark.parametrize("batches", [2, 3, 4, 5])
+def test_line_counts_add_up_over_batches(spark, batches):
+    line = "a line that five documents hold, and that is long enough"
+    data = [(k, f"{line}\nand another line that only document {k} holds") for k in range(5)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(spark.sparkContext.parallelize(data, 5), "doc_id long, text string"), batches=batches)
+    assert {r["doc_id"]: r["n_dropped"] for r in got.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_lines_are_merged_in_levels_by_default(docs, rows, monkeypatch):
+    seen, close = [], line_dedup.LineRuns.close
+    monkeypatch.setattr(line_dedup.LineRuns, "close", lambda self: (seen.append([len(x) for x in self.levels]), close(self)))
+    got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert seen == [[1, 1]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_lines(rows)))
+
+
 def test_lines_with_clashing_columns_and_without_rows(docs, empty, rows):
     got = line_dedup.dedup_lines(clashing(docs))
     assert set(docs.columns) < set(got.columns) and got.count() == len(rows)
