@@ -5,13 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
-from ..raster import Raster
+from ..raster import Raster, is_int
 from .window2d import window2d
 
 LABELS = 1 << 16
 BLOCK_PIXELS = 1 << 22
+FILL_PIXELS = 1 << 16
 
 
 def morph(r: Raster, mask: list[list[int]], operation: str) -> Raster:
@@ -135,21 +137,90 @@ def labelregions(r: Raster) -> Raster:
     return found.having(found.df.join(order, [*keys, "b0"]).select(*keys, "x", "y", F.col("n").cast("long").alias("b0")))
 
 
-def fill_nearest(r: Raster):
+def nearest_columns(away, sy):
+    """For each place of each line the column s with the least (x - s)^2 + away[line, s], then the least (sy, s): (squares, columns).
+
+    The best columns of a line never fall from left to right, whichever is taken of equals, so that the best of a place lies
+    between those of the places beside it that are settled: halving strides look at O(W log W) columns of a line.
+    """
+    h, w = away.shape
+    best, square = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
+    stride = 1 << w.bit_length()
+    while stride := stride >> 1:
+        x = np.arange(stride - 1, w, 2 * stride)
+        if not len(x):
+            continue
+        low = np.where(x >= stride, best[:, np.maximum(x - stride, 0)], 0).reshape(-1)
+        high = np.where(x + stride < w, best[:, np.minimum(x + stride, w - 1)], w - 1).reshape(-1)
+        count = high - low + 1
+        start = np.cumsum(count) - count
+        s = np.arange(count.sum()) - np.repeat(start - low, count)
+        line = np.repeat(np.repeat(np.arange(h), len(x)), count)
+        d = (np.repeat(np.tile(x, h), count) - s) ** 2 + away[line, s]
+        least = np.minimum.reduceat(d, start)
+        tied = np.where(d == np.repeat(least, count), sy[line, s] * w + s, np.iinfo(np.int64).max)
+        best[:, x] = (np.minimum.reduceat(tied, start) % w).reshape(h, -1)
+        square[:, x] = least.reshape(h, -1)
+    return square, best
+
+
+def block_nearest(x, y, v, edges, width: int):
+    """(values, squared distances) of these pixels' nearest non-zero pixels; None without any.
+
+    ``edges``: (x, ay, av, by, bv), the nearest non-zero pixel of each column above and below the block, y under 0 where there is none.
+    """
+    top, h = int(y.min()), int(y.max() - y.min()) + 1
+    ex, ay, av, by, bv = edges
+    rows = np.full((h + 2, width), -1, np.int64)  # y of non-zero pixels, between the edges' rows
+    values = np.zeros((h + 2, width), v.dtype)
+    rows[0, ex], values[0, ex], rows[-1, ex], values[-1, ex] = ay, av, by, bv
+    seed = v != 0
+    at = (y[seed] - top + 1, x[seed])
+    rows[at], values[at] = y[seed], v[seed]
+    if (rows < 0).all():
+        return None
+    k = np.arange(h + 2)[:, None]
+    up = np.maximum.accumulate(np.where(rows >= 0, k, -1))[1:-1]
+    down = np.minimum.accumulate(np.where(rows >= 0, k, h + 2)[::-1])[::-1][1:-1]
+    cols, line = np.arange(width), np.arange(top, top + h)[:, None]
+    over, under = rows[np.maximum(up, 0), cols], rows[np.minimum(down, h + 1), cols]
+    upper = (up >= 0) & ((down > h + 1) | (line - over <= under - line))
+    none = (up < 0) & (down > h + 1)
+    sy = np.where(none, 0, np.where(upper, over, under))
+    away = np.where(none, 1 << 60, (line - sy) ** 2)
+    square, best = nearest_columns(away, sy)
+    y = y - top
+    s = best[y, x]
+    return values[np.where(upper, up, down)[y, s], s], square[y, x]
+
+
+def fill_nearest(r: Raster, block_pixels=FILL_PIXELS):
     """Zeros take the nearest non-zero pixel of their image: (keys, x, y, b0, distance); ties go to the smaller (y, x).
 
-    A distance transform in two passes: along each column the nearest non-zero pixels above
-    and below are found by windows, then each pixel takes the best column of its line.
+    A distance transform in blocks of whole rows.  What a block has to know of the others is the nearest non-zero pixel of
+    each column above and below it, from the first and last ones of all blocks.  In a block, each column's nearest
+    pixels come from running extremes, and each line's best columns from halving strides.
+    Where pixels are missing, so are their rows; an image of zeros has none.
     """
-    keys = list(r.keys)
-    column = Window.partitionBy(*keys, "x").orderBy("y")
-    up, down = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
-    seed = F.when(F.col("b0") != 0, F.struct(F.col("y").alias("sy"), F.col("b0").alias("v")))
-    cols = r.df.select(*r.at, F.last(seed, True).over(up).alias("a"), F.first(seed, True).over(down).alias("b"))
-    near = F.when(F.col("b").isNull() | (F.col("y") - F.col("a.sy") <= F.col("b.sy") - F.col("y")), F.col("a")).otherwise(F.col("b"))
-    cols = cols.select(*r.at, near.alias("s")).where("s is not null").select(*keys, F.col("x").alias("sx"), "y", "s.sy", "s.v")
-    line = cols.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("sx", "sy", "v"))).alias("all"))
-    best = F.aggregate("all", F.struct(F.lit(1 << 60).cast("long").alias("d"), F.lit(0).alias("sy"), F.lit(0).alias("sx"), F.lit(0).cast("long").alias("v")),
-                       lambda acc, s: F.least(acc, F.struct((F.pow(s["sx"] - F.col("x"), 2) + F.pow(s["sy"] - F.col("y"), 2)).cast("long").alias("d"), s["sy"].alias("sy"), s["sx"].alias("sx"), s["v"].cast("long").alias("v"))))
-    got = r.df.join(line, [*keys, "y"]).select(*r.at, best.alias("n"))
-    return got.select(*r.at, F.col("n.v").alias("b0"), F.sqrt(F.col("n.d").cast("double")).alias("distance"))
+    keys, width = list(r.keys), r.width
+    rows = max(1, block_pixels // width)
+    kind = "long" if is_int(r.format) else "double"
+    cut = r.df.select(*r.at, F.col("b0").cast(kind).alias("v"), F.expr(f"y div {rows}").alias("block"))
+    seed = F.struct("y", "v")
+    ends = cut.where("v <> 0").groupBy(*keys, "block", "x").agg(F.min(seed).alias("first"), F.max(seed).alias("last"))
+    places = cut.select(*keys, "block").distinct().select(*keys, "block", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    column = Window.partitionBy(*keys, "x")
+    # Both frames begin without bound: one that ends without bound is worked out anew for each row.
+    above, below = (column.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("block"), F.desc("block")))
+    edges = places.join(ends, [*keys, "block", "x"], "left").select(*keys, "block", "x", F.last("last", True).over(above).alias("a"), F.last("first", True).over(below).alias("b"))
+    edges = edges.where("a is not null or b is not null").select(*[F.col(k).alias(f"_{k}") for k in (*keys, "block")], "x", *[F.coalesce(f"{s}.{c}", F.lit(none)).alias(f"{s}{c}") for s in "ab" for c, none in (("y", -1), ("v", 0))])
+
+    def run(pixels: pa.Table, edge: pa.Table) -> pa.Table:
+        x, y, v = (pixels[c].fill_null(0).to_numpy() for c in ("x", "y", "v"))
+        got = block_nearest(x.astype(np.int64), y.astype(np.int64), v, [edge[c].to_numpy() for c in ("x", "ay", "av", "by", "bv")], width)
+        if got is None:
+            pixels, got = pixels.slice(0, 0), (v[:0], np.zeros(0))
+        return pa.table([*[pixels[c] for c in (*keys, "x", "y")], pa.array(got[0]), pa.array(np.sqrt(got[1].astype(np.float64)))], names=[*keys, "x", "y", "b0", "distance"])
+
+    schema = ", ".join([*[f"{k} {r.df.schema[k].dataType.simpleString()}" for k in keys], "x int, y int", f"b0 {kind}", "distance double"])
+    return cut.groupBy(*keys, "block").cogroup(edges.groupBy(*[f"_{k}" for k in (*keys, "block")])).applyInArrow(run, schema)

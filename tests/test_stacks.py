@@ -103,3 +103,24 @@ def test_what_cannot_be_done_is_refused(stack):
         K.cicp2scrgb(three(stack), "smpte240")
     with pytest.raises(ValueError):
         K.scrgb2cicp(three(stack), "pq")
+
+
+def test_nearest_over_blocks_and_missing_pixels(spark):
+    # Two lines a block; a block without non-zero pixels, an image of zeros, and pixels that are not there.
+    rng = np.random.default_rng(8)
+    images = {n: (rng.random((11, 7)) < share) * rng.integers(1, 256, (11, 7)) for n, share in (("few", 0.06), ("many", 0.5), ("none", 0.0))}
+    images["few"][4:8] = 0
+    there = {n: (rng.random((11, 7)) < 0.8) & ((np.arange(11)[:, None] < 10) | (np.arange(7) < 3)) for n in images}
+    rows = [(n, x, y, int(a[y, x])) for n, a in images.items() for y in range(11) for x in range(7) if there[n][y, x]]
+    r = from_table(spark.createDataFrame(rows, "img string, x int, y int, v int"), F.col("x"), F.col("y"), [F.col("v")], 7, 11, keys=("img",))
+    found = M.fill_nearest(r, 14)
+    want = set()
+    for n, x, y, _ in rows:
+        near = min((((x - sx) ** 2 + (y - sy) ** 2, sy, sx, v) for m, sx, sy, v in rows if m == n and v), default=None)
+        if near:
+            want.add((n, x, y, near[3], round(near[0] ** 0.5, 6)))
+    got = [(*v[:4], round(v[4], 6)) for v in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sorted(map(tuple, M.fill_nearest(r).collect())) == sorted(map(tuple, found.collect()))
+    # A frame without an end is worked out anew for each row: the square of a column's height.
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
