@@ -1,6 +1,7 @@
 """The raster engine: queries against SQL, and what SQL does not reach against numpy."""
 
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -199,6 +200,18 @@ def test_codec_details():
         codecs.find_load(b"%PDF-1.7")
 
 
+def test_nifti_of_long_sides():
+    for shape, size in (((32767, 2), 348), ((32768, 2), 540), ((2, 40000), 540)):
+        a = np.random.default_rng(5).integers(-9, 9, (*shape, 1)).astype(np.int16)
+        data = codecs.nifti_encode(a)
+        assert int.from_bytes(data[:4], "little") == size and codecs.find_load(data) == "nifti"
+        got = codecs.nifti_decode(data)
+        assert got.shape == a.shape and got.dtype == a.dtype and (got == a).all()
+    # The other byte order.
+    head = struct.pack(">i8s2h8q", 540, b"n+2\0\r\n\x1a\n", 4, 16, 3, 2, 3, 2, 1, 1, 1, 1).ljust(168, b"\0") + struct.pack(">q", 544)
+    assert codecs.nifti_decode(head.ljust(544, b"\0") + np.arange(12, dtype=">i2").tobytes())[:, :, 0].tolist() == np.arange(12).reshape(6, 2).tolist()
+
+
 def test_files_and_source(spark, tmp_path, small):
     files.save(raster(spark, small), f"file://{tmp_path}/out", "png").collect()
     back = files.load(spark, f"file://{tmp_path}/out")
