@@ -118,7 +118,9 @@ def with_ctes(names: list[str], body: str, extra: dict[str, str] | None = None)
 
 def fixed(c, digits=4):
     """A double cut to so many digits by the same arithmetic in both engines."""
-    return F.floor(c.cast("double") * float(10**digits) + 0.5) / float(10**digits)
+    v = c.cast("double") * float(10**digits) + 0.5
+    # F.floor gives longs: NaN would become 0 and what is too large the largest long.  Doubles of that size are whole.
+    return F.when(F.abs(v) < float(1 << 62), F.floor(v).cast("double")).otherwise(v) / float(10**digits)
 
 
 def sql_fixed(e: str, digits=4, real=True) -> str:

@@ -177,6 +177,31 @@ def test_ciede2000_pairs(spark):
     assert np.allclose(array(K.dE00(p, q))[0, :, 0], [x[2] for x in pairs], atol=2e-4)
 
 
+@pytest.fixture(scope="module")
+def wide_values(spark, tmp_path_factory):
+    """Events whose values reach the ends of the domains of arc functions, and beyond."""
+    folder = str(tmp_path_factory.mktemp("wide"))
+    rows = [(k, k % 7, "view", v) for k, v in enumerate([0.0, 12.34, 250.0, 499.99, 500.0, 500.01, 560.21, 1e9])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS FROM '{folder}/events.parquet/*.parquet'")
+    want = db.sql(catalog.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in catalog.queries()[name](spark, folder).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 8
+    return [r[2] for r in sorted(got)]
+
+
+def test_atanh_outside_its_domain(spark, wide_values):
+    got = same_as_sql(spark, wide_values, "math_atanh")
+    assert np.isinf(got[4]) and np.isnan(got[5:]).all() and np.isfinite(got[:4]).all()
+
+
 @pytest.mark.parametrize("codec", ["png", "ppm", "native", "tiff", "fits", "nifti", "bmp", "gif", "rad", "csv", "matrix"])
 def test_codecs_round_trip(codec):
     a = np.random.default_rng(3).integers(0, 256, (9, 11, 3 if codec in ("png", "ppm", "native", "tiff", "bmp") else 1)).astype(np.uint8)
