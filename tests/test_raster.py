@@ -202,6 +202,11 @@ def test_atanh_outside_its_domain(spark, wide_values):
     assert np.isinf(got[4]) and np.isnan(got[5:]).all() and np.isfinite(got[:4]).all()
 
 
+def test_acos_outside_its_domain(spark, wide_values):
+    got = same_as_sql(spark, wide_values, "math_acos")
+    assert got[4] == 0.0 and np.isnan(got[5:]).all()
+
+
 @pytest.mark.parametrize("codec", ["png", "ppm", "native", "tiff", "fits", "nifti", "bmp", "gif", "rad", "csv", "matrix"])
 def test_codecs_round_trip(codec):
     a = np.random.default_rng(3).integers(0, 256, (9, 11, 3 if codec in ("png", "ppm", "native", "tiff", "bmp") else 1)).astype(np.uint8)
