@@ -202,6 +202,11 @@ def test_atanh_outside_its_domain(spark, wide_values):
     assert np.isinf(got[4]) and np.isnan(got[5:]).all() and np.isfinite(got[:4]).all()
 
 
+def test_asin_outside_its_domain(spark, wide_values):
+    got = same_as_sql(spark, wide_values, "math_asin")
+    assert got[4] == 90.0 and np.isnan(got[5:]).all()
+
+
 def test_acos_outside_its_domain(spark, wide_values):
     got = same_as_sql(spark, wide_values, "math_acos")
     assert got[4] == 0.0 and np.isnan(got[5:]).all()
