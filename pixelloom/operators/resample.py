@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -151,7 +153,8 @@ def sample(r: Raster, at: DataFrame, interpolate="bilinear", background=0.0, wid
     """Values at real coordinates (u, v) of output pixels (x, y), of each image: ``at`` has the keys of ``r``.
 
     An output pixel explodes into its taps, joins the input on integer coordinates and adds
-    up weights: one equi-join and one aggregate, whatever the transform.  Coordinates outside
+    up weights: one equi-join and one aggregate, whatever the transform.  Taps are added from left
+    to right and down each column, in whatever order they arrive, so that equal runs round equally.  Coordinates outside
     the input give the background.  lbb and nohalo are bicubic whose result is limited to the
     range of the four nearest pixels, which takes the halo away.
     """
@@ -169,13 +172,17 @@ def sample(r: Raster, at: DataFrame, interpolate="bilinear", background=0.0, wid
     first = {"nearest": 0, "bilinear": 0, "bicubic": -1, "vsqbs": -1}[kind]
     wu, wv = weights(tu), weights(tv)
     tap = lambda i, j: F.struct(F.greatest(F.lit(0), F.least(F.lit(w - 1), iu + first + i)).cast("int").alias("tx"), F.greatest(F.lit(0), F.least(F.lit(h - 1), iv + first + j)).cast("int").alias("ty"),
-                                (wu[i] * wv[j]).alias("w"), F.lit(first + i in (0, 1) and first + j in (0, 1)).alias("near"))
+                                (wu[i] * wv[j]).alias("w"), F.lit(i * len(wv) + j).alias("k"), F.lit(first + i in (0, 1) and first + j in (0, 1)).alias("near"))
     rows = base.where("_in").select(*r.at, F.explode(F.array(*[tap(i, j) for i in range(len(wu)) for j in range(len(wv))])).alias("t")).select(*r.at, "t.*")
     pixels = r.df.select(*r.keys, F.col("x").alias("tx"), F.col("y").alias("ty"), *r.names)
-    aggs = [F.sum(F.col(n).cast("double") * F.col("w")).alias(n) for n in r.names]
+    taps = range(len(wu) * len(wv))
+    aggs = [F.sum(F.when(F.col("k") == k, F.col(n).cast("double") * F.col("w"))).alias(f"{n}_{k}") for n in r.names for k in taps]
     if limited:
         aggs += [g(F.when(F.col("near"), F.col(n).cast("double"))).alias(f"{p}{n}") for n in r.names for g, p in ((F.min, "lo_"), (F.max, "hi_"))]
     got = rows.join(pixels, [*r.keys, "tx", "ty"]).groupBy(*r.at).agg(*aggs)
+    terms = lambda n: [F.col(f"{n}_{k}") for k in taps]
+    added = lambda n: F.when(F.coalesce(*terms(n)).isNotNull(), reduce(operator.add, [F.coalesce(t, F.lit(0.0)) for t in terms(n)]))
+    got = got.select(*r.at, *[added(n).alias(n) for n in r.names], *[f"{p}{n}" for n in r.names for p in ("lo_", "hi_") if limited])
     if limited:
         got = got.select(*r.at, *[F.greatest(F.col(f"lo_{n}"), F.least(F.col(f"hi_{n}"), F.col(n))).alias(n) for n in r.names])
     out = base.select(*r.at).join(got, r.at, "left")

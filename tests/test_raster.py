@@ -170,6 +170,27 @@ def test_colour_round_trips(spark):
         icc.parse(b"\0" * 200)
 
 
+def test_taps_are_added_in_one_order(spark):
+    # Of numbers so far apart, every order of adding has another sum.
+    rng = np.random.default_rng(6)
+    a = rng.choice([-1.0, 1.0], (40, 50)) * 10.0 ** rng.integers(0, 18, (40, 50))
+    r = raster(spark, a, "double")
+    want = np.zeros((40, 50))
+    for i in (0, 1):
+        for j in (0, 1):
+            want[:-1, :-1] += a[j : 39 + j, i : 49 + i] * ((0.75, 0.25)[i] * 0.5)
+    dealt = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in dealt}
+    try:
+        for conf in (before, dealt):  # taps arrive as they were made, or as they were dealt
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            assert (array(R.affine(r, (1, 0, 0, 1), idx=-0.25, idy=-0.5, oarea=(0, 0, 50, 40)))[:, :, 0] == want).all()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_ciede2000_pairs(spark):
     # Published test pairs.
     pairs = [((50.0, 2.6772, -79.7751), (50.0, 0.0, -82.7485), 2.0425), ((50.0, -1.3802, -84.2814), (50.0, 0.0, -82.7485), 1.0), ((22.7233, 20.0904, -46.6940), (23.0331, 14.9730, -42.5619), 2.0373), ((90.8027, -2.0831, 1.4410), (91.1528, -1.6435, 0.0447), 1.4441)]
