@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+from fractions import Fraction
+
 from pyspark.sql import Column, functions as F
 
 from .bind import let
@@ -32,6 +35,74 @@ def hue(a: Column, b: Column) -> Column:
     return F.when(d < 0, d + 360).otherwise(d)
 
 
+def _arctan(q: Fraction) -> Fraction:
+    """To 40 digits, for q of 0 to 1: halved angles, then the series."""
+    with localcontext() as c:
+        c.prec = 50
+        x, n = Decimal(q.numerator) / q.denominator, 0
+        while x > Decimal("0.01"):
+            x, n = x / (1 + (1 + x * x).sqrt()), n + 1
+        return Fraction(sum((-1) ** k * x ** (2 * k + 1) / (2 * k + 1) for k in range(12)) * 2**n)
+
+
+def _pair(v: Fraction) -> tuple[float, float]:
+    """A number as the sum of two doubles."""
+    return float(v), float(v - Fraction(float(v)))
+
+
+STEPS = 256
+ARCTANS = [_pair(_arctan(Fraction(k, STEPS))) for k in range(STEPS + 1)]
+HALF_PI, PI = _pair(2 * _arctan(Fraction(1))), _pair(4 * _arctan(Fraction(1)))
+
+
+def _sum2(a: Column, b: Column, fn):
+    """``fn`` of the rounded sum and of what rounding left out."""
+    return let([a, b, a + b], lambda v: let([v[2], v[2] - v[0], v[0], v[1]], lambda w: fn(w[0], (w[2] - (w[0] - w[1])) + (w[3] - w[1]))))
+
+
+def close_atan2(b: Column, a: Column) -> Column:
+    """The double next to the arc tangent of b / a, but for a few of a thousand; F.atan2 can be the one beside it.
+
+    The angle of the smaller by the larger side comes from a table in steps, kept in two doubles, and from
+    the small angle that is left; reflections add to both doubles.
+    """
+    absolute = [F.abs(a), F.abs(b)]
+    split = 134217729.0  # halves of a double, whose products with a step are exact
+
+    def small(v):
+        lo, hi, k = v
+        c = k / float(STEPS)
+        big = hi * split
+        return let([lo, hi, k, c, big - (big - hi)], rest)
+
+    def rest(v):
+        lo, hi, k, c, head = v
+        d = ((lo - head * c) - (hi - head) * c) / (hi + lo * c)
+        table = lambda j: F.element_at(F.array(*[F.lit(t[j]) for t in ARCTANS]), k.cast("int") + 1)
+        return let([table(0), table(1), d - d * d * d / 3 + d * d * d * d * d / 5], first)
+
+    def first(v):
+        return _sum2(v[0], v[2], lambda hi, left: let([hi, left + v[1]], octant))
+
+    def octant(v):
+        hi, lo = v
+        steep = absolute[1] > absolute[0]
+        # Over the diagonal the angle is what lacks to a right one; on the left, what lacks to a straight one.
+        turned = let([F.when(steep, -hi).otherwise(hi), F.when(steep, -lo).otherwise(lo), F.when(steep, HALF_PI[0]).otherwise(0.0), F.when(steep, HALF_PI[1]).otherwise(0.0)], add)
+        left = let([turned["hi"], turned["lo"]], lambda t: let([-t[0], -t[1], F.lit(PI[0]), F.lit(PI[1])], add))
+        return let([F.when(a < 0, left).otherwise(turned)], lambda t: F.when(b < 0, -(t[0]["hi"] + t[0]["lo"])).otherwise(t[0]["hi"] + t[0]["lo"]))
+
+    def add(v):
+        return _sum2(v[2], v[0], lambda hi, left: F.struct(hi.alias("hi"), (left + v[1] + v[3]).alias("lo")))
+
+    lo, hi = F.least(*absolute), F.greatest(*absolute)
+    return F.when(hi == 0, F.lit(0.0)).otherwise(let([lo, hi, F.floor(lo / hi * STEPS + 0.5).cast("double")], small))
+
+
+def close_hue(a: Column, b: Column) -> Column:
+    return let([F.degrees(close_atan2(b, a))], lambda v: F.when(v[0] < 0, v[0] + 360).otherwise(v[0]))
+
+
 def srgb_decode(v: Column, top=255.0) -> Column:
     f = v.cast("double") / top
     return F.when(f <= 0.04045, f / 12.92).otherwise(F.pow((f + 0.055) / 1.055, F.lit(2.4)))
@@ -228,8 +299,11 @@ def de_cmc(p, q):
 
 
 def de00(p, q):
-    """CIEDE2000, in steps that bind their values."""
-    seven = lambda c: c * c * c * c * c * c * c
+    """CIEDE2000, in steps that bind their values.
+
+    Hues of opposite colours are 180 degrees apart, where the mean hue jumps: there the last bit decides, so both are worked out closely.
+    """
+    seven = lambda c: F.pow(c, F.lit(7.0))
     cos = lambda v: F.cos(F.radians(v))
 
     def chroma(v):
@@ -243,7 +317,12 @@ def de00(p, q):
 
     def polar(v):
         l1, a1, b1, l2, a2, b2 = v
-        return let([l1, l2, F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2), hue(a1, b1), hue(a2, b2)], means)
+        return let([*v, hue(a1, b1), hue(a2, b2)], hues)
+
+    def hues(v):
+        l1, a1, b1, l2, a2, b2, h1, h2 = v
+        both = F.when(F.abs(F.abs(h1 - h2) - 180) < 1e-9, F.struct(close_hue(a1, b1).alias("h1"), close_hue(a2, b2).alias("h2"))).otherwise(F.struct(h1.alias("h1"), h2.alias("h2")))
+        return let([l1, l2, F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2), both], lambda w: means([*w[:4], w[4]["h1"], w[4]["h2"]]))
 
     def means(v):
         l1, l2, c1, c2, h1, h2 = v

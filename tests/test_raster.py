@@ -1,5 +1,6 @@
 """The raster engine: queries against SQL, and what SQL does not reach against numpy."""
 
+import math
 import os
 import struct
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.functions import icc
+from pixelloom.functions import colour, icc
 from pixelloom.operators import arithmetic as A, colour as K, conversion as V, convolution as N, create as G, draw as D, freqfilt as Q, morphology as M, resample as R
 from pixelloom.plans import catalog, registry
 from pixelloom.raster import Raster, STORAGE, common_format, promoted
@@ -233,6 +234,41 @@ def test_acos_outside_its_domain(spark, wide_values):
     assert got[4] == 0.0 and np.isnan(got[5:]).all()
 
 
+def test_close_angles(spark):
+    rng = np.random.default_rng(7)
+    a, b = (rng.uniform(-150, 150, 3000) for _ in range(2))
+    for k, (x, y) in enumerate([(1.0, 1.0), (-1.0, 1.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0), (0.0, 0.0), (-3.0, -3.0), (0.5, -0.5)]):
+        a[k], b[k] = x, y
+    got = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").select("a", "b", colour.close_atan2(F.col("b"), F.col("a")).alias("t"), F.atan2("b", "a").alias("plain")).collect()
+    off = [sum(r[c] != math.atan2(r["b"], r["a"]) for r in got) for c in ("t", "plain")]
+    assert off[0] <= 30 and off[0] * 4 < off[1], off
+    assert all(abs(r["t"] - math.atan2(r["b"], r["a"])) < 5e-16 for r in got)
+
+
+def test_ciede2000_of_opposite_hues(spark):
+    # Hues 180 degrees apart: the last bit of each decides on which side the mean hue lies.  Values of the SQL.
+    pairs = [((65.0, 95.0), (-65.0, -95.0)), ((85.0, 47.0), (-85.0, -47.0)), ((-45.0, 88.0), (45.0, -88.0)), ((48.0, 24.0), (-60.0, -30.0)), ((-27.0, 0.0), (75.0, 0.0))]
+
+    def hue(x, y):
+        d = math.degrees(math.atan2(y, x))
+        return d + 360 if d < 0 else d
+
+    p, q = (raster(spark, np.array([[(50.0, *x[k]) for x in pairs]]), "double") for k in range(2))
+    got = array(K.dE00(p, q))[0, :, 0]
+    for ((a1, b1), (a2, b2)), d in zip(pairs, got):
+        cb = ((a1 * a1 + b1 * b1) ** 0.5 + (a2 * a2 + b2 * b2) ** 0.5) / 2
+        g = 0.5 * (1 - math.sqrt(math.pow(cb, 7) / (math.pow(cb, 7) + 25.0**7)))
+        a1, a2 = (1 + g) * a1, (1 + g) * a2
+        c1, c2, h1, h2 = math.sqrt(a1 * a1 + b1 * b1), math.sqrt(a2 * a2 + b2 * b2), hue(a1, b1), hue(a2, b2)
+        near, cd = abs(h1 - h2) < 180, (c1 + c2) / 2
+        hd, dh = ((h1 + h2) / 2, h1 - h2) if near else (abs(h1 + h2 - 360) / 2, 360 - (h1 - h2))
+        cos = lambda v: math.cos(math.radians(v))
+        t = 1 - 0.17 * cos(hd - 30) + 0.24 * cos(2 * hd) + 0.32 * cos(3 * hd + 6) - 0.20 * cos(4 * hd - 63)
+        rt = -math.sin(math.radians(60 * math.exp(-(((hd - 275) / 25) ** 2)))) * 2 * math.sqrt(cd**7 / (cd**7 + 25.0**7))
+        nc, nh = (c1 - c2) / (1 + 0.045 * cd), 2 * math.sqrt(c1 * c2) * math.sin(math.radians(dh / 2)) / (1 + 0.015 * cd * t)
+        assert abs(d - math.sqrt(nc * nc + nh * nh + rt * nc * nh)) < 1e-4
+
+
 @pytest.mark.parametrize("codec", ["png", "ppm", "native", "tiff", "fits", "nifti", "bmp", "gif", "rad", "csv", "matrix"])
 def test_codecs_round_trip(codec):
     a = np.random.default_rng(3).integers(0, 256, (9, 11, 3 if codec in ("png", "ppm", "native", "tiff", "bmp") else 1)).astype(np.uint8)
