@@ -159,7 +159,7 @@ def _within(fn):
 # Functions of one value in degrees where angles are concerned; logarithms of zero are zero.
 MATH = {
     "sin": lambda v: F.sin(F.radians(v)), "cos": lambda v: F.cos(F.radians(v)), "tan": lambda v: F.tan(F.radians(v)),
-    "asin": lambda v: _deg(F.asin(v)), "acos": lambda v: _deg(_within(F.acos)(v)), "atan": lambda v: _deg(F.atan(v)),
+    "asin": lambda v: _deg(_within(F.asin)(v)), "acos": lambda v: _deg(_within(F.acos)(v)), "atan": lambda v: _deg(F.atan(v)),
     "log": lambda v: F.when(v == 0, F.lit(0.0)).otherwise(F.log(v)), "log10": lambda v: F.when(v == 0, F.lit(0.0)).otherwise(F.log10(v)),
     "exp": F.exp, "exp10": lambda v: F.pow(F.lit(10.0), v), "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh,

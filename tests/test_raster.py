@@ -261,6 +261,12 @@ def test_acos_outside_its_domain_has_no_sign(spark, wide_values, odd_values):
     assert got[2:] == ["7ff8000000000000"] * 7 + [None] and got[1] == struct.pack(">d", 180.0).hex()
 
 
+def test_asin_outside_its_domain_has_no_sign(spark, wide_values, odd_values):
+    assert same_bits_as_sql(spark, wide_values, "math_asin")[5:] == ["7ff8000000000000"] * 3
+    got = same_bits_as_sql(spark, odd_values, "math_asin")
+    assert got[2:] == ["7ff8000000000000"] * 7 + [None] and got[1] == struct.pack(">d", -90.0).hex()
+
+
 def test_close_angles(spark):
     rng = np.random.default_rng(7)
     a, b = (rng.uniform(-150, 150, 3000) for _ in range(2))
