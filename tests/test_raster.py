@@ -282,6 +282,10 @@ def test_asin_outside_its_domain_has_no_sign(spark, wide_values, odd_values):
     assert got[2:] == ["7ff8000000000000"] * 7 + [None] and got[1] == struct.pack(">d", -90.0).hex()
 
 
+def test_asin_of_nan_keeps_its_sign(spark, signed_nans):
+    assert same_bits_as_sql(spark, signed_nans, "math_asin") == ["7ff8000000000000", "fff8000000000000", "7ff8000000000000"]
+
+
 def test_close_angles(spark):
     rng = np.random.default_rng(7)
     a, b = (rng.uniform(-150, 150, 3000) for _ in range(2))
